@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trailspan.llm.quality import op6_isolation_quality
+from trailspan.llm.toxicity import op8_crf_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_isolation_quality,)}
+QUERIES = {f.__name__: f for f in (op6_isolation_quality, op8_crf_toxicity)}
 ORACLES: dict[str, str] = {}
