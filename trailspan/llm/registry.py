@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from trailspan.llm.pii import op10_bilstm_pii
 from trailspan.llm.quality import op6_isolation_quality
+from trailspan.llm.tokens import op3_zstd_tokens
 from trailspan.llm.toxicity import op8_crf_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_isolation_quality, op8_crf_toxicity, op10_bilstm_pii)}
+QUERIES = {f.__name__: f for f in (op3_zstd_tokens, op6_isolation_quality, op8_crf_toxicity, op10_bilstm_pii)}
 ORACLES: dict[str, str] = {}
