@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from trailspan.llm.brown import op2_brown_lm
 from trailspan.llm.pii import op10_bilstm_pii
 from trailspan.llm.pieces import op9_viterbi_pieces
 from trailspan.llm.quality import op6_isolation_quality
 from trailspan.llm.tokens import op3_zstd_tokens
 from trailspan.llm.toxicity import op8_crf_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_zstd_tokens, op6_isolation_quality, op8_crf_toxicity, op9_viterbi_pieces, op10_bilstm_pii)}
+QUERIES = {f.__name__: f for f in (op2_brown_lm, op3_zstd_tokens, op6_isolation_quality, op8_crf_toxicity, op9_viterbi_pieces, op10_bilstm_pii)}
 ORACLES: dict[str, str] = {}
