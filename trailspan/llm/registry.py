@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trailspan.llm.brown import op2_brown_lm
+from trailspan.llm.html import op4_layout_text
 from trailspan.llm.minhash import op7_super_minhash
 from trailspan.llm.mixing import OP1_SQL, op1_token_mix
 from trailspan.llm.pieces import op9_viterbi_pieces
@@ -14,6 +15,6 @@ from trailspan.llm.toxicity import op8_crf_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_mix, op2_brown_lm, op3_zstd_tokens, op5_impact_topk, op6_isolation_quality, op7_super_minhash, op8_crf_toxicity, op9_viterbi_pieces, op10_bilstm_pii)
+    for f in (op1_token_mix, op2_brown_lm, op3_zstd_tokens, op4_layout_text, op5_impact_topk, op6_isolation_quality, op7_super_minhash, op8_crf_toxicity, op9_viterbi_pieces, op10_bilstm_pii)
 }
 ORACLES: dict[str, str] = {"op1_token_mix": OP1_SQL, "op5_impact_topk": OP5_SQL}
