@@ -150,18 +150,20 @@ def _cid() -> Column:
     return F.xxhash64("n_shingles", "f1", "f2")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union.
+def sets_of(cids: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """cid and whole set of each class in ``cids``, made anew from its representative's text.
 
-    Only the texts of classes that stand in a pair are shingled again; they are
-    found by their representative's doc_id, broadcast while BROADCAST_IDS allows.
+    Representatives are found by doc_id, broadcast while BROADCAST_IDS allows.
     """
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "rep"), "cid").select("cid", "rep"), "near-ids")
+    ids = stored(cids.select("cid").distinct().join(reps.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
     few = ids.count() <= BROADCAST_IDS
-    named = ids.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named) if few else named, "doc_id", "left_semi")
-    # a repeated doc_id may bring other texts along; their classes are in no pair
-    sets = stored(whole_sets(texts, width).dropDuplicates(["cid"]), "near-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    # a repeated doc_id may bring other texts along; nothing joins their classes
+    return stored(whole_sets(texts, width).dropDuplicates(["cid"]), "near-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +178,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of different labels between two small tables of whole sets."""
+    if not left.num_rows or not right.num_rows:
+        return []
+    sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")] for t in (left, right)]
+    sizes = np.array([len(x) for x in sets[1]], np.int64)
+    values, codes = np.unique(np.concatenate(sets[1]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    ids, labels = (right.column(c).to_numpy() for c in ("cid", "label"))
+    mark = np.zeros(len(values), np.int32)
+    found = []
+    for cid, label, x in zip(left.column("cid").to_pylist(), left.column("label").to_pylist(), sets[0]):
+        at = np.searchsorted(values, x)
+        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == x)]
+        mark[at] = 1
+        both = np.add.reduceat(mark[codes], starts)
+        mark[at] = 0
+        hit = (100 * both >= percent * (len(x) + sizes - both)) & (labels != label)
+        found += [(cid, int(i)) for i in ids[hit]]
+    return found
+
+
+def links_across(tagged: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int, chunk: int = 256) -> DataFrame | None:
+    """Links between different components that stand in one bucket; None where no bucket holds two.
+
+    Buckets that overlap form a group. Of each group, the classes outside its
+    largest component are compared to all of the group; chunks of both sides meet
+    in small tasks, which return links only, so pairs are never written out.
+    """
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("first")).where("low < high").select("key", "first")
+    rest = stored(tagged.join(mixed, "key").select("first", "cid", "label"), "near-mixed")
+    if rest.isEmpty():
+        return None
+    group = stored(connected_components(rest, "first", "cid"), "near-groups")
+    members = rest.select("cid", "label").distinct().join(group.select(F.col("node").alias("cid"), F.col("component").alias("group")), "cid")
+    members = stored(members, "near-members")
+    per = members.groupBy("group", "label").agg(F.count("*").alias("n"))
+    per = per.groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / chunk)).cast("int")
+    per = per.select("group", F.col("top.label").alias("main"), chunks(F.col("all")).alias("mcs"), chunks(F.col("all") - F.col("top.n")).alias("scs"))
+    sets = sets_of(members, docs, reps, width)
+    full = members.join(per, "group").join(sets, "cid")
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["group", "sc", "mc", "cid", "label", "shingles"]
+    left = full.where("label <> main").withColumn("sc", deal(1, "scs")).withColumn("mc", every("mcs")).select(*columns)
+    right = full.withColumn("mc", deal(2, "mcs")).withColumn("sc", every("scs")).select(*(F.col(c).alias(c) for c in columns))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = compare(x, y, percent)
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    key = ["group", "sc", "mc"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -183,10 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Jaccard similarity of ``percent`` or more; component_id is the smallest
     doc_id that links reach. Documents with equal sets form one class before
     anything else, so thousands of copies cost one row. In a band's bucket the
-    classes are first compared to one of them only; where that leaves a bucket
-    with several components, all pairs across these are compared. So no pair of
-    a bucket goes untested whose outcome could change a component, and a group
-    of near copies costs rows in proportion to its size.
+    classes are first compared to one of them only, which joins most of a group
+    of near copies at a cost in proportion to its size. Where that leaves a
+    bucket with several components, links_across compares all classes whose
+    outcome could still change a component.
 
     Null, empty and wordless texts have no shingle, are linked with nothing and
     stay. Rows with the same doc_id are judged by their own texts; a null doc_id
@@ -201,21 +259,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = stored(buckets.join(leads, "key"), "near-buckets")
     fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
     pairs = stored(shared.where(F.col("cid") != F.col("a")).where(fits("n", "na")).select("a", F.col("cid").alias("b")).distinct(), "near-pairs")
-    links = stored(confirmed(pairs, docs, reps, width, percent), "near-links")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), docs, reps, width)
+    links = stored(confirmed(pairs, sets, percent), "near-links")
     label = stored(connected_components(links, "a", "b"), "near-labels")
-    tagged = shared.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("label"))
-    tagged = stored(tagged, "near-tagged")
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = tagged.join(mixed, "key", "left_semi")
-    other = rest.select("key", F.col("cid").alias("d"), F.col("n").alias("m"), F.col("label").alias("other"))
-    untested = (
-        rest.join(other, "key").where(F.col("label") != F.col("other")).where(F.col("cid") < F.col("d")).where(fits("n", "m"))
-        .select(F.col("cid").alias("a"), F.col("d").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    untested = stored(untested, "near-pairs")
-    if not untested.isEmpty():
-        links = stored(links.unionByName(confirmed(untested, docs, reps, width, percent)), "near-links")
+    tagged = shared.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
+    more = links_across(stored(tagged, "near-tagged"), docs, reps, width, percent)
+    if more is not None:
+        links = stored(links.unionByName(more), "near-links")
         label = stored(connected_components(links, "a", "b"), "near-labels")
     named = reps.select("cid", "rep").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
