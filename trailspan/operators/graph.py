@@ -49,3 +49,44 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
                 .select("node", F.coalesce("m", "node").alias("component"))
             )
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def both_ways(edges: DataFrame, src: str, dst: str, *columns: str) -> DataFrame:
+    """Every edge from both of its ends; a self loop once."""
+    back = edges.where(F.col(src) != F.col(dst)).select(F.col(dst).alias("u"), F.col(src).alias("v"), *columns)
+    return edges.select(F.col(src).alias("u"), F.col(dst).alias("v"), *columns).unionByName(back)
+
+
+def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Edges at each node; parallel edges count each, a self loop once."""
+    return both_ways(edges, src, dst).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
+
+
+def component_profile(edges: DataFrame, src: str, dst: str, weight: str, components: DataFrame) -> DataFrame:
+    """Nodes, edges, independent cycles (edges - nodes + 1) and weight of each component."""
+    nodes = components.groupBy("component").agg(F.count("*").alias("nodes"))
+    placed = edges.join(components.select(F.col("node").alias(src), "component"), src)
+    per = placed.groupBy("component").agg(F.count("*").alias("edges"), F.sum(weight).alias("weight"))
+    return per.join(nodes, "component").withColumn("cycles", F.col("edges") - F.col("nodes") + 1).withColumn("has_cycle", F.col("edges") >= F.col("nodes"))
+
+
+def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, sources: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(source, node, distance) of every node that a source reaches, for many sources at once.
+
+    Frontier relaxation: a round joins only the nodes whose distance has just
+    dropped with their edges, and keeps the least offer of each node. Weights
+    are not negative; of parallel edges the lightest counts. With weight 1 the
+    distances are the levels of a breadth-first search. ``sources`` has one
+    column, node; each round's table is written to the shared folder.
+    """
+    light = stored(both_ways(edges, src, dst, weight).groupBy("u", "v").agg(F.min(weight).alias("w")), "sssp-edges")
+    best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(light.schema["w"].dataType).alias("distance")).distinct(), "sssp-best")
+    front = best
+    for _ in range(max_rounds):
+        offers = front.join(light, front["node"] == light["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(light.schema["w"].dataType).alias("offer"))
+        offers = offers.groupBy("source", "node").agg(F.min("offer").alias("offer"))
+        after = stored(best.join(offers, ["source", "node"], "full").select("source", "node", F.least("distance", "offer").alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).alias("new")), "sssp-best")
+        best, front = after.drop("new"), after.where("new").drop("new")
+        if front.isEmpty():
+            return best
+    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")

@@ -1,13 +1,10 @@
-"""Queries over the driver's tables, one for each operator, with their SQL counterparts."""
+"""Queries over the driver's tables, at least one for each family of operators, with their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from trailspan.operators.graph import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,16 +22,8 @@ def query(sql: str | None = None):
     return add
 
 
-@query(
-    """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS u, 1000 + l_suppkey AS v FROM lineitem WHERE l_orderkey % 7 = 3),
-    both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-    reach(node, seen) AS (SELECT u, u FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.seen)
-    SELECT node, min(seen) AS component FROM reach GROUP BY node
-    """
-)
-def order_network_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of a bipartite network of order groups and suppliers."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 7 = 3")
-    edges = lines.select((F.col("l_orderkey") % 500).alias("src"), (1000 + F.col("l_suppkey")).alias("dst"))
-    return connected_components(edges)
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from trailspan.plans import events, graphs, places, rules  # noqa: E402, F401
