@@ -20,6 +20,8 @@ from trailspan.llm.common import slices, table, texts_of
 SPACE = "▁"
 #: Chunks between which every segmentation has a border, as no piece has a space after another character.
 RUNS = re.compile(r" +[^ ]*|[^ ]+")
+#: Texts with more than one space at a place, or one at a rim, or nothing, are cut by RUNS.
+ODD = r"  |^ | $|^$"
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -116,7 +118,12 @@ class PieceModel:
         if not text:
             return []
         text = " " + text
-        return RUNS.findall(text) if not self.chunked or "  " in text or text[-1] == " " else [" " + w for w in text[1:].split(" ")]
+        return RUNS.findall(text) if self.chunked else [text]
+
+    def encode_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.encode_chunk(c) for c in chunks]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for g in got for i in g), np.int64, int(sizes.sum())), sizes
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.text[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
@@ -126,16 +133,10 @@ def model(path: str) -> tuple[PieceModel, ChunkCoder]:
     """The model of a file and its memory of chunks, kept by the worker for its later tasks."""
     if path not in _MODELS:
         m = PieceModel(path)
-        _MODELS[path] = (m, ChunkCoder(lambda chunks: [m.encode_chunk(c) for c in chunks]))
+        _MODELS[path] = (m, ChunkCoder(m.encode_many, m.chunks, ODD if m.chunked else "", bare=False))
     return _MODELS[path]
 
 
-def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, and how many each has."""
-    m, coder = model(path)
-    return coder.encode([m.chunks(t) if m.chunked else ([" " + t] if t else []) for t in texts])
-
-
 def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, arrays: bool = True) -> DataFrame:
     """``columns`` of ``docs`` (text among them) with n_pieces, n_bytes (byte pieces), pieces_crc32 (unsigned crc32 of the
     ids as little-endian unsigned 32-bit integers), round_trip (decoding gives the text again) and, with ``arrays``, pieces.
@@ -146,13 +147,13 @@ def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, ar
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, _ = model(path)
+        m, coder = model(path)
         is_byte = np.zeros(len(m.text), bool)
         is_byte[list(m.bytes.values())] = True
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 16 << 20):
                 texts = texts_of(part)
-                ids, counts = encode_texts(path, texts)
+                ids, counts = coder.encode(pa.array(texts, pa.string()))
                 ends = np.cumsum(counts)
                 each = [ids[e - c : e] for e, c in zip(ends.tolist(), counts.tolist())]
                 fallen = np.concatenate([[0], np.cumsum(is_byte[ids])])

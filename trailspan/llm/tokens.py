@@ -17,21 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspan.llm.chunks import ChunkCoder
-from trailspan.llm.common import slices, table, texts_of
-from trailspan.shared import shared_folder, stored
+from trailspan.llm.chunks import ChunkCoder, EncodeMany
+from trailspan.llm.common import ranges, slices, table
+from trailspan.shared import shared_folder
 
 MAGIC = b"TSTOKEN1"
 FOOTER = "<QQB"
 #: A space before a character that is no white space always begins a pre-token of the byte-level pattern.
 BREAK = re.compile(r"(?= \S)")
-ODD = re.compile(r" \s")
+#: Texts with a space before other white space are cut by BREAK.
+ODD = r" [\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]"
+#: Chunks of one space and then no white space at either end.
+PLAIN = r"(?s)^ [^\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ](.*[^\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ])?\z"
 _CODERS: dict[str, ChunkCoder] = {}
 
 
@@ -51,22 +55,39 @@ def coder(path: str) -> ChunkCoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _CODERS[path] = ChunkCoder(lambda chunks: [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)])
+        _CODERS[path] = ChunkCoder(joined(t), lambda text: BREAK.split(text) if text else [], ODD, bare=True)
     return _CODERS[path]
 
 
-def chunks_of(text: str) -> list[str]:
-    if not text:
-        return []
-    if ODD.search(text):
-        return BREAK.split(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
-
-
-def encode(path: str, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def joined(t) -> EncodeMany:
+    """Encodes chunks that begin with a space as one long text, as they are pre-tokens there as well; a token's bytes tell
+    which chunk it is of, since the byte-level alphabet has one character for each byte."""
+    size = np.zeros(max(t.get_vocab().values(), default=0) + 1, np.int64)
+    for word, i in t.get_vocab().items():
+        size[i] = len(word)
+
+    def encode_many(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.array(chunks, pa.string())
+        spaced = pc.match_substring_regex(column, PLAIN).to_numpy(zero_copy_only=False)
+        text = "".join(chunks if spaced.all() else [c for c, s in zip(chunks, spaced) if s])
+        ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(pc.binary_length(column).to_numpy()[spaced])
+        upto = np.searchsorted(np.cumsum(size[ids]), ends, "right")
+        counts = np.zeros(len(chunks), np.int64)
+        counts[spaced] = np.diff(np.concatenate([[0], upto]))
+        rest = [e.ids for e in t.encode_batch_fast([c for c, s in zip(chunks, spaced) if not s], add_special_tokens=False)]
+        counts[~spaced] = [len(r) for r in rest]
+        begin = np.zeros(len(chunks), np.int64)
+        begin[spaced] = np.cumsum(counts[spaced]) - counts[spaced]
+        begin[~spaced] = len(ids) + np.cumsum(counts[~spaced]) - counts[~spaced]
+        return np.concatenate([ids, np.array([i for r in rest for i in r], np.int64)])[ranges(begin, counts)], counts
+
+    return encode_many
+
+
+def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, ``end_id`` after each, and how many each has."""
-    ids, counts = coder(path).encode([chunks_of(t) for t in texts])
+    ids, counts = coder(path).encode(pc.fill_null(texts, ""))
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
@@ -85,37 +106,22 @@ def _dict(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def compressed(docs: DataFrame, path: str, end_id: int, width: int, raw: bytes, level: int = 3) -> DataFrame:
-    """doc_id, n_tokens and the frame of every text."""
-    kind = np.uint16 if width == 2 else np.uint32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = _dict(raw)
-        z = zstandard.ZstdCompressor(level=level, write_content_size=True, **({"dict_data": d} if d else {}))
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids, counts = encode(path, texts_of(part), end_id)
-                flat = ids.astype(kind).tobytes()
-                ends = np.cumsum(counts) * width
-                blobs = [z.compress(flat[e - c * width : e]) for e, c in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "blob"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, blob binary")
-
-
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, dictionary_size: int = 64 << 10, sample: int = 1000, shard_bytes: int = 64 << 20) -> dict:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, dictionary_size: int = 64 << 10, sample: int = 1000, shard_docs: int = 20_000, level: int = 3) -> dict:
     """Write every text's ids to shards of ascending doc_id below ``folder``; return the manifest.
 
     The dictionary is trained on the ids of the ``sample`` texts of the smallest
-    hash: a bounded, documented sample. Texts are tokenised once, their frames
-    written as a table, and only the frames are range-partitioned. A null text
+    hash: a bounded, documented sample. Texts are range-partitioned by doc_id,
+    about ``shard_docs`` to a shard, and each task tokenises, compresses and
+    writes its shard as a stream; the sampling of the ranges reads texts, but
+    tokenises none. A shard appears under its name only when it is whole, so a
+    lost task's rest is never read. A null text
     counts as empty (its only id is the end id); null doc_ids come first;
     repeated doc_ids keep all their rows; an empty table has no shard.
     """
     path = path or tokenizer_path()
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     picked = [r.text for r in texts.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
-    ids, counts = encode(path, picked, end_id)
+    ids, counts = encode(path, pa.array(picked, pa.string()), end_id)
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -126,10 +132,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary-{digest.hex()}.zdict") as out:
         out.write(raw)
-    frames = stored(compressed(docs, path, end_id, width, raw), "token-frames")
-    size = frames.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     spark = docs.sparkSession
-    parts = max(1, -(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 20))
+    rows = docs.count()
+    parts = max(1, -(-rows // shard_docs), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 1000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -137,11 +142,16 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         name, at = f"{top}/shard-{part:06d}.tok", len(MAGIC) + 32
         index: list[tuple] = []
         out = None
-        for batch in batches:
-            for doc, n, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "blob"))):
-                if out is None:
-                    out = store.open_output_stream(f"{name}.{attempt}")
-                    out.write(MAGIC + digest)
+        d = _dict(raw)
+        z = zstandard.ZstdCompressor(level=level, write_content_size=True, **({"dict_data": d} if d else {}))
+        for piece in (p for batch in batches for p in slices(batch, "text", 16 << 20)):
+            if out is None:
+                out = store.open_output_stream(f"{name}.{attempt}")
+                out.write(MAGIC + digest)
+            found, sizes = encode(path, piece.column("text"), end_id)
+            flat, cuts = found.astype(kind).tobytes(), np.cumsum(sizes) * width
+            for doc, n, e in zip(piece.column("doc_id").to_pylist(), sizes.tolist(), cuts.tolist()):
+                blob = z.compress(flat[e - n * width : e])
                 out.write(blob)
                 index.append((doc, at, n))
                 at += len(blob)
@@ -153,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
             store.move(f"{name}.{attempt}", name)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(index)]), pa.array([int(sum(ns))]), pa.array([ids[0]], pa.int64()), pa.array([ids[-1]], pa.int64())], ["shard", "docs", "tokens", "first_id", "last_id"])
 
-    ordered = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "blob")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(run, "shard int, docs long, tokens long, first_id long, last_id long").collect())
     start, shards = 0, []
     for r in rows:
