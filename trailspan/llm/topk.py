@@ -14,9 +14,9 @@ from trailspan.llm.common import table
 from trailspan.shared import stored
 
 #: Vectors of one index block and queries of one pack. Impacts of a dimension are quantised to LEVELS steps.
-BLOCK, PACK, LEVELS = 8192, 1024, 12
-#: Shares of all possible gain after which the possible members are counted, and how many of them may be rescored.
-STOPS, RESCORE = (0.5, 0.65, 0.8, 0.9), 400
+BLOCK, PACK, LEVELS = 8192, 512, 12
+#: Shares of a query's whole gain after which its possible members are counted, and how many of them end the processing.
+STOPS, RESCORE = (0.9,), 400
 
 
 def whole_vectors(frame: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -66,54 +66,59 @@ class Index:
             stops.append(b)
         return cls(ids, v, order, *(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (dims, lows, highs, starts, stops)))
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but those of id ``own``; ties go to smaller ids.
-
-        A segment's impact is the most that one of its rows can gain in its
-        dimension over the dimension's least. Segments are processed by
-        descending impact, each adding its impact to its rows. At any time a
-        row's score is at most its sum plus the largest impact left in every
-        dimension. Processing ends before the last segment only when the rows
-        that this bound leaves above the k-th exact score among the leaders are
-        few; these, and only these, are rescored exactly.
+    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, id, score) of the k best rows of each query but those of its own id; ties go to smaller ids.
+
+        A segment's impact for a query is the most that one of its rows can gain
+        in its dimension over the dimension's least. Each query processes its
+        segments by descending impact, in rounds; what a round adds to all
+        scores of a pack is one product of the impacts it takes up and the
+        segments' postings. A row's score is at most its sum plus, for every
+        dimension in which it has not come up, the largest impact left there.
+        Only if this bound leaves few rows above the k-th exact score among the
+        leaders of every query are later segments left out. The rows above it
+        are then rescored exactly, and no others can be among the k best.
         """
         n, d = self.v.shape
-        q = np.concatenate([q, np.zeros(max(0, d - len(q)), np.int64)])[:d]
-        most = np.maximum(q[self.dim] * self.low, q[self.dim] * self.high)
-        floor = np.full(d, np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dim, most)
-        impact = most - floor[self.dim] if len(most) else most
-        left = np.zeros(d, np.int64)
-        np.maximum.at(left, self.dim, impact)
-        rank = np.argsort(-impact, kind="stable")
-        rank = rank[impact[rank] > 0]
-        gain = np.cumsum(impact[rank] * (self.stop - self.start)[rank])
-        checks = set(np.searchsorted(gain, [s * gain[-1] for s in STOPS]).tolist()) if len(rank) else set()
-        acc = np.full(n, floor.sum() if d else 0, np.int64)
-        dims, starts, stops, gains = (x[rank].tolist() for x in (self.dim, self.start, self.stop, impact))
-        other = self.ids != own
-        for i, (f, a, b, g) in enumerate(zip(dims, starts, stops, gains)):
-            if i in checks:
-                rest = np.zeros(d, np.int64)
-                np.maximum.at(rest, self.dim[rank[i:]], impact[rank[i:]])
-                some = self._possible(acc, int(rest.sum()), q, k, other)
-                if len(some) <= RESCORE:
-                    return self._exact(some, q, k)
-            acc[self.order[f, a:b]] += g
-        return self._exact(self._possible(acc, 0, q, k, other), q, k)
-
-    def _possible(self, acc: np.ndarray, rest: int, q: np.ndarray, k: int, other: np.ndarray) -> np.ndarray:
-        free = np.flatnonzero(other)
-        if len(free) <= k:
-            return free
-        lead = free[np.argpartition(-acc[free], k - 1)[:k]]
-        least = (self.v[lead] @ q).min()
-        return free[acc[free] + rest >= least]
-
-    def _exact(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = self.v[rows] @ q
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows][best], score[best]
+        q = np.pad(q, ((0, 0), (0, max(0, d - q.shape[1]))))[:, :d]
+        w = q[:, self.dim]
+        most = np.maximum(w * self.low, w * self.high)
+        starts = np.searchsorted(self.dim, np.arange(d))
+        floor = np.minimum.reduceat(most, starts, axis=1) if d else most
+        impact = most - floor[:, self.dim]
+        exact = float(impact.max(initial=0)) * max(d, 1) < 2**24
+        kind = np.float32 if exact else np.float64
+        postings = np.zeros((len(self.dim), n), kind)
+        for s, (f, a, b) in enumerate(zip(self.dim.tolist(), self.start.tolist(), self.stop.tolist())):
+            postings[s, self.order[f, a:b]] = 1
+        rank = np.argsort(-impact, axis=1, kind="stable")
+        gain = np.cumsum(np.take_along_axis(impact * (self.stop - self.start), rank, 1), axis=1)
+        place = np.empty_like(rank)
+        np.put_along_axis(place, rank, np.broadcast_to(np.arange(len(self.dim)), rank.shape), 1)
+        acc = np.zeros((len(q), n), kind)
+        mine = self.ids[None, :] == own[:, None]
+        before = np.zeros((len(q), 1), np.int64)
+        for stop in (*STOPS, None):
+            upto = np.full((len(q), 1), len(self.dim)) if stop is None else (gain < stop * gain[:, -1:]).sum(1, keepdims=True) if len(self.dim) else before
+            acc += np.where((place >= before) & (place < upto), impact, 0).astype(kind) @ postings
+            done = place < upto
+            rest = np.maximum.reduceat(np.where(done, 0, impact), starts, axis=1) if d else impact
+            bound = acc + rest.sum(1, keepdims=True) - (np.where(done, rest[:, self.dim], 0).astype(kind) @ postings if rest.any() else 0)
+            bound += floor.sum(1, keepdims=True)
+            bound[mine] = -np.inf
+            lead = np.argpartition(-bound, min(k, n) - 1, axis=1)[:, : min(k, n)]
+            scores = np.einsum("qkd,qd->qk", self.v[lead], q)
+            least = np.where(np.take_along_axis(mine, lead, 1), np.iinfo(np.int64).min, scores).min(1, keepdims=True)
+            possible = (bound >= least) & ~mine
+            if stop is None or possible.sum(1).max() <= RESCORE:
+                break
+            before = upto
+        at, row = np.nonzero(possible)
+        score = np.concatenate([(q[at[i : i + 100_000]] * self.v[row[i : i + 100_000]]).sum(1) for i in range(0, len(at), 100_000)] or [np.zeros(0, np.int64)])
+        best = np.lexsort((self.ids[row], -score, at))
+        at, row, score = at[best], row[best], score[best]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[first], self.ids[row[first]], score[first]
 
     def pack(self) -> dict[str, bytes]:
         return {"ids": self.ids.astype("<i8").tobytes(), "v": self.v.astype("<i4").tobytes(), "ord": self.order.astype("<i4").tobytes(), "seg": np.stack([self.dim, self.low, self.high, self.start, self.stop]).astype("<i8").tobytes()}
@@ -157,12 +162,11 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Index.unpack(row)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for x in row["queries"]:
-                    ids, scores = block.search(np.array(x["w"], np.int64), x["id"], k)
-                    for o, y in zip(out, (np.full(len(ids), x["id"]), ids, scores)):
-                        o.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
+                ids = np.array([x["id"] for x in row["queries"]], np.int64)
+                size = max(len(x["w"]) for x in row["queries"])
+                q = np.array([x["w"] + [0] * (size - len(x["w"])) for x in row["queries"]], np.int64)
+                at, found, scores = block.search(q, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     pairs = asked.join(index, "block").repartition(blocks * packs, "block", "pack")
     best = pairs.select("queries", "ids", "v", "ord", "seg").mapInArrow(run, "query_id long, vec_id long, score long")
