@@ -21,6 +21,7 @@ WORDS_AND_BREAKS = re.compile(rb"[^\x20\x09-\x0D]+|\n")
 WORD_TEXT = re.compile(r"[^\x20\x09-\x0D]+")
 #: Token marginals from which a word counts as an offending span.
 SPAN_AT = 0.5
+NOISE = 0.05
 
 
 def word_features(word: bytes) -> list[int]:
@@ -76,9 +77,13 @@ class Crf:
 
 
 def feature_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    per = [word_features(w) for w in words]
-    counts = np.fromiter(map(len, per), np.int64, len(per))
-    return np.fromiter((x for p in per for x in p), np.int64, int(counts.sum())), counts
+    """Features of all words one after the other, and how many each has."""
+    parts, counts = [], []
+    for at in range(0, len(words), 4096):
+        per = [word_features(w) for w in words[at : at + 4096]]
+        counts += map(len, per)
+        parts.append(np.fromiter((x for p in per for x in p), np.int32))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(counts, np.int64)
 
 
 def forward_backward(e: np.ndarray, lines: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -136,9 +141,10 @@ def token_labels(words: list[bytes], ids: np.ndarray, doc_of: np.ndarray, toxic:
 
 
 def doc_features(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """From the marginals of each text: largest, log of the expected number of toxic words, their share."""
+    """From the marginals of each text: largest, log of the expected number of toxic words, their share. Marginals count as far
+    as they exceed NOISE, so that the many small ones of a long clean text do not add up."""
     ends = np.cumsum(tokens)
-    total = np.concatenate([[0.0], np.cumsum(p)])
+    total = np.concatenate([[0.0], np.cumsum(np.maximum(p - NOISE, 0))])
     expected = total[ends] - total[ends - tokens]
     most = np.zeros(len(tokens))
     full = np.flatnonzero(tokens)
@@ -160,14 +166,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 def unlike(texts: list[str], size: int = 24, shared: int = 8) -> list[int]:
-    """Positions of the texts that share fewer than ``shared`` of their ``size`` smallest word hashes with an earlier one.
+    """Positions of the texts that share fewer than ``shared`` of their ``size`` smallest hashes of three words with an earlier one.
 
     Words that only a group of near copies has say nothing about other texts.
     """
     seen: dict[int, list[int]] = {}
     kept = []
     for i, text in enumerate(texts):
-        least = sorted({zlib.crc32(w) for w in text.encode("utf-8", "surrogatepass").lower().split()})[:size]
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        least = sorted({zlib.crc32(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))})[:size]
         met = Counter(j for h in least for j in seen.get(h, ()))
         if met and met.most_common(1)[0][1] >= min(shared, len(least)):
             continue
@@ -213,11 +220,11 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, se
             left, right = np.zeros(len(g)), np.zeros(len(g))
             right[:-1] = np.where(first[1:], 0, g[1:])
             left[1:] = np.where(first[1:], 0, g[:-1])
-            for weights, total, grad in ((model.own, sums[0], g), (model.before, sums[1], right), (model.after, sums[2], left)):
+            for weights, total, grad, rate in ((model.own, sums[0], g, 0.5), (model.before, sums[1], right, 0.08), (model.after, sums[2], left, 0.08)):
                 feats = flat[ranges(begin[w], counts[w])]
                 full = np.bincount(feats, np.repeat(grad, counts[w]), 1 << BITS) - 0.002 * weights
                 total += full * full
-                weights += (0.5 * full / np.sqrt(total)).astype(np.float32)
+                weights += (rate * full / np.sqrt(total)).astype(np.float32)
             d = (seen - pair) - 0.01 * model.trans
             tsum += d * d
             model.trans = model.trans + 0.1 * d / np.sqrt(tsum)
@@ -281,7 +288,7 @@ def with_scores(docs: DataFrame, model: Crf, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 score, count, spans = score_texts(handle.value, texts_of(part))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(count.astype(np.int64)), pa.array(spans, pa.string())], [*part.schema.names, "tox_score", "tox_words", "tox_spans"])
 
