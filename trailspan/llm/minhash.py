@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspan.llm.common import mix64, slices, table, texts_of
+from trailspan.llm.common import give_back, mix64, slices, table, texts_of
 from trailspan.operators.graph import connected_components
 from trailspan.shared import stored
 
@@ -120,7 +120,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sets, counts = shingles(texts_of(part), width)
                 keys = band_keys(super_minhash(sets, counts))
                 f1, f2 = fingerprints(sets, counts)
@@ -135,7 +135,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sets, counts = shingles(texts_of(part), width)
                 f1, f2 = fingerprints(sets, counts)
                 ends = np.cumsum(counts)
@@ -173,6 +173,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     a, b = (sets.select(F.col("cid").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
