@@ -21,7 +21,7 @@ def shield(interstate: Column, us_route: Column, state_route: Column) -> Column:
     State numbers from 600 on do not count; no number gives the empty text."""
 
     def one(field: Column, prefix: str, most: int | None) -> Column:
-        parts = F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ","), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
         numbers = F.filter(parts, lambda p: p.rlike(r"^\d+$") & ((p.try_cast("long") < most) if most else F.lit(True)))
         head = F.try_element_at(parts, F.lit(1))
         suffix = F.when(head.rlike(r"^\d+$"), "").otherwise(F.concat(F.lit(" "), head))
