@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from trailspan.plans.registry import ORACLES, QUERIES
@@ -15,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda x: "-" if x is None or x != x or str(x) == "<NA>" else f"{x:.9g}" if isinstance(x, float) and math.isfinite(x) else str(x)
+    text = lambda x: "-" if pd.api.types.is_scalar(x) and pd.isna(x) else f"{x:.9g}" if isinstance(x, float) and math.isfinite(x) else str(x)
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
 
