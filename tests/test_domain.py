@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailspan.functions import geometry, identity
-from trailspan.operators import cartography, missions, places
+from trailspan.operators import cartography, coverage, missions, places
 
 
 def column(spark, rows, kind, f):
@@ -67,3 +67,29 @@ def test_thinning_and_ratio(spark):
     line = F.array(*(geometry.point(F.lit(float(i)), F.lit(0.0)) for i in range(8)))
     r = spark.range(1).select(cartography.thinned(line, 3).alias("t"), places.ratio_verdict(F.lit(100), F.lit(100.0)).alias("a"), places.ratio_verdict(F.lit(328), F.lit(100.0)).alias("b"), places.ratio_verdict(F.lit(50), F.lit(0.0)).alias("c")).first()
     assert [p.x for p in r.t] == [0, 3, 6, 7] and (r.a, r.b, r.c) == ("PASS", "FAIL", "WARN")
+
+
+def test_route_facts_and_score(spark):
+    segs = spark.createDataFrame([(1, 1.0, True, 10, False, False, 1, False), (2, 0.5, True, 4, True, False, 3, True), (3, 0.25, False, 0, False, True, 5, False)], "seg int, miles double, required boolean, households int, dead_end boolean, derived boolean, stress int, isolated boolean")
+    walk = [1, 2, 2, 3, 1, 3, 1]
+    steps = spark.createDataFrame([(7, i, s, i >= 5) for i, s in enumerate(walk)], "route int, pos int, seg int, closing boolean")
+    done = spark.createDataFrame([(3,)], "seg int")
+    f = missions.route_facts(steps, segs, done).withColumns({"corridors_completed": F.lit(1), "cohesion": F.lit(0.5), "turns": F.lit(2), "uturns": F.lit(1)})
+    r = f.first()
+    assert (r.total, r.new_required, r.households, r.dead_ends, r.isolated) == (4.5, 1.5, 14, 1, 1)
+    assert (r.dead_end_return, r.closing_miles, r.avoidable, r.extra, r.most_passes) == (0.5, 1.25, 1.0, 1, 3)
+    assert (r.connector, r.derived, r.stress) == (0.25, 1, 0.5 * 0.5 + 0.25)
+    parts, total = coverage.score(missions.route_components(F.lit(2.0)), missions.ROUTE_WEIGHTS)
+    got = f.select(parts.alias("p"), total.alias("t")).first()
+    share = 2.75 / 4.5
+    want = {"new_required": 150.0, "repeat_avoidable": -55.0, "repeat_closing": -25.0, "repeat_dead_end": -3.0, "repeat_share": round(-260 * share**2 * (4.5 / 3.5), 2), "length_overshoot": -150.0, "length_undershoot": 0.0, "loop_shape": round(18 * 3 / 7, 2)}
+    assert {k: got.p[k] + 0.0 for k in want} == want and len(got.p) == len(missions.ROUTE_WEIGHTS)
+    assert abs(got.t - sum(got.p.values())) < 0.1
+
+
+def test_directions_and_mission_score(spark):
+    rows = [(1, 0, "Elm Rd", False, 0.1), (1, 1, "Elm Rd", False, 0.2), (1, 2, None, True, 0.004), (1, 3, None, False, 0.05), (1, 4, "Elm Rd", False, 0.02)]
+    got = missions.directions(spark.createDataFrame(rows, "route int, pos int, name string, derived boolean, miles double")).orderBy("step").collect()
+    assert [(r.name, r.miles) for r in got] == [("Elm Rd", 0.3), ("unnamed path", 0.05), ("Elm Rd", 0.02)]
+    r = spark.range(1).select(missions.mission_score(F.lit(1.0), F.lit(100), F.lit(2.0), F.lit(2.0), F.lit(80.0), F.lit(0.5)).alias("s")).first()
+    assert r.s == 100 + 20 + 40 + 24 - 60

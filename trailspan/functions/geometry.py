@@ -125,5 +125,5 @@ class Lambert:
         return point(F.degrees(F.atan2(dx, dy) / self.n + self.l0), F.degrees(p))
 
 
-#: The state plane zone in which the reference data is measured, in metres.
+#: The state plane zone that street layers are measured in, in metres.
 STATE_PLANE = Lambert(lat1=37.96666666666667, lat2=36.76666666666667, lat0=36.33333333333334, lon0=-78.5, x0=3500000.0, y0=1000000.0)
