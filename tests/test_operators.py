@@ -170,3 +170,24 @@ def test_walks_are_closed_within_budget_and_repeatable(spark):
             assert here == 0
     best = search.best_routes(steps, edges.select("seg", "length", F.lit(True).alias("wanted"))).collect()
     assert len(best) == 2 and all(r.new_length + r.repeated == r.length for r in best)
+
+
+def test_clusters_states_and_turns(spark):
+    from trailspan.operators import areas
+
+    rows = [(1, 2, 10, 100.0, 5), (2, 3, 11, 100.0, 0), (3, 4, 12, 100.0, 0), (4, 5, 13, 100.0, 9), (8, 9, 14, 50.0, 1)]
+    edges = spark.createDataFrame(rows, "u long, v long, seg long, length double, households long")
+    home = spark.createDataFrame([(1, 0.0), (2, 100.0), (3, 200.0), (4, 300.0), (5, 400.0)], "node long, distance double")
+    open_ = spark.createDataFrame([(10,), (11,), (13,), (14,)], "seg long")
+    got = areas.clusters(edges, open_, home, 650.0).collect()
+    assert [(r.root, r.segs, r.access, r.usable, r.homes) for r in got] == [(1, 2, 0.0, 200.0, 5), (4, 1, 300.0, 50.0, 9)]
+    assert [r.seg for r in areas.finished_state(edges, 0.0).collect()] == []
+    assert areas.finished_state(edges, 1.0).count() == 5
+    half = sorted(r.seg for r in areas.finished_state(edges, 0.5, seed=3).collect())
+    assert half and half == sorted(r.seg for r in areas.finished_state(edges, 0.5, seed=3).collect())
+    main = [s for s in half if s != 14]
+    assert main == list(range(min(main), max(main) + 1)) if main else True
+    assert areas.finished_state(edges, 0.5, seed=3, spatial=False).count() >= 2
+    steps = [(1, 0, 10, 1.0, 0.0, 1.0, 0.0, 1), (1, 1, 11, 0.0, 1.0, 0.0, 1.0, 3), (1, 2, 11, 0.0, -1.0, 0.0, -1.0, 2), (1, 3, 12, 0.0, -1.0, 0.0, -1.0, 3)]
+    r = areas.turns(spark.createDataFrame(steps, "route int, pos int, seg int, in_x double, in_y double, out_x double, out_y double, degree int"), 60.0).first()
+    assert (r.turns, r.uturns) == (1, 1)

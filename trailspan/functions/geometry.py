@@ -74,10 +74,10 @@ def bounds(line: Column) -> Column:
 
 
 def cohesion(line: Column) -> Column:
-    """Length over a quarter of the bounding diagonal's fourfold, between 0 and 1: near 1 for compact walks."""
+    """Length over four times the bounding diagonal, at most 1: high for walks that fill one place; 1 for those within a metre."""
     b = bounds(line)
     diagonal = F.hypot(b["x1"] - b["x0"], b["y1"] - b["y0"])
-    return F.when(diagonal > 0, F.least(F.lit(1.0), length(line) / diagonal / 4)).otherwise(0.0)
+    return F.when(diagonal > 1, F.least(F.lit(1.0), length(line) / diagonal / 4)).otherwise(1.0)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371000.0) -> Column:
