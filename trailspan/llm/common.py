@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,37 @@ def remainder(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def for_texts(frame: DataFrame) -> DataFrame:
+    """The frame itself, after the session's Arrow batches were set to BATCH_ROWS rows at most: batches of the usual 10,000 long
+    texts are tens of megabytes in the executor's direct memory and again in the worker."""
+    conf = frame.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return frame
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined until their texts hold about ``limit`` bytes."""
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
+def sampled(frame: DataFrame, n: int, *key: Column | str) -> DataFrame:
+    """About the ``n`` rows of the smallest key hash, as ``_h`` and the frame's columns. Only hashes reach the driver to find
+    the cut, n of each task at most; rows follow for those that are taken. Equal keys stand or fall together."""
+    hashed = frame.withColumn("_h", F.xxhash64(*key))
+    cut = hashed.select("_h").orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return hashed.where(F.col("_h") <= F.lit(cut)) if cut is not None else hashed.limit(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts hold about ``limit`` bytes; one long text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

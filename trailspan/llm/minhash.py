@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspan.llm.common import give_back, mix64, slices, table, texts_of
+from trailspan.llm.common import for_texts, give_back, mix64, slices, table, texts_of
 from trailspan.operators.graph import connected_components
 from trailspan.shared import stored
 
@@ -127,7 +127,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(f1), pa.array(f2), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return for_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
                 raw = [sets[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array(f1), pa.array(f2), pa.array(raw, pa.binary())], ["n_shingles", "f1", "f2", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "n_shingles long, f1 long, f2 long, shingles binary").select(_cid().alias("cid"), "shingles")
+    return for_texts(docs).select("text").mapInArrow(run, "n_shingles long, f1 long, f2 long, shingles binary").select(_cid().alias("cid"), "shingles")
 
 
 def _cid() -> Column:

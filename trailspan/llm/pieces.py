@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailspan.llm.chunks import ChunkCoder
-from trailspan.llm.common import slices, table, texts_of
+from trailspan.llm.common import for_texts, gathered, slices, table, texts_of
 
 SPACE = "▁"
 #: Chunks between which every segmentation has a border, as no piece has a space after another character.
@@ -133,7 +133,7 @@ def model(path: str) -> tuple[PieceModel, ChunkCoder]:
     """The model of a file and its memory of chunks, kept by the worker for its later tasks."""
     if path not in _MODELS:
         m = PieceModel(path)
-        _MODELS[path] = (m, ChunkCoder(m.encode_many, m.chunks, ODD if m.chunked else "", bare=False))
+        _MODELS[path] = (m, ChunkCoder(m.encode_many, m.chunks, ODD if m.chunked else "", bare=False, limit=200_000))
     return _MODELS[path]
 
 
@@ -150,8 +150,8 @@ def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, ar
         m, coder = model(path)
         is_byte = np.zeros(len(m.text), bool)
         is_byte[list(m.bytes.values())] = True
-        for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+        for batch in gathered(batches, "text", 4 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 texts = texts_of(part)
                 ids, counts = coder.encode(pa.array(texts, pa.string()))
                 ends = np.cumsum(counts)
@@ -167,7 +167,7 @@ def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, ar
 
     names = ["n_pieces", "n_bytes", "pieces_crc32", "round_trip", *(["pieces"] if arrays else [])]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.BooleanType(), *([T.ArrayType(T.IntegerType())] if arrays else [])]
-    some = docs.select(*columns)
+    some = for_texts(docs).select(*columns)
     return some.mapInArrow(run, T.StructType([*some.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailspan.llm.common import slices, table, texts_of
+from trailspan.llm.common import for_texts, sampled, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -423,11 +423,11 @@ def find_spans(model: BiLstmCrf | None, texts: list[str]) -> list[tuple[list[Spa
 
 def fit_pii(docs: DataFrame, sample: int = 2000, plain: int = 500) -> BiLstmCrf | None:
     """Train on at most ``sample`` texts with a digit or @ that hold a base match and ``plain`` that hold none: those of the smallest hash."""
-    some = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    h = F.xxhash64(F.lit(31), "text")
     likely = F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{6}|[0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9]{13}|([0-9]{4}[ -]){3}")
-    keep = F.col("text").alias("text"), likely.alias("likely")
-    rows = [r.text for want, n in ((True, sample), (False, plain)) for r in some.select(*keep).where(F.col("likely") == want).orderBy(h).limit(n).select("text").collect()]
+    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    rows = []
+    for want, n in ((likely, sample), (~likely, plain)):
+        rows += [r.text for r in sampled(some.where(want), n, F.lit(31), "doc_id", "text").select("_h", "text").distinct().orderBy("_h", "text").collect()]
     return train(rows)
 
 
@@ -441,7 +441,7 @@ def with_spans(docs: DataFrame, model: BiLstmCrf | None, columns: list[str]) ->
                 got = find_spans(handle.value, texts_of(part))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([written(b) for b, _ in got], pa.string()), pa.array([written(s) for _, s in got], pa.string())], [*part.schema.names, "pii_base", "pii_spans"])
 
-    some = docs.select(*columns)
+    some = for_texts(docs).select(*columns)
     return some.mapInArrow(run, T.StructType([*some.schema.fields, T.StructField("pii_base", T.StringType()), T.StructField("pii_spans", T.StringType())]))
 
 
@@ -473,7 +473,7 @@ def redacted(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
                     columns["n_chars"] = pa.array([n if t == u or u is None else len(u) for n, t, u in zip(old, raw, texts)], part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return for_texts(docs).mapInArrow(run, docs.schema)
 
 
 def op10_bilstm_pii(spark, sf_dir: str) -> DataFrame:

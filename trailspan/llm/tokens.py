@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspan.llm.chunks import ChunkCoder, EncodeMany
-from trailspan.llm.common import ranges, slices, table
+from trailspan.llm.common import for_texts, gathered, ranges, sampled, slices, table
 from trailspan.shared import shared_folder
 
 MAGIC = b"TSTOKEN1"
@@ -119,8 +119,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     repeated doc_ids keep all their rows; an empty table has no shard.
     """
     path = path or tokenizer_path()
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    picked = [r.text for r in texts.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    picked = [r.text for r in sampled(texts, sample, "doc_id", "text").select("_h", "text").distinct().orderBy("_h", "text").collect()]
     ids, counts = encode(path, pa.array(picked, pa.string()), end_id)
     from tokenizers import Tokenizer
 
@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         out = None
         d = _dict(raw)
         z = zstandard.ZstdCompressor(level=level, write_content_size=True, **({"dict_data": d} if d else {}))
-        for piece in (p for batch in batches for p in slices(batch, "text", 16 << 20)):
+        for piece in (p for batch in gathered(batches, "text", 12 << 20) for p in slices(batch, "text", 16 << 20)):
             if out is None:
                 out = store.open_output_stream(f"{name}.{attempt}")
                 out.write(MAGIC + digest)
@@ -163,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
             store.move(f"{name}.{attempt}", name)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(index)]), pa.array([int(sum(ns))]), pa.array([ids[0]], pa.int64()), pa.array([ids[-1]], pa.int64())], ["shard", "docs", "tokens", "first_id", "last_id"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = for_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(run, "shard int, docs long, tokens long, first_id long, last_id long").collect())
     start, shards = 0, []
     for r in rows:

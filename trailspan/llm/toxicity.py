@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailspan.llm.common import ranges, remainder, slices, table, texts_of
+from trailspan.llm.common import for_texts, give_back, ranges, remainder, slices, table, texts_of
 
 BITS = 18
 WORDS_AND_BREAKS = re.compile(rb"[^\x20\x09-\x0D]+|\n")
@@ -230,23 +230,27 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 6, se
             model.trans = model.trans + 0.1 * d / np.sqrt(tsum)
             bsum += g.sum() ** 2
             model.bias += 0.2 * g.sum() / np.sqrt(bsum)
-    p, _, _ = forward_backward(model.emissions(flat, counts, ids, lines), lines, model.trans)
-    x = doc_features(p, np.bincount(doc_of, minlength=len(texts)))
+    del flat, counts, begin, y, sums, pool, ids, doc_of, words
+    x = np.concatenate([marginals(model, texts[i : i + 200])[2] for i in range(0, len(texts), 200)])
+    give_back()
     n1 = toxic.sum()
     weight = np.where(toxic > 0, prior * len(toxic) / n1, (1 - prior) * len(toxic) / (len(toxic) - n1))
     model.calib = logistic(x, toxic, weight, 0.05)
     return model
 
 
+def marginals(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of all tokens, tokens of each text, and doc_features."""
+    words, ids, lines, per_text = tokenise(texts)
+    tokens = np.bincount(np.repeat(np.arange(len(texts)), per_text), lines, len(texts)).astype(np.int64)
+    p = forward_backward(model.emissions(*feature_table(words), ids, lines), lines, model.trans)[0] if len(ids) else np.zeros(0)
+    return p, tokens, doc_features(p, tokens)
+
+
 def score_texts(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Score, number of offending words, and their start:end offsets (code points, end exclusive) for each text."""
-    words, ids, lines, per_text = tokenise(texts)
-    line_doc = np.repeat(np.arange(len(texts)), per_text)
-    tokens = np.bincount(line_doc, lines, len(texts)).astype(np.int64)
-    p = np.zeros(0)
-    if len(ids):
-        p, _, _ = forward_backward(model.emissions(*feature_table(words), ids, lines), lines, model.trans)
-    score = 1 / (1 + np.exp(-np.clip(doc_features(p, tokens) @ model.calib, -30, 30)))
+    p, tokens, x = marginals(model, texts)
+    score = 1 / (1 + np.exp(-np.clip(x @ model.calib, -30, 30)))
     hit = np.concatenate([[0], np.cumsum(p >= SPAN_AT)])
     ends = np.cumsum(tokens)
     count = hit[ends] - hit[ends - tokens] if len(texts) else np.zeros(0, np.int64)
@@ -258,7 +262,7 @@ def score_texts(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     return score, count, spans
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held: int | None = 2, folds: int = 4, sample: int = 2000) -> Crf:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held: int | None = 2, folds: int = 4, sample: int = 1500) -> Crf:
     """Train on at most ``sample`` toxic and ``sample`` other labelled rows, those of the smallest hash, equal and like texts once.
 
     Rows whose crc32(doc_id) mod ``folds`` is ``held`` are never looked at; the
@@ -292,7 +296,7 @@ def with_scores(docs: DataFrame, model: Crf, columns: list[str]) -> DataFrame:
                 score, count, spans = score_texts(handle.value, texts_of(part))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(count.astype(np.int64)), pa.array(spans, pa.string())], [*part.schema.names, "tox_score", "tox_words", "tox_spans"])
 
-    some = docs.select(*columns)
+    some = for_texts(docs).select(*columns)
     schema = T.StructType([*some.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_words", T.LongType()), T.StructField("tox_spans", T.StringType())])
     return some.mapInArrow(run, schema)
 
