@@ -191,3 +191,14 @@ def test_clusters_states_and_turns(spark):
     steps = [(1, 0, 10, 1.0, 0.0, 1.0, 0.0, 1), (1, 1, 11, 0.0, 1.0, 0.0, 1.0, 3), (1, 2, 11, 0.0, -1.0, 0.0, -1.0, 2), (1, 3, 12, 0.0, -1.0, 0.0, -1.0, 3)]
     r = areas.turns(spark.createDataFrame(steps, "route int, pos int, seg int, in_x double, in_y double, out_x double, out_y double, degree int"), 60.0).first()
     assert (r.turns, r.uturns) == (1, 1)
+
+
+def test_node_sequence_and_line(spark):
+    pts = {1: (0.0, 0.0), 2: (1.0, 0.0), 3: (1.0, 1.0)}
+    xy = lambda n: {"x": pts[n][0], "y": pts[n][1]}
+    mid = {"x": 2.0, "y": 0.5}
+    walks = [(1, [(2, 1, [xy(2), xy(1)]), (2, 3, [xy(2), mid, xy(3)]), (2, 3, [xy(2), mid, xy(3)])]), (2, [(1, 2, [xy(1), xy(2)])]), (3, [])]
+    frame = spark.createDataFrame(walks, "r int, steps array<struct<u:int,v:int,line:array<struct<x:double,y:double>>>>")
+    got = {r.r: r for r in frame.select("r", coverage.node_sequence(F.transform("steps", lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v")))).alias("n"), coverage.walked_line(F.col("steps")).alias("l")).collect()}
+    assert got[1].n == [1, 2, 3, 2] and got[2].n == [1, 2] and got[3].n is None
+    assert [(p.x, p.y) for p in got[1].l] == [(0, 0), (1, 0), (2, 0.5), (1, 1), (2, 0.5), (1, 0)]

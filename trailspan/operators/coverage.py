@@ -75,3 +75,20 @@ def slate(candidates: DataFrame, group: str, key: str, score_col: str, items: st
     step = lambda acc, x: F.when((F.size(acc) < size) & ~F.exists(acc, lambda y: shares(y["i"], x["i"]) > most_overlap), F.concat(acc, F.array(x))).otherwise(acc)
     chosen = F.aggregate(F.col("c").cast(kind), F.array().cast(kind), step)
     return listed.select(group, F.posexplode(chosen).alias("rank", "_x")).select(group, (F.col("rank") + 1).alias("rank"), F.col("_x.k").alias(key), (-F.col("_x.s")).alias(score_col))
+
+
+def node_sequence(steps: Column) -> Column:
+    """Nodes that a walk visits, from an array of its steps' ends (struct u, v) in order. It begins at the end of the first step
+    that the second one does not touch; a step that touches neither end of what is before it is taken from its u."""
+    a, b = F.try_element_at(steps, F.lit(1)), F.try_element_at(steps, F.lit(2))
+    touches = lambda n: F.coalesce((n == b["u"]) | (n == b["v"]), F.lit(False))
+    start = F.when(touches(a["v"]), a["u"]).when(touches(a["u"]), a["v"]).otherwise(a["u"])
+    step = lambda acc, s: F.concat(acc, F.array(F.when(F.try_element_at(acc, F.lit(-1)) == s["v"], s["u"]).otherwise(s["v"])))
+    return F.when(F.size(steps) > 0, F.aggregate(steps, F.array(start), step))
+
+
+def walked_line(steps: Column) -> Column:
+    """One line from an array of steps (struct u, v, line), each turned the way it is walked; the joints appear once."""
+    nodes = node_sequence(F.transform(steps, lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v"))))
+    turned = F.transform(steps, lambda s, i: F.when(F.try_element_at(nodes, (i + 1).cast("int")) == s["u"], s["line"]).otherwise(F.reverse(s["line"])))
+    return F.concat(F.slice(F.get(turned, F.lit(0)), 1, 1), F.flatten(F.transform(turned, lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))))))
