@@ -55,7 +55,7 @@ def coder(path: str) -> ChunkCoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _CODERS[path] = ChunkCoder(joined(t), lambda text: BREAK.split(text) if text else [], ODD, bare=True)
+        _CODERS[path] = ChunkCoder(joined(t), lambda text: BREAK.split(text) if text else [], ODD, bare=True, limit=1_200_000)
     return _CODERS[path]
 
 
@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         out = None
         d = _dict(raw)
         z = zstandard.ZstdCompressor(level=level, write_content_size=True, **({"dict_data": d} if d else {}))
-        for piece in (p for batch in gathered(batches, "text", 12 << 20) for p in slices(batch, "text", 16 << 20)):
+        for piece in (p for batch in gathered(batches, "text", 32 << 20) for p in slices(batch, "text", 16 << 20)):
             if out is None:
                 out = store.open_output_stream(f"{name}.{attempt}")
                 out.write(MAGIC + digest)
