@@ -72,3 +72,60 @@ def whatif_attribution(spark, sf_dir):
     loose = graph.connected_components(lines.select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst")))
     strict = graph.connected_components(_edges(spark, sf_dir)).select("node", F.col("component").alias("before"))
     return loose.join(strict, "node", "left").groupBy("component").agg(F.count("*").alias("nodes"), F.count("before").alias("nodes_before"), F.count_distinct("before").alias("components_before"))
+
+
+# The queries above hold for lines of full quantity and hardly any discount only, so that their recursive SQL ends. Those
+# below take every line; their weights vary, and recursive SQL over them is too slow to be registered.
+
+
+def _network(spark, sf_dir):
+    """(src, dst, w, whole) of every line; the weight is its price in cents."""
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("w"), (F.col("l_quantity") == 50).alias("whole"))
+
+
+def _sources(spark, sf_dir):
+    """The smallest supplier of each nation that has a line."""
+    used = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    return load(spark, sf_dir, "supplier").join(used, "s_suppkey", "left_semi").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("node")).select("node")
+
+
+@query()
+def network_components(spark, sf_dir):
+    """Connected components of the network of all lines."""
+    return graph.connected_components(_network(spark, sf_dir))
+
+
+@query()
+def network_profile(spark, sf_dir):
+    """Nodes, edges, cycles and weight of each component of the network of all lines."""
+    edges = _network(spark, sf_dir)
+    return graph.component_profile(edges, "src", "dst", "w", graph.connected_components(edges))
+
+
+@query("SELECT node, count(*) AS degree FROM (SELECT l_suppkey AS node FROM lineitem UNION ALL SELECT 1000000 + l_partkey FROM lineitem) GROUP BY 1")
+def network_degree(spark, sf_dir):
+    """Edges at each node of the network of all lines."""
+    return graph.degrees(_network(spark, sf_dir), "src", "dst")
+
+
+@query()
+def network_levels(spark, sf_dir):
+    """Hops from one supplier of each nation in the network of all lines."""
+    edges = _network(spark, sf_dir).withColumn("hop", F.lit(1).cast("long"))
+    return graph.shortest_distances(edges, "src", "dst", "hop", _sources(spark, sf_dir))
+
+
+@query()
+def network_distances(spark, sf_dir):
+    """Shortest distances by price from one supplier of each nation in the network of all lines."""
+    return graph.shortest_distances(_network(spark, sf_dir), "src", "dst", "w", _sources(spark, sf_dir))
+
+
+@query()
+def network_whatif(spark, sf_dir):
+    """Components with all lines, and how many of those with lines of full quantity each unites."""
+    edges = _network(spark, sf_dir)
+    loose = graph.connected_components(edges)
+    strict = graph.connected_components(edges.where("whole")).select("node", F.col("component").alias("before"))
+    return loose.join(strict, "node", "left").groupBy("component").agg(F.count("*").alias("nodes"), F.count("before").alias("nodes_before"), F.count_distinct("before").alias("components_before"))
