@@ -37,3 +37,20 @@ def test_rows(spark):
     got = html.rendered(pages, ["page_id", "html"]).collect()
     assert len(got) == 5 and [r.visible for r in got if r.page_id < 4] == ["a", "a", "", ""]
     assert html.rendered(pages.limit(0), ["page_id", "html"]).count() == 0
+
+
+def test_what_stands_between_rows_goes_before_the_table():
+    assert html.render("<table><div>note</div><tr><td>a<td>b</table>") == "note\n\na  b"
+    assert html.render("<table><tr><td>a</td></tr><p>note</p><tr><td>b</table>after") == "note\n\na\nb\n\nafter"
+    assert html.render("<table><a>x</a><tr><td>a</table>") == "x\n\na"
+    assert html.render("<table><tr><img alt=pic><input value=go><textarea>t</textarea><td>a</table>") == "picgot\n\na"
+    assert html.render("<table><div>open<tr><td>a<tr><form><td>b</form></table>") == "open\n\na\nb"
+    assert html.render("<table><colgroup><col>text<p>more<tbody><tr><td>a</table>") == "text\n\nmore\n\na"
+    assert html.render("<table><caption>Cap<tr><td>a<table><b>in</b><tr><td>b</table></table>") == "Cap\nain\nb"
+    assert html.render("<table><table><p>x</p><tr><td>b</table>") == "x\n\nb"
+
+
+def test_a_head_ends_where_the_body_begins():
+    assert html.render("<head><title>T</title><p>Text <b>bold</b><p>more") == "Text bold\n\nmore"
+    assert html.render("<html><head><meta charset=utf-8><title>T</title>\nText") == "Text"
+    assert html.render("<head><script>s</script><style>t</style><noscript>n</noscript><link rel=x></head><body>b") == "b"

@@ -32,6 +32,17 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "body": ({"head"}, {"body"}),
 }
+#: Start tags that a head may hold; any other one, and text, closes it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Where a table holds its parts only; what else stands there goes before the table.
+FRAME = frozenset("table tbody thead tfoot tr colgroup".split())
+#: What a part of a table stands in: all that is open above the nearest of these is closed first.
+PARTS = {
+    "caption": {"table"}, "colgroup": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "col": {"table", "colgroup"},
+    "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tbody", "thead", "tfoot", "tr"}, "th": {"table", "tbody", "thead", "tfoot", "tr"},
+}
+#: Elements that may stand in a table besides its parts.
+UNSEEN = frozenset("script style template".split())
 #: Elements that an end tag cannot reach through.
 BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "p": {"td", "th", "table", "caption", "button"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 
@@ -60,7 +71,11 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def tree(page: str) -> Node:
-    """The document's tree. Unknown end tags are dropped; open tags at the end are closed; a table's rows and cells get the parts they lack."""
+    """The document's tree. Unknown end tags are dropped; open tags at the end are closed; a table's rows and cells get the parts they lack.
+
+    A head ends at the first text or start tag that cannot stand in it. Text and elements that stand in a table or row but
+    outside its cells and caption go before the table.
+    """
     root = Node("#root")
     stack = [root]
     at, n = 0, len(page)
@@ -73,19 +88,31 @@ def tree(page: str) -> Node:
             if stack[i].name in stop:
                 return
 
+    def clear_to(names: set[str]) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
+                del stack[i + 1 :]
+                return
+
+    def place(x: Node | str) -> None:
+        """Into the open element; if that is a table or a row, before the table."""
+        if stack[-1].name in FRAME and (not x.isspace() if isinstance(x, str) else x.name not in PARTS and x.name not in UNSEEN):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == "table":
+                    stack[i - 1].children.insert(max(0, len(stack[i - 1].children) - 1), x)
+                    return
+        stack[-1].children.append(x)
+
     def push(node: Node) -> None:
-        stack[-1].children.append(node)
+        place(node)
         if node.name not in VOID:
             stack.append(node)
 
     def add_text(text: str) -> None:
         if text:
-            if stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr") and not text.isspace():
-                for i in range(len(stack) - 1, 0, -1):  # stray text goes before its table
-                    if stack[i].name == "table":
-                        stack[i - 1].children.insert(max(0, len(stack[i - 1].children) - 1), text)
-                        return
-            stack[-1].children.append(text)
+            if stack[-1].name == "head" and not text.isspace():
+                stack.pop()
+            place(text)
 
     while at < n:
         lt = page.find("<", at)
@@ -118,10 +145,16 @@ def tree(page: str) -> Node:
                 pop_to({name}, BARRIER.get(name, {"table", "td", "th"} if name not in ("table", "tbody", "thead", "tfoot", "body", "html") else set()))
             continue
         attrs = attributes(m["attrs"])
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()
+        if name == "table" and stack[-1].name in FRAME:
+            pop_to({"table"}, set())
         if name in CLOSES_P:
             pop_to({"p"}, {"td", "th", "table", "button", "caption"})
         if name in IMPLIED:
             pop_to(*IMPLIED[name])
+        if name in PARTS:
+            clear_to(PARTS[name])
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr"))
         node = Node(name, attrs)
@@ -131,7 +164,7 @@ def tree(page: str) -> Node:
             if page[at:stop]:
                 raw = page[at:stop]
                 node.children.append(entities.unescape(raw) if name in ("textarea", "title") else raw)
-            stack[-1].children.append(node)
+            place(node)
             close = page.find(">", stop)
             at = n if close < 0 else close + 1
         else:
