@@ -70,23 +70,30 @@ def component_profile(edges: DataFrame, src: str, dst: str, weight: str, compone
     return per.join(nodes, "component").withColumn("cycles", F.col("edges") - F.col("nodes") + 1).withColumn("has_cycle", F.col("edges") >= F.col("nodes"))
 
 
-def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, sources: DataFrame, max_rounds: int = 200) -> DataFrame:
+def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, sources: DataFrame, max_rounds: int = 200, within: str | None = None) -> DataFrame:
     """(source, node, distance) of every node that a source reaches, for many sources at once.
 
     Frontier relaxation: a round joins only the nodes whose distance has just
     dropped with their edges, and keeps the least offer of each node. Weights
     are not negative; of parallel edges the lightest counts. With weight 1 the
     distances are the levels of a breadth-first search. ``sources`` has one
-    column, node; each round's table is written to the shared folder.
+    column, node; each round's table is written to the shared folder. ``within``
+    names a column of ``sources``, one value a node: nodes farther than that from
+    their source are left out and never searched from.
     """
     light = stored(both_ways(edges, src, dst, weight).groupBy("u", "v").agg(F.min(weight).alias("w")), "sssp-edges")
-    best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(light.schema["w"].dataType).alias("distance")).distinct(), "sssp-best")
+    kind = light.schema["w"].dataType
+    cap = [F.col(within).alias("cap")] if within else []
+    keep = ["cap"] if within else []
+    best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(kind).alias("distance"), *cap).distinct(), "sssp-best")
     front = best
     for _ in range(max_rounds):
-        offers = front.join(light, front["node"] == light["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(light.schema["w"].dataType).alias("offer"))
-        offers = offers.groupBy("source", "node").agg(F.min("offer").alias("offer"))
-        after = stored(best.join(offers, ["source", "node"], "full").select("source", "node", F.least("distance", "offer").alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).alias("new")), "sssp-best")
+        offers = front.join(light, front["node"] == light["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(kind).alias("offer"), *keep)
+        if within:
+            offers = offers.where("offer <= cap")
+        offers = offers.groupBy("source", "node").agg(F.min("offer").alias("offer"), *(F.min(c).alias("far") for c in keep))
+        after = stored(best.join(offers, ["source", "node"], "full").select("source", "node", F.least("distance", "offer").alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).alias("new"), *(F.coalesce(c, "far").alias(c) for c in keep)), "sssp-best")
         best, front = after.drop("new"), after.where("new").drop("new")
         if front.isEmpty():
-            return best
+            return best.drop(*keep)
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
