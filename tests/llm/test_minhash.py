@@ -79,3 +79,16 @@ def test_components_equal_brute_force(spark):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, width, 80).collect()}
         assert got == brute_components(rows, width, 80)
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    words = [f"w{i}" for i in range(40)]
+    # 7 and 9 are alike to the row between them only
+    left, middle, right = " ".join(words), " ".join([*words[3:], *"xyz"]), " ".join([*words[6:], *"xyzuvw"])
+    lone = [" ".join(f"v{i}" for i in range(40)), " ".join(f"v{i}" for i in range(1, 41))]
+    rows = [(7, left), (None, middle), (9, right), (3, lone[0]), (None, lone[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in minhash.near_duplicates(docs, 2, 80).collect())
+    assert got == [(0, 3), (0, 7), (3, 3), (7, 7), (9, 7)]
+    nameless = docs.where("doc_id IS NULL OR doc_id <> 3")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in minhash.near_duplicates(nameless, 2, 80).collect()) == [(0, 0), (0, 7), (7, 7), (9, 7)]

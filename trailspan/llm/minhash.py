@@ -153,11 +153,18 @@ def _cid() -> Column:
 def sets_of(cids: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """cid and whole set of each class in ``cids``, made anew from its representative's text.
 
-    Representatives are found by doc_id, broadcast while BROADCAST_IDS allows.
+    Representatives are found by doc_id, broadcast while BROADCAST_IDS allows;
+    those of classes without any doc_id by the set of their own text.
     """
-    ids = stored(cids.select("cid").distinct().join(reps.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    some = stored(cids.select("cid").distinct().join(reps.select("cid", "rep"), "cid"), "near-ids")
+    ids = some.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
+    n = some.agg(F.count_distinct("rep").alias("ids"), F.count_if(F.col("rep").isNull()).alias("nameless")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = rows.join(F.broadcast(ids) if n.ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    if n.nameless:
+        sought = some.where("rep IS NULL").select("cid")
+        more = whole_sets(rows.where("doc_id IS NULL"), width).join(sought, "cid", "left_semi")
+        return stored(whole_sets(texts, width).unionByName(more).dropDuplicates(["cid"]), "near-sets")
     # a repeated doc_id may bring other texts along; nothing joins their classes
     return stored(whole_sets(texts, width).dropDuplicates(["cid"]), "near-sets")
 
