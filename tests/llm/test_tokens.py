@@ -43,3 +43,14 @@ def test_files_round_trip(spark):
     assert tokens.Shard(manifest["folder"], shard["shard"]).document(777) is None
     empty = tokens.write_tokens(docs.limit(0), shared_folder(spark, "tok"))
     assert tokens.read_tokens(spark, empty).count() == 0
+
+
+def test_added_tokens_are_those_of_the_untouched_tokenizer(spark):
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "the", "é", "12", "<|endoftext|>", "<|endoftext|>", "a.b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(500)]
+    want = [e.ids for e in Tokenizer.from_file(tokens.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    assert want != plain(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tokens.read_tokens(spark, tokens.write_tokens(docs, shared_folder(spark, "tok")), arrays=True).collect()
+    assert [list(r.ids) for r in sorted(got, key=lambda r: r.doc_id)] == [w + [0] for w in want]

@@ -37,6 +37,7 @@ ODD = r" [\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]"
 #: Chunks of one space and then no white space at either end.
 PLAIN = r"(?s)^ [^\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ](.*[^\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ])?\z"
 _CODERS: dict[str, ChunkCoder] = {}
+_WHOLE: dict[str, tuple] = {}
 
 
 def tokenizer_path() -> str:
@@ -59,6 +60,17 @@ def coder(path: str) -> ChunkCoder:
     return _CODERS[path]
 
 
+def whole(path: str) -> tuple:
+    """The tokenizer of a file as it is, and a pattern that finds its added tokens; None if there are none."""
+    if path not in _WHOLE:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        words = [x.content for x in t.get_added_tokens_decoder().values() if x.content]
+        _WHOLE[path] = t, re.compile("|".join(map(re.escape, words))) if words else None
+    return _WHOLE[path]
+
+
 def joined(t) -> EncodeMany:
     """Encodes chunks that begin with a space as one long text, as they are pre-tokens there as well; a token's bytes tell
     which chunk it is of, since the byte-level alphabet has one character for each byte."""
@@ -85,9 +97,20 @@ def joined(t) -> EncodeMany:
     return encode_many
 
 
-def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, ``end_id`` after each, and how many each has."""
-    ids, counts = coder(path).encode(pc.fill_null(texts, ""))
+def encode(path: str, texts: pa.Array, end_id: int, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, ``end_id`` after each, and how many each has. With ``added``, an added token written out in a text is
+    that token, as the file's tokenizer has it; else it is plain letters. Texts with one are few and encoded whole."""
+    texts = pc.fill_null(texts, "")
+    ids, counts = coder(path).encode(texts)
+    t, pattern = whole(path) if added else (None, None)
+    if pattern:
+        at = np.flatnonzero(pc.match_substring_regex(texts, pattern.pattern).to_numpy(zero_copy_only=False))
+        if len(at):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i in at.tolist():
+                parts[i] = np.array(t.encode(texts[i].as_py(), add_special_tokens=False).ids, ids.dtype)
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
@@ -121,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     path = path or tokenizer_path()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     picked = [r.text for r in sampled(texts, sample, "doc_id", "text").select("_h", "text").distinct().orderBy("_h", "text").collect()]
-    ids, counts = encode(path, pa.array(picked, pa.string()), end_id)
+    ids, counts = encode(path, pa.array(picked, pa.string()), end_id, added=True)
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -148,7 +171,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
             if out is None:
                 out = store.open_output_stream(f"{name}.{attempt}")
                 out.write(MAGIC + digest)
-            found, sizes = encode(path, piece.column("text"), end_id)
+            found, sizes = encode(path, piece.column("text"), end_id, added=True)
             flat, cuts = found.astype(kind).tobytes(), np.cumsum(sizes) * width
             for doc, n, e in zip(piece.column("doc_id").to_pylist(), sizes.tolist(), cuts.tolist()):
                 blob = z.compress(flat[e - n * width : e])
