@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from trailspan.shared import stored
+from trailspan.shared import discard, shared_folder, stored, stored_at
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -14,18 +14,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternating large-star and small-star contraction: every round is two
     aggregations with map-side combine and two equi-joins, the number of rounds
     grows with the logarithm of the longest chain, and no adjacency list is ever
-    gathered in one place. Each round's edges are a written table, so a lost
-    executor costs one round at most.
+    gathered in one place. Each round's edges are a written table, counted in
+    the same job, so a lost executor costs one round at most; the table of the
+    round before is deleted.
 
     Null ends are ignored; self loops and repeated edges are harmless; a node
     with only a self loop is its own component; an empty list gives no rows.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cc-nodes")
-    now = stored(
-        pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges"
-    )
+    first = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+    now, path, sums = first.where("u <> v"), None, None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -38,16 +37,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("u <> v")
             .distinct()
         )
-        after = stored(small, "cc-edges")
-        sums = [
-            x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for x in (now, after)
-        ]
-        now = after
-        if sums[0] == sums[1]:
-            return (
-                nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left")
-                .select("node", F.coalesce("m", "node").alias("component"))
-            )
+        # counted while it is written: a round is one job
+        seen, before, old = Observation(), sums, path
+        path = shared_folder(spark, "cc-edges")
+        now = stored_at(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")), path)
+        sums = seen.get
+        if old:
+            discard(spark, old)
+        if sums == before or not sums["n"]:
+            ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            own = lambda x, k: x.select(F.col(k).alias("node"), F.col(k).alias("component"))
+            return ends.unionByName(own(now, "v")).unionByName(own(first.where("u = v"), "u")).groupBy("node").agg(F.min("component").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -13,10 +13,13 @@ _OWN: list[str] = []
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a temporary folder stands in.
+    Where that setting is unset a temporary folder stands in, in local mode
+    only: executors of a cluster would write where nobody else can read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="spark-"))
         base = _OWN[0]
@@ -25,6 +28,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a cut lineage that survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
+    return stored_at(df, shared_folder(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back, for tables that are discarded before the query ends."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later plan reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
