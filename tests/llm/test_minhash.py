@@ -92,3 +92,39 @@ def test_near_copies_without_ids_are_linked(spark):
     assert got == [(0, 3), (0, 7), (3, 3), (7, 7), (9, 7)]
     nameless = docs.where("doc_id IS NULL OR doc_id <> 3")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in minhash.near_duplicates(nameless, 2, 80).collect()) == [(0, 0), (0, 7), (7, 7), (9, 7)]
+
+
+def test_hot_mixed_buckets_equal_brute_force(spark, monkeypatch):
+    """Chains of drifting copies, so that no one copy is like all others; cells so small that every bucket is dealt to several."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for _ in range(4):
+        w = [rng.choice(words) for _ in range(60)]
+        for _ in range(25):
+            docs.append(" ".join(w))
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(60)] = rng.choice(words)
+    rng.shuffle(docs)
+    rows = list(enumerate(docs))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 2, 80)
+    assert len({c for _, c in want.values()}) < 40
+    for signed, whole in ((2048, 256), (4, 3)):
+        monkeypatch.setattr(minhash, "SIGNED_ROWS", signed)
+        monkeypatch.setattr(minhash, "WHOLE_ROWS", whole)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 2, 80).collect()} == want
+
+
+def test_recall_of_banding_and_signature_filter():
+    """Pairs at a similarity of 0.8 that share a band and have NEED equal bytes: all but one in a million."""
+    rng = np.random.default_rng(2)
+    kept = 0
+    for _ in range(300):
+        both = rng.integers(0, 2**63, 80).astype(np.uint64)
+        a, b = (np.sort(np.concatenate([both, rng.integers(0, 2**63, 10).astype(np.uint64)])) for _ in range(2))
+        sig = minhash.super_minhash(np.concatenate([a, b]), np.array([90, 90]))
+        keys = minhash.band_keys(sig)
+        small = (minhash.mix64(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+        kept += (keys[0] == keys[1]).any() and (small[0] == small[1]).sum() >= minhash.NEED
+    assert kept == 300

@@ -4,6 +4,10 @@ import corpus_pipeline
 from trailspan.llm import minhash
 
 
+#: Extra columns named like the stages' own.
+OWN = ["tox_score", "tox_words", "any_kept", "times", "out_id", "id", "row", "kept", "pii_base", "tokens", "domain", "pieces"]
+
+
 def corpus(spark):
     rng = random.Random(9)
     words = "the of thon ansh erly onti heat blen tion ede".split()
@@ -16,7 +20,7 @@ def corpus(spark):
             w[30] = f"joe{i}@mail.example.com"
         rows.append((i, " ".join(w), "en", f"src{i % 4}", 0))
     rows += [(1000 + i, rows[1][1], "en", "src1", 0) for i in range(40)] + [(2000, rows[2][1] + " tail", "en", "src2", 0), (3000, None, None, None, None), (3001, "", "en", "src0", 0), (None, "lone text", "en", "src0", 0), (3, rows[3][1], "en", "src3", 0)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("tox_score", minhash.F.lit("own"))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(minhash.F.lit("own").alias(c) for c in OWN))
 
 
 def test_stages(spark, tmp_path):
@@ -40,7 +44,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_empty_documents(spark, tmp_path):
-    docs = corpus(spark).drop("tox_score")
+    docs = corpus(spark).drop(*OWN)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

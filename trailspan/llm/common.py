@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,13 @@ def remainder(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def own_names(columns: list[str], *made: str) -> None:
+    """Refuses columns that have the name of a result, before any job runs."""
+    clash = {c.lower() for c in columns} & {m.lower() for m in made}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} have names of results: rename them or leave them out")
+
+
 def for_texts(frame: DataFrame) -> DataFrame:
     """The frame itself, after the session's Arrow batches were set to BATCH_ROWS rows at most: batches of the usual 10,000 long
     texts are tens of megabytes in the executor's direct memory and again in the worker."""
@@ -64,6 +72,30 @@ def sampled(frame: DataFrame, n: int, *key: Column | str) -> DataFrame:
     return hashed.where(F.col("_h") <= F.lit(cut)) if cut is not None else hashed.limit(0)
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[dict]], object], text: str = "text", most: int = 16 << 20) -> object:
+    """What ``fit`` makes of the rows of a small ordered ``sample``, in one task of an executor; its pickled result is all that
+    comes to the driver. Rows are taken in order while their texts hold ``most`` bytes together; those that would not fit
+    are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        left = most
+        for batch in batches:
+            for part in slices(batch, text, 1 << 20):
+                for row in part.to_pylist():
+                    size = len((row[text] or "").encode("utf-8", "surrogatepass"))
+                    if size <= left:
+                        left -= size
+                        rows.append(row)
+        made = pickle.dumps(fit(rows))
+        del rows
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+
+    found = for_texts(sample).coalesce(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(bytes(found[0].made)) if found else fit([])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts hold about ``limit`` bytes; one long text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

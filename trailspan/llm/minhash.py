@@ -18,6 +18,9 @@ from trailspan.shared import stored
 VALUES, BANDS = 128, 32
 #: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Equal values of two signatures below which a pair of a mixed bucket is not looked at: at a similarity of 0.8 fewer come
+#: with a chance of 1e-9. Rows of a bucket that meet in one task, by their signatures and by their whole sets.
+NEED, SIGNED_ROWS, WHOLE_ROWS = 74, 2048, 256
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -116,18 +119,20 @@ def fingerprints(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint f1, f2 and the band keys of every text."""
+    """doc_id, n_shingles, set fingerprint f1, f2, the band keys and a byte of each signature value of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sets, counts = shingles(texts_of(part), width)
-                keys = band_keys(super_minhash(sets, counts))
+                sig = super_minhash(sets, counts)
+                keys = band_keys(sig)
+                small = [row.tobytes() for row in (mix64(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)]
                 f1, f2 = fingerprints(sets, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(f1), pa.array(f2), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(f1), pa.array(f2), lists, pa.array(small, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "bands", "sig"])
 
-    return for_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return for_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -186,60 +191,128 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of different labels between two small tables of whole sets."""
-    if not left.num_rows or not right.num_rows:
-        return []
-    sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")] for t in (left, right)]
-    sizes = np.array([len(x) for x in sets[1]], np.int64)
-    values, codes = np.unique(np.concatenate(sets[1]), return_inverse=True)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each left set is linked with each right one."""
+    sizes = np.array([len(x) for x in right], np.int64)
+    values, codes = np.unique(np.concatenate(right), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    ids, labels = (right.column(c).to_numpy() for c in ("cid", "label"))
     mark = np.zeros(len(values), np.int32)
-    found = []
-    for cid, label, x in zip(left.column("cid").to_pylist(), left.column("label").to_pylist(), sets[0]):
+    out = np.zeros((len(left), len(right)), bool)
+    for i, x in enumerate(left):
         at = np.searchsorted(values, x)
         at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == x)]
         mark[at] = 1
         both = np.add.reduceat(mark[codes], starts)
         mark[at] = 0
-        hit = (100 * both >= percent * (len(x) + sizes - both)) & (labels != label)
-        found += [(cid, int(i)) for i in ids[hit]]
-    return found
+        out[i] = 100 * both >= percent * (len(x) + sizes - both)
+    return out
 
 
-def links_across(tagged: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int, chunk: int = 256) -> DataFrame | None:
-    """Links between different components that stand in one bucket; None where no bucket holds two.
+def dealt(members: DataFrame, rows: int) -> DataFrame:
+    """Members (key, cid, label, ...) of buckets with the task cell that they meet in.
 
-    Buckets that overlap form a group. Of each group, the classes outside its
-    largest component are compared to all of the group; chunks of both sides meet
-    in small tasks, which return links only, so pairs are never written out.
+    Buckets of ``rows`` members at most are dealt to cells of about that many
+    rows in all (side 2: all meet all). Of a larger one, the members outside its
+    most frequent label (side 0) meet all members (side 1), in chunks of ``rows``.
     """
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cid").alias("first")).where("low < high").select("key", "first")
-    rest = stored(tagged.join(mixed, "key").select("first", "cid", "label"), "near-mixed")
+    some = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+    per = stored(some, "near-sizes")
+    small = per.where(F.col("size") <= rows).agg(F.sum("size")).first()[0] or 0
+    cells = max(1, -(-small // rows))
+    full = members.join(per, "key")
+    fixed = lambda n: F.lit(n).cast("int")
+    here = full.where(F.col("size") <= rows).select(*members.columns, F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(cells)).alias("cell"), fixed(0).alias("sc"), fixed(0).alias("mc"), fixed(2).alias("side"))
+    if not small:
+        here = here.limit(0)
+    hot = full.where(F.col("size") > rows)
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
+    scs, mcs = chunks(F.col("size") - F.col("top.n")), chunks(F.col("size"))
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias
+    left = hot.where(F.col("label") != F.col("top.label")).select(*members.columns, F.col("key").alias("cell"), deal(1, scs).alias("sc"), every(mcs)("mc"), fixed(0).alias("side"))
+    right = hot.select(*members.columns, F.col("key").alias("cell"), every(scs)("sc"), deal(2, mcs).alias("mc"), fixed(1).alias("side"))
+    return here.unionByName(left).unionByName(right)
+
+
+def buckets_in(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(left rows, right rows, i, j) for each bucket of a cell: positions i and j in them of the pairs to look at.
+
+    Those have different labels, sizes that allow a link, and NEED equal values,
+    and this is the first of the buckets that the two share, so that no pair is
+    looked at in two of them.
+    """
+    key, side, label, n = (part.column(c).to_numpy() for c in ("key", "side", "label", "n"))
+    bands = np.array(part.column("bands").to_pylist(), np.int64)
+    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    for rows in np.split(order, cuts):
+        left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+        if not len(left) or not len(right):
+            continue
+        band = int(np.argmax(bands[rows[0]] == key[rows[0]]))
+        step = max(1, (8 << 20) // (len(right) * sig.shape[1]))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            same = (sig[some][:, None, :] == sig[right][None, :, :]).sum(2)
+            fits = (same >= NEED) & (label[some][:, None] != label[right][None, :])
+            fits &= (100 * n[some][:, None] >= percent * n[right][None, :]) & (100 * n[right][None, :] >= percent * n[some][:, None])
+            i, j = np.nonzero(fits)
+            if len(i) and band:
+                first = ~(bands[some[i], :band] == bands[right[j], :band]).any(1)
+                i, j = i[first], j[first]
+            if len(i):
+                yield some, right, i, j
+
+
+def links_across(tagged: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between the labels of different components that meet in a bucket; None where no bucket holds two.
+
+    Members of mixed buckets are first compared by their signatures, bucket by
+    bucket; whole sets are fetched for those only that may be linked with one of
+    another label, and are compared inside the tasks. These return at most one
+    link for every two labels; pairs are never written out.
+    """
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = stored(tagged.join(mixed, "key").select("key", "cid", "label"), "near-mixed")
     if rest.isEmpty():
         return None
-    group = stored(connected_components(rest, "first", "cid"), "near-groups")
-    members = rest.select("cid", "label").distinct().join(group.select(F.col("node").alias("cid"), F.col("component").alias("group")), "cid")
-    members = stored(members, "near-members")
-    per = members.groupBy("group", "label").agg(F.count("*").alias("n"))
-    per = per.groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / chunk)).cast("int")
-    per = per.select("group", F.col("top.label").alias("main"), chunks(F.col("all")).alias("mcs"), chunks(F.col("all") - F.col("top.n")).alias("scs"))
-    sets = sets_of(members, docs, reps, width)
-    full = members.join(per, "group").join(sets, "cid")
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["group", "sc", "mc", "cid", "label", "shingles"]
-    left = full.where("label <> main").withColumn("sc", deal(1, "scs")).withColumn("mc", every("mcs")).select(*columns)
-    right = full.withColumn("mc", deal(2, "mcs")).withColumn("sc", every("scs")).select(*(F.col(c).alias(c) for c in columns))
-
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        found = compare(x, y, percent)
-        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    key = ["group", "sc", "mc"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long")
+    signs = reps.select("cid", "n", "bands", "sig")
+    cell = ["cell", "sc", "mc"]
+
+    def likely(part: pa.Table) -> pa.Table:
+        cids, keys = part.column("cid").to_numpy(), part.column("key").to_numpy()
+        met = [np.unique(np.concatenate([left[i], right[j]])) for left, right, i, j in buckets_in(part, percent)]
+        rows = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        return pa.table([pa.array(keys[rows]), pa.array(cids[rows])], names=["key", "cid"])
+
+    met = dealt(rest.join(signs, "cid"), SIGNED_ROWS).groupBy(*cell).applyInArrow(likely, "key long, cid long").distinct()
+    met = stored(met, "near-likely")
+    if met.isEmpty():
+        return None
+    full = met.join(rest, ["key", "cid"]).join(signs, "cid").join(sets_of(met, docs, reps, width), "cid")
+
+    def linked(part: pa.Table) -> pa.Table:
+        label, sets = part.column("label").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for c in part.column("shingles").chunks for x in c]
+        upper: dict[int, int] = {}
+        found = []
+
+        def top(x: int) -> int:
+            while upper.get(x, x) != x:
+                x = upper[x]
+            return x
+
+        for left, right, i, j in buckets_in(part, percent):
+            used, spot = np.unique(i, return_inverse=True)
+            hit = overlaps([sets[x] for x in left[used]], [sets[x] for x in right], percent)[spot, j]
+            for a, b in np.unique(np.stack([label[left[i[hit]]], label[right[j[hit]]]], 1), axis=0).tolist():
+                x, y = top(a), top(b)
+                if x != y:
+                    upper[max(x, y)] = min(x, y)
+                    found.append((a, b))
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt(full, WHOLE_ROWS).groupBy(*cell).applyInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -251,8 +324,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     anything else, so thousands of copies cost one row. In a band's bucket the
     classes are first compared to one of them only, which joins most of a group
     of near copies at a cost in proportion to its size. Where that leaves a
-    bucket with several components, links_across compares all classes whose
-    outcome could still change a component.
+    bucket with several components, links_across compares those of its classes
+    whose signatures allow a link that could still change a component.
 
     Null, empty and wordless texts have no shingle, are linked with nothing and
     stay. Rows with the same doc_id are judged by their own texts; a null doc_id
@@ -261,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     made = stored(signed(docs, width), "near-signed")
     full = made.where("n_shingles > 0").withColumn("cid", _cid())
-    reps = stored(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
+    reps = stored(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     buckets = reps.select("cid", "n", F.explode("bands").alias("key"))
     leads = buckets.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", F.col("lead.cid").alias("a"), F.col("lead.n").alias("na"))
     shared = stored(buckets.join(leads, "key"), "near-buckets")
@@ -273,8 +346,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tagged = shared.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
     more = links_across(stored(tagged, "near-tagged"), docs, reps, width, percent)
     if more is not None:
-        links = stored(links.unionByName(more), "near-links")
-        label = stored(connected_components(links, "a", "b"), "near-labels")
+        above = connected_components(stored(more, "near-links"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        every = label.unionByName(label.select(F.col("component").alias("node"), "component")).unionByName(above.select(F.col("component").alias("node"), "component")).distinct()
+        label = stored(every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-labels")
     named = reps.select("cid", "rep").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     where = stored(named.join(least, "label").select("cid", "component_id"), "near-components")

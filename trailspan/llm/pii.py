@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailspan.llm.common import for_texts, sampled, slices, table, texts_of
+from trailspan.llm.common import fitted, for_texts, own_names, sampled, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9.]+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
@@ -60,10 +61,20 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 
 
 def _ips(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Four numbers with a dot between; of a run of digits and dots, each match begins at the first number that has three more."""
     for run in DOTTED.finditer(text):
-        if run.group().count(".") >= 3:
-            for m in IP.finditer(text, run.start(), run.end()):
-                yield m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
+        if run.group().count(".") < 3:
+            continue
+        numbers = [m.span() for m in DIGITS.finditer(text, run.start(), run.end())]
+        i = 0
+        while i + 3 < len(numbers):
+            four = numbers[i : i + 4]
+            if all(b[0] - a[1] == 1 for a, b in zip(four, four[1:])):
+                parts = [text[a:b].lstrip("0") for a, b in four]
+                yield four[0][0], four[3][1], all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+                i += 4
+            else:
+                i += 1
 
 
 def _cards(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -274,8 +285,8 @@ def training_windows(texts: list[str], seed: int, most: int) -> tuple[np.ndarray
                 continue
             starts = windows_of(body)
             if not rewrite and bad:
-                near = lambda s: any(a < s + WIDTH and b > s for _, a, b in bad)
-                starts = np.array([s for s in starts if not near(s)], np.int64)
+                shut = Taken([(a, b) for _, a, b in bad])
+                starts = np.array([s for s in starts if not shut.meets(s, s + WIDTH)], np.int64)
             if len(starts):
                 tags = np.concatenate([tags_of(len(body), spans), np.zeros(WIDTH, np.int64)])
                 xs.append(cut(body, starts))
@@ -404,35 +415,64 @@ def plausible(text: str, span: Span) -> Span | None:
     return (k, a, b) if fits else None
 
 
+class Taken:
+    """Stretches of a text, to ask whether another one meets them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+
 def find_spans(model: BiLstmCrf | None, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and all spans, of each text. An added span touches no base span, and no match of its own kind that failed the check."""
     based = [base_spans(t) for t in texts]
     extra = decode(model, texts) if model else [[] for _ in texts]
     out = []
     for text, (good, bad), more in zip(texts, based, extra):
-        taken = [(a, b) for _, a, b in good]
+        taken = Taken([(a, b) for _, a, b in good])
+        failed = [Taken([(a, b) for j, a, b in bad if j == k]) for k in range(len(KINDS))]
         added: list[Span] = []
         for span in sorted({s for s in (plausible(text, m) for m in more) if s}, key=lambda s: (s[1], -s[2])):
             k, a, b = span
-            if not any(x < b and y > a for x, y in taken) and not any(j == k and x < b and y > a for j, x, y in bad):
+            if not taken.meets(a, b) and not failed[k].meets(a, b) and (not added or added[-1][2] <= a):
                 added.append(span)
-                taken.append((a, b))
         out.append((good, sorted(good + added)))
     return out
 
 
-def fit_pii(docs: DataFrame, sample: int = 2000, plain: int = 500) -> BiLstmCrf | None:
-    """Train on at most ``sample`` texts with a digit or @ that hold a base match and ``plain`` that hold none: those of the smallest hash."""
+def fit_pii(docs: DataFrame, sample: int = 2000, plain: int = 500, windows: int = 3000, sample_bytes: int = 16 << 20) -> BiLstmCrf | None:
+    """Train on at most ``windows`` windows, drawn at random, of at most ``sample`` texts with a digit or @ that hold a base match
+    and ``plain`` that hold none, those of the smallest hash, and at most ``sample_bytes`` of them.
+
+    The fit runs in a task of an executor. Null and empty texts are never
+    drawn, equal texts once; None where no text holds a base match.
+    """
     likely = F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{6}|[0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9]{13}|([0-9]{4}[ -]){3}")
     some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    rows = []
-    for want, n in ((likely, sample), (~likely, plain)):
-        rows += [r.text for r in sampled(some.where(want), n, F.lit(31), "doc_id", "text").select("_h", "text").distinct().orderBy("_h", "text").collect()]
-    return train(rows)
+    parts = [sampled(some.where(want), n, F.lit(31), "doc_id", "text").select(F.lit(k).alias("part"), "_h", "text") for k, (want, n) in enumerate(((likely, sample), (~likely, plain)))]
+    rows = parts[0].unionByName(parts[1]).distinct().orderBy("_h", "part", "text")
+    by = lambda r: (r["part"], r["_h"], r["text"])
+    return fitted(rows, lambda got: train([r["text"] for r in sorted(got, key=by)], most=windows), most=sample_bytes)
 
 
 def with_spans(docs: DataFrame, model: BiLstmCrf | None, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` (text among them) with pii_base and pii_spans; a null text counts as empty."""
+    """``columns`` of ``docs`` (text among them) with pii_base and pii_spans.
+
+    A null text counts as empty and has no span. Long texts are read whole, by
+    overlapping windows; repeated rows come as often as they are there; an empty
+    table gives no rows. Columns that are not asked for are ignored; one that is
+    asked for and has the name of a result raises a ValueError.
+    """
+    own_names(columns, "pii_base", "pii_spans")
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +496,11 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
-    """The same rows and columns, with personal data in ``text`` replaced and ``n_chars`` (if there) counted anew. Null texts stay null."""
+    """The same rows and columns, with personal data in ``text`` replaced and ``n_chars`` (if there) counted anew.
+
+    Null and empty texts stay as they are, long ones are read whole, repeated
+    rows stay repeated, and an empty table stays empty.
+    """
     handle = docs.sparkSession.sparkContext.broadcast(model)
     counted = "n_chars" in docs.columns
 

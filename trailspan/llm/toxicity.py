@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailspan.llm.common import for_texts, give_back, ranges, remainder, slices, table, texts_of
+from trailspan.llm.common import fitted, for_texts, give_back, own_names, ranges, remainder, slices, table, texts_of
 
 BITS = 18
 WORDS_AND_BREAKS = re.compile(rb"[^\x20\x09-\x0D]+|\n")
@@ -262,12 +262,15 @@ def score_texts(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     return score, count, spans
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held: int | None = 2, folds: int = 4, sample: int = 1500) -> Crf:
-    """Train on at most ``sample`` toxic and ``sample`` other labelled rows, those of the smallest hash, equal and like texts once.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held: int | None = 2, folds: int = 4, sample: int = 1500, sample_bytes: int = 16 << 20) -> Crf:
+    """Train on at most ``sample`` toxic and ``sample`` other labelled rows, those of the smallest hash, equal and like texts once,
+    and on at most ``sample_bytes`` of their texts.
 
     Rows whose crc32(doc_id) mod ``folds`` is ``held`` are never looked at; the
     share of toxic rows comes from all others. Conflicting labels of one doc_id
-    count as toxic; labelled rows without a document are ignored.
+    count as toxic; labelled rows without a document are ignored. The fit runs
+    in a task of an executor. Without labelled rows of both kinds, or without a
+    word in them, every text has the share of toxic rows as its score.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -275,19 +278,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held: int | None = 2, folds
         known = known.where(remainder(F.col("doc_id"), folds) != held)
     h = F.xxhash64(F.lit(29), "doc_id")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    total = sum(counts.values())
+    prior = counts.get(1, 0) / total if total else 0.0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     picked = [known.where(F.col("toxic") == k).orderBy(h, "doc_id").limit(sample) for k in (0, 1)]
     some = picked[0].unionByName(picked[1])
     once = texts.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    rows = once.orderBy("doc_id", "text").limit(2 * sample).collect()
-    total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
-    rows = [rows[i] for i in unlike([r.text for r in rows])]
-    return train([r.text for r in rows], np.array([r.toxic for r in rows], np.float64), prior)
+
+    def fit(rows: list[dict]) -> Crf:
+        rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+        rows = [rows[i] for i in unlike([r["text"] for r in rows])]
+        return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.float64), prior)
+
+    return fitted(once.orderBy(F.xxhash64(F.lit(31), "text"), "text").limit(2 * sample), fit, most=sample_bytes)
 
 
 def with_scores(docs: DataFrame, model: Crf, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` (text among them) with tox_score, tox_words and tox_spans; a null text counts as empty."""
+    """``columns`` of ``docs`` (text among them) with tox_score, tox_words and tox_spans.
+
+    A null text counts as empty, and an empty text has the score of a text
+    without a marked word. Long texts are scored whole, line by line; repeated
+    rows come as often as they are there, with equal scores; an empty table
+    gives no rows. Columns of ``docs`` that are not asked for are ignored; one
+    that is asked for and has the name of a result raises a ValueError.
+    """
+    own_names(columns, "tox_score", "tox_words", "tox_spans")
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
