@@ -31,14 +31,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A doc_id goes if none of its rows is kept; rows without a doc_id stay.
     """
     judged = stored(minhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"), "pipeline-near")
-    ids = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("out_id")).agg(F.max("kept").alias("any_kept"), F.count("*").alias("times"))
+    ids = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("any_kept"), F.count("*").alias("times"))
     odd = stored(ids.where("NOT any_kept OR times > 1"), "pipeline-odd")
     few = odd.count() <= minhash.BROADCAST_IDS
-    marked = docs.join(F.broadcast(odd) if few else odd, F.col("doc_id").cast("long") == F.col("out_id"), "left").where(F.coalesce("any_kept", F.lit(True)))
-    once = marked.where(F.coalesce("times", F.lit(1)) == 1).select(*(docs[c] for c in docs.columns))
+    # the documents' own columns stand in one struct, so no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    marked = rows.join(F.broadcast(odd) if few else odd, "id", "left").where(F.coalesce("any_kept", F.lit(True)))
+    once = marked.where(F.coalesce("times", F.lit(1)) == 1).select("row.*")
     if odd.where("times > 1 AND any_kept").isEmpty():
         return once
-    return once.unionByName(marked.where("times > 1").select(*(docs[c] for c in docs.columns)).distinct())
+    return once.unionByName(marked.where("times > 1").select("row.*").distinct())
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
