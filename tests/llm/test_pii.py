@@ -1,8 +1,12 @@
 import hashlib
+import os
 import random
 import re
+import time
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trailspan.llm import pii
@@ -95,3 +99,30 @@ def test_query_rows(spark):
     cleaned = {r.doc_id: r for r in pii.redacted(docs, None).collect()}
     assert cleaned[1].text == "mail <email> now" and cleaned[2].text is None and cleaned[1].pii_x == "z"
     assert pii.redacted(docs.limit(0), None).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
+def test_recall_of_rewritten_spans_on_held_out_texts():
+    """Trained on one half of the texts; spans of the other half rewritten in forms that the patterns miss."""
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).dropna()
+    docs = docs[docs.text.str.contains("[0-9@]")]
+    half = docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 2)
+    based = [t for t in docs.text[half == 0] if pii.base_spans(t)[0]]
+    plain = [t for t in docs.text[half == 0] if not pii.base_spans(t)[0]]
+    model = pii.train(based[:2000] + plain[:500])
+    rng = np.random.default_rng(5)
+    pairs = [pii.variants(t, pii.base_spans(t)[0], rng) for t in docs.text[half == 1] if pii.base_spans(t)[0]]
+    missed = found = wrong = 0
+    for (_, spans), (good, every) in zip(pairs, pii.find_spans(model, [t for t, _ in pairs])):
+        rewritten = set(spans) - set(good)
+        missed += len(rewritten - set(every))
+        found += len(rewritten & set(every))
+        wrong += len(set(every) - set(good) - set(spans))
+    assert found + missed > 100 and found >= 0.9 * (found + missed) and wrong <= 0.05 * found
+
+
+def test_long_texts_of_digits_and_hits_take_linear_time():
+    text = "1" * 200_000 + "..." + "1." * 50_000 + " a@b.cd" * 20_000
+    begun = time.time()
+    good, _ = pii.find_spans(None, [text])[0]
+    assert time.time() - begun < 10 and sum(k == 0 for k, _, _ in good) == 20_000

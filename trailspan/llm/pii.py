@@ -21,7 +21,10 @@ DOTTED = re.compile(r"[0-9.]+")
 DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+#: An address spelled with (at) or [at], and maybe (dot); the patterns miss it, the model may add it.
+AT, DOT = r"\s?(?:@|[(\[]\s?(?:at|@)\s?[)\]])\s?", r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)"
+SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)
+TRIGGER = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]", re.I)
 #: Windows of the model: a text is covered by windows of WIDTH characters, STRIDE apart.
 WIDTH, STRIDE = 64, 32
 #: Tags: 0 outside, then begin and inside of each kind.
@@ -116,7 +119,7 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def windows_of(text: str) -> np.ndarray:
-    """Starts of the windows that hold a digit or an @. No span of any kind is without one, so the others need no look."""
+    """Starts of the windows that hold a digit, an @ or an (at). No span that plausible() accepts is without one."""
     hits = {m.start() // STRIDE for m in TRIGGER.finditer(text)}
     return np.array(sorted({k * STRIDE for h in hits for k in (h - 1, h) if k >= 0}), np.int64)
 
@@ -262,8 +265,10 @@ def variants(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[st
         if k == 3 and roll < 0.7:
             digits = re.sub(r"[^0-9]", "", old)[-10:]
             new = (f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}")[int(rng.integers(3))] if len(digits) == 10 else old
-        elif k == 0 and roll < 0.4:
-            new = old.replace("@", (" @ ", "(@)", " @")[int(rng.integers(3))], 1)
+        elif k == 0 and roll < 0.6:
+            at_ = (" @ ", "(@)", " @", " (at) ", "(at)", "[at]", " [at] ")[int(rng.integers(7))]
+            name, host = old.split("@", 1)
+            new = name + at_ + (host.replace(".", (" (dot) ", "[dot]")[int(rng.integers(2))]) if "at" in at_ and rng.random() < 0.5 else host)
         elif k == 2 and roll < 0.4:
             new = (".".join, "  ".join, "_".join)[int(rng.integers(3))]([old[i : i + 4] for i in range(0, len(old), 4)]) if old.isdigit() else old
         parts += [text[at:a], new]
@@ -407,7 +412,7 @@ def plausible(text: str, span: Span) -> Span | None:
     if not piece or (a and word(text[a - 1]) and word(piece[0])) or (b < len(text) and word(text[b]) and word(piece[-1])):
         return None
     fits = (
-        piece.count("@") == 1 and "." in piece[piece.index("@") :],
+        SPELLED.fullmatch(piece) is not None,
         piece.count(".") == 3 and 4 <= digits <= 12 and len(piece) == digits + 3,
         13 <= digits <= 19 and not any(c.isalpha() for c in piece),
         8 <= digits <= 15 and not any(c.isalpha() for c in piece) and digits < len(piece),
