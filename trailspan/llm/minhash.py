@@ -208,38 +208,30 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> n
     return out
 
 
-def dealt(members: DataFrame, rows: int) -> DataFrame:
-    """Members (key, cid, label, ...) of buckets with the task cell that they meet in.
+def dealt(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
+    """Rows (key, cid, label) of both sides with side, and the task cell (cell, sc, mc) in which those of one key meet.
 
-    Buckets of ``rows`` members at most are dealt to cells of about that many
-    rows in all (side 2: all meet all). Of a larger one, the members outside its
-    most frequent label (side 0) meet all members (side 1), in chunks of ``rows``.
+    Keys of ``rows`` rows at most share cells of about that many rows; of a
+    larger one, chunks of ``rows`` of each side meet every chunk of the other.
     """
-    some = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
-    per = stored(some, "near-sizes")
-    small = per.where(F.col("size") <= rows).agg(F.sum("size")).first()[0] or 0
-    cells = max(1, -(-small // rows))
-    full = members.join(per, "key")
-    fixed = lambda n: F.lit(n).cast("int")
-    here = full.where(F.col("size") <= rows).select(*members.columns, F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(cells)).alias("cell"), fixed(0).alias("sc"), fixed(0).alias("mc"), fixed(2).alias("side"))
-    if not small:
-        here = here.limit(0)
-    hot = full.where(F.col("size") > rows)
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / rows)).cast("int")
-    scs, mcs = chunks(F.col("size") - F.col("top.n")), chunks(F.col("size"))
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cid"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias
-    left = hot.where(F.col("label") != F.col("top.label")).select(*members.columns, F.col("key").alias("cell"), deal(1, scs).alias("sc"), every(mcs)("mc"), fixed(0).alias("side"))
-    right = hot.select(*members.columns, F.col("key").alias("cell"), every(scs)("sc"), deal(2, mcs).alias("mc"), fixed(1).alias("side"))
-    return here.unionByName(left).unionByName(right)
+    per = left.groupBy("key").agg(F.count("*").alias("nl")).join(right.groupBy("key").agg(F.count("*").alias("nr")), "key")
+    per = stored(per.withColumn("few", F.col("nl") + F.col("nr") <= rows), "near-sizes")
+    cells = max(1, -(-(per.where("few").agg(F.sum(F.col("nl") + F.col("nr"))).first()[0] or 0) // rows))
+    chunks = lambda n: F.when(F.col("few"), 1).otherwise(F.ceil(F.col(n) / rows)).cast("int")
+    cell = F.when(F.col("few"), F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(cells))).otherwise(F.col("key")).alias("cell")
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(1), "cid"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    columns = ["key", "cid", "label"]
+    one = left.join(per, "key").select(*columns, cell, deal("nl").alias("sc"), every("nr").alias("mc"), F.lit(0).alias("side"))
+    return one.unionByName(right.join(per, "key").select(*columns, cell, every("nl").alias("sc"), deal("nr").alias("mc"), F.lit(1).alias("side")))
 
 
 def buckets_in(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(left rows, right rows, i, j) for each bucket of a cell: positions i and j in them of the pairs to look at.
+    """(left rows, right rows, i, j) for each key of a cell: positions i and j in them of the pairs to look at.
 
-    Those have different labels, sizes that allow a link, and NEED equal values,
-    and this is the first of the buckets that the two share, so that no pair is
-    looked at in two of them.
+    Those have different labels, sizes that allow a link, and NEED equal values;
+    if the key is a bucket's, it is the first that the two share, so that no
+    pair is looked at in two of them.
     """
     key, side, label, n = (part.column(c).to_numpy() for c in ("key", "side", "label", "n"))
     bands = np.array(part.column("bands").to_pylist(), np.int64)
@@ -247,7 +239,7 @@ def buckets_in(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.nd
     order = np.argsort(key, kind="stable")
     cuts = np.flatnonzero(np.diff(key[order])) + 1
     for rows in np.split(order, cuts):
-        left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+        left, right = rows[side[rows] == 0], rows[side[rows] == 1]
         if not len(left) or not len(right):
             continue
         band = int(np.argmax(bands[rows[0]] == key[rows[0]]))
@@ -265,32 +257,37 @@ def buckets_in(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.nd
                 yield some, right, i, j
 
 
-def links_across(tagged: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
+def links_across(tagged: DataFrame, placed: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links (a, b) between the labels of different components that meet in a bucket; None where no bucket holds two.
 
-    Members of mixed buckets are first compared by their signatures, bucket by
-    bucket; whole sets are fetched for those only that may be linked with one of
-    another label, and are compared inside the tasks. These return at most one
-    link for every two labels; pairs are never written out.
+    The most frequent label of a bucket is its main one. The other members meet
+    all of the main component, once whatever number of buckets they share with
+    it, and each other in the bucket. They are first compared by their
+    signatures; whole sets are fetched for those only that may be linked with
+    one of another label, and are compared inside the tasks. These return at
+    most one link for every two labels; pairs are never written out. ``placed``
+    has the label of every class.
     """
-    mixed = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = stored(tagged.join(mixed, "key").select("key", "cid", "label"), "near-mixed")
-    if rest.isEmpty():
+    mixed = tagged.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    odd = stored(tagged.join(mixed.select("key", F.col("top.label").alias("main")), "key").where("label <> main").select("key", "cid", "label", "main"), "near-odd")
+    if odd.isEmpty():
         return None
+    beside = odd.select(F.col("main").alias("key"), "cid", "label").distinct()
+    members = placed.join(beside.select(F.col("key").alias("label")).distinct(), "label", "left_semi").select(F.col("label").alias("key"), "cid", "label")
+    several = odd.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    inside = odd.join(several, "key", "left_semi").select("key", "cid", "label")
     signs = reps.select("cid", "n", "bands", "sig")
     cell = ["cell", "sc", "mc"]
 
     def likely(part: pa.Table) -> pa.Table:
-        cids, keys = part.column("cid").to_numpy(), part.column("key").to_numpy()
         met = [np.unique(np.concatenate([left[i], right[j]])) for left, right, i, j in buckets_in(part, percent)]
-        rows = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
-        return pa.table([pa.array(keys[rows]), pa.array(cids[rows])], names=["key", "cid"])
+        return part.select(["key", "side", "cid", "label"]).take(pa.array(np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)))
 
-    met = dealt(rest.join(signs, "cid"), SIGNED_ROWS).groupBy(*cell).applyInArrow(likely, "key long, cid long").distinct()
-    met = stored(met, "near-likely")
+    met = dealt(beside.unionByName(inside), members.unionByName(inside), SIGNED_ROWS).join(signs, "cid")
+    met = stored(met.groupBy(*cell).applyInArrow(likely, "key long, side int, cid long, label long").distinct(), "near-likely")
     if met.isEmpty():
         return None
-    full = met.join(rest, ["key", "cid"]).join(signs, "cid").join(sets_of(met, docs, reps, width), "cid")
+    full = dealt(met.where("side = 0"), met.where("side = 1"), WHOLE_ROWS).join(signs, "cid").join(sets_of(met, docs, reps, width), "cid")
 
     def linked(part: pa.Table) -> pa.Table:
         label, sets = part.column("label").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for c in part.column("shingles").chunks for x in c]
@@ -312,7 +309,7 @@ def links_across(tagged: DataFrame, docs: DataFrame, reps: DataFrame, width: int
                     found.append((a, b))
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt(full, WHOLE_ROWS).groupBy(*cell).applyInArrow(linked, "a long, b long").distinct()
+    return full.groupBy(*cell).applyInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -343,13 +340,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), docs, reps, width)
     links = stored(confirmed(pairs, sets, percent), "near-links")
     label = stored(connected_components(links, "a", "b"), "near-labels")
-    tagged = shared.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
-    more = links_across(stored(tagged, "near-tagged"), docs, reps, width, percent)
+    placed = stored(reps.select("cid").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("label")), "near-placed")
+    tagged = stored(shared.select("key", "cid").join(placed, "cid", "left"), "near-tagged")
+    more = links_across(tagged, placed, docs, reps, width, percent)
     if more is not None:
-        above = connected_components(stored(more, "near-links"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("top"))
-        every = label.unionByName(label.select(F.col("component").alias("node"), "component")).unionByName(above.select(F.col("component").alias("node"), "component")).distinct()
-        label = stored(every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-labels")
-    named = reps.select("cid", "rep").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
+        above = connected_components(stored(more, "near-links"), "a", "b").select(F.col("node").alias("label"), F.col("component").alias("top"))
+        placed = placed.join(above, "label", "left").select("cid", F.coalesce("top", "label").alias("label"))
+    named = reps.select("cid", "rep").join(placed, "cid")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     where = stored(named.join(least, "label").select("cid", "component_id"), "near-components")
     return (
