@@ -142,6 +142,9 @@ def test_leaks_are_found_at_any_place(spark):
     texts = spark.createDataFrame([(1, "xx the secret of five whole words yy"), (2, "the secret of five"), (3, "athe secret of five whole wordsz"), (4, "")], "i long, t string")
     secrets = spark.createDataFrame([(9, "the secret of five whole words")], "j long, s string")
     assert sorted(r.i for r in checks.leaked(texts, "t", secrets, "s").collect()) == [1, 3]
+    homes = spark.createDataFrame([(1, "He lives at 12 MAIN ST. they say"), (2, "12 main street"), (3, "at 12 Main"), (4, None)], "i long, t string")
+    short = spark.createDataFrame([(1, "12 Main St"), (2, "Main"), (3, " "), (4, None), (5, "no such place here")], "j long, s string")
+    assert sorted((r.i, r.j) for r in checks.leaked(homes, "t", short, "s").collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
 
 
 def test_walks_are_closed_within_budget_and_repeatable(spark):

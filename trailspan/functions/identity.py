@@ -16,7 +16,12 @@ def normal_email(email: Column) -> Column:
 
 
 def valid_email(email: Column) -> Column:
-    return F.coalesce(normal_email(email).rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$") & (F.length(F.trim(email)) <= 254), F.lit(False))
+    """3 to 320 characters with one @, something before it, and behind it a dot that is neither first nor last, and no space."""
+    e = F.btrim(email, F.lit(" \t\n\r\x0b\x0c"))
+    domain = F.substring_index(e, "@", -1)
+    one = (F.length(e) - F.length(F.replace(e, F.lit("@"), F.lit("")))) == 1
+    fine = F.contains(domain, F.lit(".")) & ~F.startswith(domain, F.lit(".")) & ~F.endswith(domain, F.lit(".")) & ~F.contains(e, F.lit(" "))
+    return F.coalesce(F.length(e).between(3, 320) & one & ~F.startswith(e, F.lit("@")) & fine, F.lit(False))
 
 
 def mailbox(email: Column) -> Column:

@@ -32,19 +32,34 @@ def verdict(results: DataFrame) -> DataFrame:
 
 
 def leaked(texts: DataFrame, text: str, secrets: DataFrame, secret: str, few: int = 100_000) -> DataFrame:
-    """Pairs (text row, secret) where the text holds the secret whole, wherever it begins.
+    """Pairs (text row, secret) where the text holds the secret whole, in any case of letters, wherever it begins.
 
-    Texts and secrets meet on a secret's second to fourth word, which every
-    holder must have as words of its own; then the secret is verified. So no
-    text is compared to every secret. Secrets of fewer than five words are an
-    error. Up to ``few`` secrets are broadcast, more are joined by a shuffle.
+    A secret of three words or more is sought by its second word and those after
+    it, but the last, up to three: a holder must have them as words of its own.
+    Texts give only a row number and the hashes of their word runs; the few
+    that meet are read again and verified. Shorter secrets have no inner word;
+    they are verified on every text, and are to be few: more than ``few`` of
+    them are an error. Null and blank secrets are found nowhere.
     """
-    words = lambda c: F.filter(F.split(c, "[ \\t-\\r]+"), lambda w: w != "")
-    known = secrets.withColumn("_w", words(F.col(secret)))
-    if not known.where(F.size("_w") < 5).isEmpty():
-        raise ValueError("a secret has fewer than five words")
-    known = known.withColumn("_gram", F.concat_ws(" ", F.slice("_w", 2, 3))).drop("_w")
-    at = texts.withColumn("_w", words(F.col(text))).where(F.size("_w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.slice(F.col("_w"), i, F.lit(3))))
-    dealt = at.withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_w")
-    return dealt.join(F.broadcast(known) if known.count() <= few else known, "_gram").where(F.contains(text, secret)).drop("_gram")
+    words = lambda c: F.filter(F.split(F.lower(c), "[ \\t-\\r]+"), lambda w: w != "")
+    known = secrets.where(F.trim(secret) != "").withColumn("_w", words(F.col(secret)))
+    run = F.least(F.lit(3), F.size("_w") - 2)
+    long_ = known.where(F.size("_w") >= 3).select(*secrets.columns, run.alias("_n"), F.xxhash64(run, F.concat_ws(" ", F.slice("_w", F.lit(2), run))).alias("_gram"))
+    short = known.where(F.size("_w") < 3).drop("_w")
+    rows = texts.withColumn("_row", F.xxhash64(text))
+    kinds = [r[0] for r in long_.select("_n").distinct().collect()]  # three at most
+
+    def runs(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.concat_ws(" ", F.slice(F.col("_w"), i, F.lit(n)))))
+        return F.when(F.size("_w") >= n, at).otherwise(F.array().cast("array<bigint>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(runs, kinds)))) if kinds else F.array().cast("array<bigint>")
+    dealt = rows.select("_row", words(F.col(text)).alias("_w")).select("_row", F.explode(grams).alias("_gram"))
+    met = dealt.join(F.broadcast(long_) if long_.count() <= few else long_, "_gram").drop("_n", "_gram").distinct()
+    found = rows.join(met, "_row").where(F.contains(F.lower(text), F.lower(secret))).drop("_row")
+    n = short.count()
+    if n > few:
+        raise ValueError(f"{n} secrets of one or two words; {few} at most can be compared to every text")
+    if n:
+        found = found.unionByName(texts.join(F.broadcast(short), F.contains(F.lower(text), F.lower(secret))))
+    return found

@@ -30,16 +30,22 @@ def stress(speed: Column, road_class: Column) -> Column:
     return F.least(F.lit(5), base + bump)
 
 
-def classify(owner: Column, owner_private: str, owner_public: Sequence[str], kind: Column, kind_private: str, excluded: Sequence[str]) -> Column:
-    """struct(access, role, status, reasons): the owner decides; a kind that disagrees about privacy is a conflict to be reviewed."""
+def classify(owner: Column, owner_private: str, owner_public: Sequence[str], kind: Column, kind_private: str, excluded: Sequence[str], expected: Sequence[str] | None = None) -> Column:
+    """struct(access, role, status, reasons): the owner decides; a kind that disagrees about privacy is a conflict to be reviewed.
+
+    Blank texts count as none. A kind outside ``expected`` (if given) is noted.
+    """
+    owner, kind = F.nullif(F.trim(owner), F.lit("")), F.nullif(F.trim(kind), F.lit(""))
+    out = F.coalesce(kind.isin(*excluded), F.lit(False))
     access = first_match([("PRIVATE", owner == owner_private), ("PUBLIC", owner.isin(*owner_public))], "UNKNOWN")
     conflict = F.coalesce(owner == owner_private, F.lit(False)) != F.coalesce(kind == kind_private, F.lit(False))
-    role = first_match([("EXCLUDED", kind.isin(*excluded)), ("EXCLUDED", access == "PRIVATE"), ("REQUIRED", access == "PUBLIC")], "OPTIONAL_CONNECTOR")
+    role = first_match([("EXCLUDED", out), ("EXCLUDED", access == "PRIVATE"), ("REQUIRED", access == "PUBLIC")], "OPTIONAL_CONNECTOR")
     status = F.when((role == "OPTIONAL_CONNECTOR") | conflict, "NEEDS_REVIEW").otherwise("AUTOMATIC")
+    strange = kind.isNotNull() & ~kind.isin(*expected) if expected is not None else F.lit(False)
     why = reasons([
         (F.concat(F.lit("owner "), F.coalesce(owner, F.lit("none")), F.lit(" not recognised")), access == "UNKNOWN"),
         (F.concat(F.lit("owner "), F.coalesce(owner, F.lit("none")), F.lit(" conflicts with kind "), F.coalesce(kind, F.lit("none"))), conflict),
-        ("kind is excluded", kind.isin(*excluded)), ("owner is private", ~kind.isin(*excluded) & (access == "PRIVATE")),
+        ("kind is excluded", out), ("owner is private", ~out & (access == "PRIVATE")), (F.concat(F.lit("unexpected kind "), kind), strange),
     ])
     return F.struct(access.alias("access"), role.alias("role"), status.alias("status"), why.alias("reasons"))
 

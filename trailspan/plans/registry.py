@@ -26,4 +26,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from trailspan.plans import events, graphs, homes, network, places, rules  # noqa: E402, F401
+from trailspan.plans import events, graphs, homes, network, places, rules, segments, walks  # noqa: E402, F401
