@@ -8,7 +8,7 @@ def test_blocks_and_implied_tags():
 
 def test_visibility():
     page = "<style>x</style><script>if (a < b) '</p>'</script><!-- c --><p hidden>a</p><p style='display: none'>b</p><span aria-hidden=true>c</span><p>see<noscript>d</noscript><template>e</template></p><details><summary>sum</summary>body</details>"
-    assert html.render(page) == "see\n\nsum"
+    assert html.render(page) == "c\n\nsee\n\nsum"  # aria-hidden is painted
 
 
 def test_lists():
@@ -54,3 +54,72 @@ def test_a_head_ends_where_the_body_begins():
     assert html.render("<head><title>T</title><p>Text <b>bold</b><p>more") == "Text bold\n\nmore"
     assert html.render("<html><head><meta charset=utf-8><title>T</title>\nText") == "Text"
     assert html.render("<head><script>s</script><style>t</style><noscript>n</noscript><link rel=x></head><body>b") == "b"
+
+
+def test_quotes_hold_only_behind_an_equals_sign():
+    assert html.render("<p title=don't>visible one</p><p>it's two</p><p>three</p>").split() == "visible one it's two three".split()
+    assert html.render("<p a='x>y' b=\"<p>\" c = 'z'>kept</p><p d=q\"r>more</p>").split() == ["kept", "more"]
+
+
+def test_visibility_comes_back_inside_and_open_dialogs_show():
+    page = "<div style='visibility:hidden'>no<ul><li>no<b style='visibility: visible'>yes</b></li></ul><img alt=no></div><dialog>no</dialog><dialog open>said</dialog><i aria-hidden=true>seen</i><p style='display:none;display:block'>last</p>"
+    assert html.render(page).replace("*", "").split() == ["yes", "said", "seen", "last"]
+
+
+def test_deep_pages_keep_their_text_and_take_linear_time():
+    import time
+
+    begun = time.time()
+    page = "<ul><li>" * 300 + "core <img alt=picture><details><summary>S</summary>secret</details>"
+    assert html.render(page).replace("*", "").split()[-3:] == ["core", "picture", "S"]
+    for page, words in (("<div>" * 200_000 + "x", 1), ("<i>" * 60_000 + "</zz>" * 60_000 + "x", 1), ("<p>" * 100_000 + "x", 1), ("<table><tr>" + "<td colspan=1000 rowspan=65534>x" * 2000, 2000)):
+        assert len(html.render(page).split()) == words
+    assert time.time() - begun < 20
+
+
+def test_every_word_outside_hidden_elements_is_kept():
+    """Against the standard library's tokenizer: the words of random well-formed pages, in order."""
+    import random
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.words = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "template")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "template")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words += data.split()
+
+    rng = random.Random(8)
+    n = 0
+
+    def block(depth):
+        nonlocal n
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            n += 1
+            kind = rng.choice(["div", "section", "ul", "table", "p", "b", "style", "template"]) if depth else "p"
+            attrs = rng.choice(["", " a=b'c", ' title="x > y"', " data-q='<p>'", " x"])
+            word = f"w{n}"
+            if kind == "ul":
+                out.append(f"<ul{attrs}><li>{word}</li><li>{block(depth - 1)}</li></ul>")
+            elif kind == "table":
+                out.append(f"<table{attrs}><tr><td>{word}</td></tr><tr><td>{block(depth - 1)}</td></tr></table>")
+            elif kind in ("div", "section"):
+                out.append(f"<{kind}{attrs}>{word}{block(depth - 1)}</{kind}>")
+            else:
+                out.append(f" <{kind}{attrs}>{word}</{kind}> ")
+        return "".join(out)
+
+    for _ in range(60):
+        page = block(4)
+        want = Words()
+        want.feed(page)
+        assert [w for w in html.render(page).split() if w != "*"] == want.words, page

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailspan.llm.common import slices, table, texts_of
+from trailspan.llm.common import own_names, slices, table, texts_of
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist dialog".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option select".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option select".split()
 )
 SPACED = frozenset("article blockquote dl figure form h1 h2 h3 h4 h5 h6 ol p pre section table ul".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -46,19 +46,24 @@ UNSEEN = frozenset("script style template".split())
 #: Elements that an end tag cannot reach through.
 BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "p": {"td", "th", "table", "caption", "button"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 
-TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<bogus>[!?][^>]*(?:>|\Z)|/(?![A-Za-z])[^>]*(?:>|\Z))|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<bogus>[!?][^>]*(?:>|\Z)|/(?![A-Za-z])[^>]*(?:>|\Z))|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*(none|hidden|collapse)\b", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hidden", "name")
+    """``hidden`` takes the whole subtree away; ``seen`` is the visibility that a parent hands down and a style may change."""
 
-    def __init__(self, name: str, attrs: dict[str, str] | None = None):
-        self.name, self.attrs, self.children = name, attrs or {}, []
+    __slots__ = ("attrs", "children", "hidden", "name", "seen")
+
+    def __init__(self, name: str, attrs: dict[str, str] | None = None, seen: bool = True):
+        self.name, self.attrs, self.children, self.seen = name, attrs or {}, [], seen
         a = self.attrs
-        self.hidden = name in HIDDEN or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or name == "input" and a.get("type", "").lower() == "hidden" or bool(STYLE.search(a.get("style", ""))))
+        style = {k.lower(): v.lower() for k, v in STYLE.findall(a["style"])} if "style" in a else {}
+        self.hidden = name in HIDDEN and not (name == "dialog" and "open" in a) or "hidden" in a or style.get("display") == "none" or name == "input" and a.get("type", "").lower() == "hidden"
+        if style.get("visibility") in ("hidden", "collapse", "visible"):
+            self.seen = style["visibility"] == "visible"
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -78,40 +83,46 @@ def tree(page: str) -> Node:
     """
     root = Node("#root")
     stack = [root]
+    #: Places of the open elements of each name, so that no tag walks down the stack.
+    spots: dict[str, list[int]] = {}
     at, n = 0, len(page)
 
+    def highest(names: set[str] | frozenset[str]) -> int:
+        return max((spots[x][-1] for x in names if spots.get(x)), default=0)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            spots[stack.pop().name].pop()
+
     def pop_to(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in stop:
-                return
+        i = highest(names)
+        if i and i >= highest(stop):
+            cut(i)
 
     def clear_to(names: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i + 1 :]
-                return
+        i = highest(names)
+        if i:
+            cut(i + 1)
 
     def place(x: Node | str) -> None:
         """Into the open element; if that is a table or a row, before the table."""
         if stack[-1].name in FRAME and (not x.isspace() if isinstance(x, str) else x.name not in PARTS and x.name not in UNSEEN):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "table":
-                    stack[i - 1].children.insert(max(0, len(stack[i - 1].children) - 1), x)
-                    return
+            i = highest({"table"})
+            if i:
+                stack[i - 1].children.insert(max(0, len(stack[i - 1].children) - 1), x)
+                return
         stack[-1].children.append(x)
 
     def push(node: Node) -> None:
         place(node)
         if node.name not in VOID:
+            spots.setdefault(node.name, []).append(len(stack))
             stack.append(node)
 
     def add_text(text: str) -> None:
         if text:
             if stack[-1].name == "head" and not text.isspace():
-                stack.pop()
+                cut(len(stack) - 1)
             place(text)
 
     while at < n:
@@ -136,9 +147,9 @@ def tree(page: str) -> Node:
         if m["close"]:
             if name == "br":
                 push(Node("br"))
-            elif name == "p" and not any(x.name == "p" for x in stack):
+            elif name == "p" and not spots.get("p"):
                 push(Node("p"))
-                stack.pop()
+                cut(len(stack) - 1)
             elif name[0] == "h" and name[1:] in ("1", "2", "3", "4", "5", "6"):
                 pop_to({"h1", "h2", "h3", "h4", "h5", "h6"}, {"table", "td", "th"})
             else:
@@ -146,7 +157,7 @@ def tree(page: str) -> Node:
             continue
         attrs = attributes(m["attrs"])
         if stack[-1].name == "head" and name not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if name == "table" and stack[-1].name in FRAME:
             pop_to({"table"}, set())
         if name in CLOSES_P:
@@ -156,8 +167,8 @@ def tree(page: str) -> Node:
         if name in PARTS:
             clear_to(PARTS[name])
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
-            push(Node("tr"))
-        node = Node(name, attrs)
+            push(Node("tr", None, stack[-1].seen))
+        node = Node(name, attrs, stack[-1].seen)
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             stop = end.start() if end else n
@@ -239,22 +250,23 @@ def render(page: str) -> str:
     with an empty line around them; ``br`` breaks a line and ``hr`` is a rule;
     list items begin with a bullet or their number and are indented by depth;
     a table's cells are aligned in columns two spaces apart; ``pre`` keeps its
-    white space. Hidden is what is in the head, in scripts, styles, templates
-    and embedded media, what ``hidden``, ``aria-hidden``, display:none or
-    visibility:hidden hide, and a closed ``details`` but for its summary.
+    white space. Hidden is what a browser without scripts would not paint: what
+    is in the head, in scripts, styles, templates and embedded media, what
+    ``hidden`` and display:none take away, what visibility:hidden hides until a
+    visibility:visible inside it, a closed ``dialog``, and a closed ``details``
+    but for its summary. ``aria-hidden`` speaks to readers aloud only and hides
+    nothing.
     """
     out = Layout()
     _children(tree(page), out, False)
     return "\n".join(out.take()).strip("\n")
 
 
-#: Lists and tables nested deeper than this lose their layout, not their text.
+#: Lists and tables nested deeper than this are laid out as plain blocks: every line would else begin with its depth in spaces.
 DEEP = 40
 
 
 def _nested(node: Node, out: Layout) -> list[str]:
-    if out.depth >= DEEP:
-        return [" ".join(_words(node))]
     inner = Layout(out.depth + 1)
     _children(node, inner, False)
     lines = inner.take()
@@ -265,11 +277,13 @@ def _nested(node: Node, out: Layout) -> list[str]:
 
 def _children(top: Node, out: Layout, pre: bool) -> None:
     """Lays out what is in a node, with a stack of its own so that deep pages need no deep recursion; only lists and tables nest calls."""
-    todo: list[tuple[object, bool, bool]] = [(c, pre, False) for c in reversed(top.children)]
+    todo: list[tuple[object, bool, bool, bool]] = [(c, pre, False, top.seen) for c in reversed(top.children)]
+    deep = out.depth >= DEEP
     while todo:
-        x, pre, leave = todo.pop()
+        x, pre, leave, seen = todo.pop()
         if isinstance(x, str):
-            out.raw(x) if pre else out.text(x)
+            if seen:
+                out.raw(x) if pre else out.text(x)
             continue
         name = x.name
         if leave:
@@ -283,34 +297,35 @@ def _children(top: Node, out: Layout, pre: bool) -> None:
             out.now, out.owed = "", False
         elif name == "hr":
             out.space()
-            out._word("---")
+            if x.seen:
+                out._word("---")
             out.space()
         elif name == "img":
-            if x.attrs.get("alt", "").strip():
+            if x.seen and x.attrs.get("alt", "").strip():
                 out.text(x.attrs["alt"])
         elif name == "input":
-            if x.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and x.attrs.get("value", "").strip():
+            if x.seen and x.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and x.attrs.get("value", "").strip():
                 out.text(x.attrs["value"])
-        elif name in ("ul", "ol", "menu", "dir"):
+        elif name in ("ul", "ol", "menu", "dir") and not deep:
             out.space()
             _list(x, out)
             out.space()
-        elif name == "table":
+        elif name == "table" and not deep:
             out.space()
             _table(x, out)
             out.space()
         elif name == "details" and "open" not in x.attrs:
             out.line()
-            todo.append((x, pre, True))
-            todo += [(c, pre, False) for c in x.children if isinstance(c, Node) and c.name == "summary"][:1]
+            todo.append((x, pre, True, x.seen))
+            todo += [(c, pre, False, x.seen) for c in x.children if isinstance(c, Node) and c.name == "summary"][:1]
         elif name in BLOCK:
             out.space() if name in SPACED else out.line()
-            todo.append((x, pre, True))
-            todo += [(c, pre or name == "pre", False) for c in reversed(x.children)]
+            todo.append((x, pre, True, x.seen))
+            todo += [(c, pre or name == "pre", False, x.seen) for c in reversed(x.children)]
         else:
             if name in ("td", "th"):
                 out.owed = True
-            todo += [(c, pre, False) for c in reversed(x.children)]
+            todo += [(c, pre, False, x.seen) for c in reversed(x.children)]
 
 
 def _list(node: Node, out: Layout) -> None:
@@ -319,7 +334,7 @@ def _list(node: Node, out: Layout) -> None:
     number = int(start) if ordered and re.fullmatch(r"-?[0-9]{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
-            if not child.isspace():
+            if node.seen and not child.isspace():
                 out.text(child)
                 out.line()
             continue
@@ -349,20 +364,12 @@ def _wrap(node: Node) -> Node:
     return w
 
 
-def _words(node: Node) -> list[str]:
-    todo, out = [node], []
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out += x.split()
-        elif not x.hidden:
-            todo += reversed(x.children)
-    return out
-
-
 def _span(cell: Node, name: str, most: int) -> int:
+    """The standard's limits: 1,000 columns, 65,534 rows; 0 rows are all that follow."""
     value = cell.attrs.get(name, "1").strip()
-    return max(1, min(most, int(value))) if re.fullmatch("[0-9]{1,6}", value) else 1
+    if not re.fullmatch("[0-9]{1,9}", value):
+        return 1
+    return most if name == "rowspan" and int(value) == 0 else max(1, min(most, int(value)))
 
 
 def _table(node: Node, out: Layout) -> None:
@@ -382,27 +389,32 @@ def _table(node: Node, out: Layout) -> None:
         else:
             todo += reversed(x.children)
     grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    taken: list[tuple[int, int, int]] = []  # first column, column behind the last, row behind the last, of cells over several rows
     for r, cells in enumerate(rows):
+        taken = sorted(t for t in taken if t[2] > r)
         line: dict[int, list[str]] = {}
-        c = 0
+        more, c, k = [], 0, 0
         for cell in cells:
-            while (r, c) in taken:
-                c += 1
-            wide, tall = _span(cell, "colspan", 100), _span(cell, "rowspan", 100)
+            while k < len(taken) and taken[k][0] <= c:
+                c, k = max(c, taken[k][1]), k + 1
+            wide, tall = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
             line[c] = [x for x in _nested(cell, out) if x]
-            for i in range(tall):
-                for j in range(wide):
-                    if i or j:
-                        taken[r + i, c + j] = True
+            if tall > 1:
+                more.append((c, c + wide, r + tall))
             c += wide
+        taken += more
         grid.append(line)
-    columns = max((max(g, default=-1) for g in grid), default=-1) + 1
-    size = [max((width(t) for g in grid for t in g.get(c, [])), default=0) for c in range(columns)]
+    columns = sorted({c for g in grid for c in g})
+    widths: dict[int, int] = {}
+    for g in grid:
+        for c, texts in g.items():
+            widths[c] = max([widths.get(c, 0), *map(width, texts)])
+    shown = [c for c in columns if widths[c]]
     for g in grid:
         for i in range(max((len(x) for x in g.values()), default=0)):
-            parts = [(g.get(c, []) + [""] * (i + 1))[i] for c in range(columns)]
-            text = "  ".join(p + " " * (s - width(p)) for p, s in zip(parts, size) if s).rstrip()
+            last = max((c for c, x in g.items() if len(x) > i), default=-1)
+            parts = [(g[c][i] if c in g and len(g[c]) > i else "", widths[c]) for c in shown if c <= last]
+            text = "  ".join(p + " " * (w - width(p)) for p, w in parts).rstrip()
             if text:
                 out.line()
                 out._begin()
@@ -410,7 +422,14 @@ def _table(node: Node, out: Layout) -> None:
 
 
 def rendered(pages: DataFrame, columns: list[str], html: str = "html") -> DataFrame:
-    """``columns`` of ``pages`` (``html`` among them) with the visible text as ``visible``; a null or empty page gives the empty text."""
+    """``columns`` of ``pages`` (``html`` among them) with the visible text as ``visible``.
+
+    A null or empty page gives the empty text. Long pages are read whole, in
+    time linear in their tags; repeated rows come as often as they are there;
+    an empty table gives no rows. Columns that are not asked for are ignored;
+    one that is asked for and is called ``visible`` raises a ValueError.
+    """
+    own_names(columns, "visible")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
