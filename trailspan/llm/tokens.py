@@ -129,6 +129,13 @@ def _dict(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder on the file system that Spark itself resolves it to, with its scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, dictionary_size: int = 64 << 10, sample: int = 1000, shard_docs: int = 20_000, level: int = 3) -> dict:
     """Write every text's ids to shards of ascending doc_id below ``folder``; return the manifest.
 
@@ -139,7 +146,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     tokenises none. A shard appears under its name only when it is whole, so a
     lost task's rest is never read. A null text
     counts as empty (its only id is the end id); null doc_ids come first;
-    repeated doc_ids keep all their rows; an empty table has no shard.
+    repeated doc_ids keep all their rows; an empty table has no shard. ``folder``
+    is resolved by Spark's default file system; the manifest has it in full.
     """
     path = path or tokenizer_path()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -151,7 +159,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     kind = np.uint16 if width == 2 else np.uint32
     raw = train_dictionary([x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if picked else [], dictionary_size)
     digest = hashlib.sha256(raw).digest()
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    folder = qualified(docs.sparkSession, folder)
+    fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary-{digest.hex()}.zdict") as out:
         out.write(raw)
@@ -161,7 +170,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        store, top = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        store, top = pafs.FileSystem.from_uri(folder)
         name, at = f"{top}/shard-{part:06d}.tok", len(MAGIC) + 32
         index: list[tuple] = []
         out = None
@@ -199,7 +208,7 @@ class Shard:
     """Reads one shard; ``dictionary`` must be the one whose hash the shard carries."""
 
     def __init__(self, folder: str, shard: int):
-        self.fs, self.root = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        self.fs, self.root = pafs.FileSystem.from_uri(folder)
         self.file = self.fs.open_input_file(f"{self.root}/shard-{shard:06d}.tok")
         head = self.file.read_at(len(MAGIC) + 32, 0)
         if head[: len(MAGIC)] != MAGIC:
@@ -240,7 +249,12 @@ class Shard:
 
 
 def read_tokens(spark: SparkSession, manifest: dict, arrays: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and frame_bytes, one shard a task; with ``arrays``, the ids too."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and frame_bytes, one shard a task; with ``arrays``, the ids too.
+
+    Texts that were null or empty have their end id only; null doc_ids come back
+    null, repeated ones as often as they were written; long texts come by runs
+    of frames; a manifest without shards gives no rows.
+    """
     folder, shards = manifest["folder"], manifest["shards"]
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "frame_bytes", *(["ids"] if arrays else [])]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, frame_bytes long" + ", ids array<long>" * arrays
