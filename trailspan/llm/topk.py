@@ -18,6 +18,8 @@ from trailspan.shared import stored
 BLOCK, PACK, MOST_QUERIES, LEVELS = 8192, 512, 65_536, 12
 #: Shares of a query's whole gain after which its possible members are counted, and how many of them end its processing.
 STOPS, RESCORE = (0.6, 0.9), 400
+#: Queries that try all of STOPS first; the rest count only after those shares at which one of these ended.
+PILOT = 32
 #: Vectors of the largest norms that every task holds: their scores are the first bound of each query.
 SEEDS = 1024
 #: Scores are sums of longs; blocks in which one could pass this are scored by unbounded integers and cut to a long's range.
@@ -92,11 +94,21 @@ class Index:
         exactly, and no others can be among the k best. A query whose
         ``floor_at`` no row of the block can reach is not processed at all.
         """
+        if len(q) <= 4 * PILOT:
+            return self._rounds(q, own, k, floor_at, STOPS)[0]
+        part = lambda a, b: (q[a:b], own[a:b], k, None if floor_at is None else floor_at[a:b])
+        first, ended = self._rounds(*part(0, PILOT), STOPS)
+        second, _ = self._rounds(*part(PILOT, len(q)), ended)
+        return tuple(np.concatenate([x, y + PILOT if i == 0 else y]) for i, (x, y) in enumerate(zip(first, second)))
+
+    def _rounds(self, q: np.ndarray, own: np.ndarray, k: int, floor_at: np.ndarray | None, stops: tuple[float, ...]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[float, ...]]:
+        """The best rows, and the shares at which a query ended."""
+        useful: list[float] = []
         n, d = self.v.shape
         q = np.pad(q, ((0, 0), (0, max(0, d - q.shape[1]))))[:, :d]
         least = np.full(len(q), np.iinfo(np.int64).min) if floor_at is None else floor_at
         if largest(self.v) * largest(q) * max(d, 1) >= SAFE:
-            return self._plain(q, own, k)
+            return self._plain(q, own, k), stops
         w = q[:, self.dim]
         most = np.maximum(w * self.low, w * self.high)
         starts = np.searchsorted(self.dim, np.arange(d))
@@ -118,7 +130,7 @@ class Index:
             acc = np.zeros((len(live), n), kind)
             before = np.zeros((len(live), 1), np.int64)
             base = floor.sum(1, keepdims=True)
-            for stop in (*STOPS, None):
+            for stop in (*stops, None):
                 upto = np.full((len(live), 1), len(self.dim)) if stop is None or not len(self.dim) else (gain < stop * gain[:, -1:]).sum(1, keepdims=True)
                 acc += np.where((place >= before) & (place < upto), impact, 0).astype(kind) @ postings
                 done = place < upto
@@ -135,6 +147,8 @@ class Index:
                 possible = (bound >= reach - np.abs(reach) * 1e-12) & ~mine
                 end = (possible.sum(1) <= RESCORE) if stop is not None else np.ones(len(live), bool)
                 at, row = np.nonzero(possible & end[:, None])
+                if stop is not None and end.any():
+                    useful.append(stop)
                 ats.append(live[at])
                 rows.append(row)
                 if end.all():
@@ -143,7 +157,7 @@ class Index:
                 live, impact, gain, place, acc, base, before = live[go], impact[go], gain[go], place[go], acc[go], base[go], upto[go]
         at, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ats, rows))
         score = np.concatenate([(q[at[i : i + 100_000]] * self.v[row[i : i + 100_000]]).sum(1) for i in range(0, len(at), 100_000)] or [np.zeros(0, np.int64)])
-        return self._best(at, row, score, k)
+        return self._best(at, row, score, k), tuple(useful)
 
     def _best(self, at: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         best = np.lexsort((self.ids[row], ~score, at))
