@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspan.shared import stored
 
 def composite_key(*parts: Column) -> Column:
     """Upper-cased parts that are not blank, with a space between."""
@@ -25,10 +26,10 @@ def assigned(key: Column, n: int) -> Column:
 def stable_ids(frame: DataFrame, order: list[Column], prefix: str = "SEG", name: str = "stable_id") -> DataFrame:
     """``prefix-000001`` and so on in the given order, which must be total.
 
-    Ranges are cut first, so each task numbers its own rows and only the counts
-    of the ranges, one row each, are summed up in one place.
+    Ranges are cut first and written once, so each task numbers its own rows and
+    only the counts of the ranges, one row each, are summed up in one place.
     """
-    parts = frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = stored(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "id-ranges")
     local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = parts.groupBy("_part").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -36,5 +37,8 @@ def stable_ids(frame: DataFrame, order: list[Column], prefix: str = "SEG", name:
 
 
 def keep_first(frame: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return frame.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
+    """The first row of each key in a total order: an aggregation that combines on the map side, so no key's rows are sorted in
+    one place. Null keys are one key."""
+    columns = [F.col(c) for c in frame.columns]
+    first = F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")
+    return frame.groupBy(*key).agg(first).select(*(F.col(f"_first.{c}").alias(c) for c in frame.columns))

@@ -45,12 +45,14 @@ def credited(credits: DataFrame, target: str, fraction: str, share: float, done:
 def at_index(frame: DataFrame, group: list[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """Value at position floor(share * n), from 0, of each group in ascending order: an index, never interpolated.
 
-    Groups are ranked by a window, so that no group is gathered into one array.
+    Equal values are counted first, with map-side combine; what a window adds up
+    is one row for each value of a group, never its rows.
     """
+    per = frame.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group)
-    ranked = frame.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda s: F.max(F.when(F.col("_i") == F.least(F.floor(F.lit(s) * F.col("_n")), F.col("_n") - 1), F.col(value)))
-    return ranked.groupBy(*group).agg(F.max("_n").alias("n"), *(at(s).alias(k) for k, s in shares.items()))
+    summed = per.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda s: F.min(F.when(F.col("_upto") > F.least(F.floor(F.lit(s) * F.col("_n")), F.col("_n") - 1), F.col(value)))
+    return summed.groupBy(*group).agg(F.max("_n").alias("n"), *(at(s).alias(k) for k, s in shares.items()))
 
 
 def covered_share(obligation: DataFrame, key: str, weight: str, done: DataFrame) -> DataFrame:
