@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailspan.llm import brown
+from trailspan.llm.common import remainder
 
 
 def test_exchange_finds_planted_classes():
@@ -135,3 +136,11 @@ def test_query_equals_brute_force_base_and_beats_it(spark):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert brown.score_corpus(docs.limit(0), F.lit(False), 8).count() == 0
     assert all(math.isfinite(r.score) for r in brown.score_corpus(docs, F.lit(True), 8).collect())
+
+
+def test_held_out_perplexity_on_documents(spark):
+    """On texts not learned from, the perplexity is less than a half of the unigrams'."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = brown.score_corpus(docs, remainder(F.col("doc_id"), 7) == 2).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    base, model = (10 ** (-x / r[0]) for x in r[1:])
+    assert model < base / 2
