@@ -16,16 +16,52 @@ from trailspan.operators.joins import within_radius
 from trailspan.shared import stored
 
 
-def straight_pieces(lines: DataFrame) -> DataFrame:
-    """(line_id, k, a, b, size, at): the straight pieces of each line, with the measure at which each begins."""
+def straight_pieces(lines: DataFrame, measured: bool = True) -> DataFrame:
+    """(line_id, k, a, b, size, at): the straight pieces of each line, with the measure at which each begins if ``measured``."""
     out = lines.select("line_id", F.posexplode(geometry.segments(F.col("line"))).alias("k", "s")).select("line_id", "k", "s.a", "s.b")
     out = out.withColumn("size", F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))).where("size > 0")
+    if not measured:
+        return out
     before = Window.partitionBy("line_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0.0)))
 
 
-def _cell_range(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+def passed_cells(a: Column, b: Column, cell: float) -> Column:
+    """The grid cells (cx, cy) that a straight piece really passes: of each row of cells only those between the places where the
+    piece enters and leaves it. A hair is added at both sides, so that rounding never loses one."""
+    low, high = F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])
+    hair = cell * 1e-9 + F.greatest(F.abs(a["x"]), F.abs(b["x"])) * 1e-12
+    slope = F.coalesce(F.try_divide(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0))
+
+    def row(cy: Column) -> Column:
+        at = lambda y: F.greatest(F.least(a["x"], b["x"]), F.least(F.greatest(a["x"], b["x"]), a["x"] + (F.greatest(low, F.least(high, y)) - a["y"]) * slope))
+        x1 = F.when(high > low, at(cy * cell)).otherwise(a["x"])
+        x2 = F.when(high > low, at((cy + 1) * cell)).otherwise(b["x"])
+        cells = F.sequence(F.floor((F.least(x1, x2) - hair) / cell), F.floor((F.greatest(x1, x2) + hair) / cell))
+        return F.transform(cells, lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((low - hair) / cell), F.floor((high + hair) / cell)), row))
+
+
+def crossings(left: DataFrame, right: DataFrame, cell: float = 50.0, rim: float = 0.5) -> DataFrame:
+    """(line_id, other_id, x, y, at): where lines of ``left`` meet lines of ``right`` (both line_id, line), ``at`` metres from the
+    left line's beginning, to the millimetre, and more than ``rim`` from both of its ends. A touch counts; lines that run along
+    each other do not meet so, nor does a line meet one of its own id. Pieces meet in the grid cells that both pass, by an
+    equi-join."""
+    a, b = stored(straight_pieces(left), "cross-left"), stored(straight_pieces(right, False), "cross-right")
+    deal = lambda p: p.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), cell))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
+    other = deal(b).select("cx", "cy", F.col("line_id").alias("other_id"), F.col("a").alias("c"), F.col("b").alias("d"))
+    rx, ry = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    sx, sy = F.col("d.x") - F.col("c.x"), F.col("d.y") - F.col("c.y")
+    qx, qy = F.col("c.x") - F.col("a.x"), F.col("c.y") - F.col("a.y")
+    cross = rx * sy - ry * sx
+    t, u = F.try_divide(qx * sy - qy * sx, cross), F.try_divide(qx * ry - qy * rx, cross)
+    met = deal(a).join(other, ["cx", "cy"]).where(F.col("line_id") != F.col("other_id")).where(cross != 0).withColumn("t", t).withColumn("u", u)
+    met = met.where((F.col("t") >= 0) & (F.col("t") <= 1) & (F.col("u") >= 0) & (F.col("u") <= 1))
+    out = met.select("line_id", "other_id", (F.col("a.x") + F.col("t") * rx).alias("x"), (F.col("a.y") + F.col("t") * ry).alias("y"), F.round(F.col("at") + F.col("t") * F.col("size"), 3).alias("at"))
+    once = out.groupBy("line_id", "other_id", "at").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    sizes = a.groupBy("line_id").agg(F.sum("size").alias("total"))
+    return once.join(sizes, "line_id").where((F.col("at") > rim) & (F.col("at") < F.col("total") - rim)).select("line_id", "other_id", "x", "y", "at")
 
 
 def cut_measures(lines: DataFrame, cell: float = 50.0, rim: float = 0.05) -> DataFrame:
@@ -36,8 +72,7 @@ def cut_measures(lines: DataFrame, cell: float = 50.0, rim: float = 0.05) -> Dat
     Measures within ``rim`` of a line's ends do not cut.
     """
     p = stored(straight_pieces(lines), "pieces")
-    low, high = (lambda k: F.least(F.col(f"a.{k}"), F.col(f"b.{k}"))), (lambda k: F.greatest(F.col(f"a.{k}"), F.col(f"b.{k}")))
-    dealt = p.withColumn("cx", F.explode(_cell_range(low("x"), high("x"), cell))).withColumn("cy", F.explode(_cell_range(low("y"), high("y"), cell)))
+    dealt = p.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), cell))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
     other = dealt.select("cx", "cy", F.col("line_id").alias("other_id"), F.col("k").alias("ok"), F.col("a").alias("c"), F.col("b").alias("d"))
     pairs = dealt.join(other, ["cx", "cy"]).where("line_id <> other_id").dropDuplicates(["line_id", "k", "other_id", "ok"])
     rx, ry = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspan.functions import geometry
 from trailspan.functions.keys import composite_key
-from trailspan.operators.network import straight_pieces
+from trailspan.operators.network import passed_cells, straight_pieces
 
 # Tiers and sizes of the site rules.
 REACHABLE_SHARE, MOSTLY_SHARE, SMALL_ACRES, NO_NETWORK_M, ACRE_M2 = 0.10, 0.35, 6.0, 25.0, 4046.86
@@ -43,13 +43,11 @@ def associated(homes: DataFrame, lines: DataFrame, cap: float = CAP_M, secondary
     Of the lines within the cap, the best is that of least distance less the
     bonuses of an equal name and of an owed line, then least distance, a name
     match, the smaller id; the next ones are listed. A home without any has the
-    reason BEYOND_CAP. Straight pieces stand in grid cells of the cap's size,
+    reason BEYOND_CAP. Straight pieces stand in the grid cells of the cap's size that they pass,
     homes look into nine, so this is an equi-join.
     """
     pieces = straight_pieces(lines.select("line_id", "line"))
-    low, high = (lambda k: F.least(F.col(f"a.{k}"), F.col(f"b.{k}"))), (lambda k: F.greatest(F.col(f"a.{k}"), F.col(f"b.{k}")))
-    span = lambda k: F.sequence(F.floor(low(k) / cap), F.floor(high(k) / cap))
-    dealt = pieces.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    dealt = pieces.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), cap))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
     around = F.array(*(F.struct((F.floor(F.col("x") / cap) + i).alias("cx"), (F.floor(F.col("y") / cap) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     here = homes.withColumn("c", F.explode(around)).select("home_id", "x", "y", "c.cx", "c.cy")
     p = geometry.point(F.col("x"), F.col("y"))
