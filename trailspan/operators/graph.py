@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def component_profile(edges: DataFrame, src: str, dst: str, weight: str, compone
     return per.join(nodes, "component").withColumn("cycles", F.col("edges") - F.col("nodes") + 1).withColumn("has_cycle", F.col("edges") >= F.col("nodes"))
 
 
-def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, sources: DataFrame, max_rounds: int = 200, within: str | None = None) -> DataFrame:
+def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, sources: DataFrame, max_rounds: int | None = None, within: str | None = None) -> DataFrame:
     """(source, node, distance) of every node that a source reaches, for many sources at once.
 
     Frontier relaxation: a round joins only the nodes whose distance has just
@@ -79,7 +81,9 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
     distances are the levels of a breadth-first search. ``sources`` has one
     column, node; each round's table is written to the shared folder. ``within``
     names a column of ``sources``, one value a node: nodes farther than that from
-    their source are left out and never searched from.
+    their source are left out and never searched from. A round follows one more
+    edge, as many as the longest of the shortest paths has, unless
+    ``max_rounds`` says when to give up.
     """
     light = stored(both_ways(edges, src, dst, weight).groupBy("u", "v").agg(F.min(weight).alias("w")), "sssp-edges")
     kind = light.schema["w"].dataType
@@ -87,7 +91,7 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
     keep = ["cap"] if within else []
     best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(kind).alias("distance"), *cap).distinct(), "sssp-best")
     front = best
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         offers = front.join(light, front["node"] == light["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(kind).alias("offer"), *keep)
         if within:
             offers = offers.where("offer <= cap")

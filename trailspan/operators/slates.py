@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspan.operators.graph import connected_components
 from trailspan.operators.membership import MILE
+from trailspan.shared import stored
 
 # Fixed values.
 LEAST_CLUSTER_MILES, WHOLE_MILES = 0.15, 0.05
@@ -39,24 +40,30 @@ def rough_metres(lon: Column, lat: Column, lon2: Column, lat2: Column) -> Column
     return F.hypot((lon - lon2) * METRES_PER_LON, (lat - lat2) * METRES_PER_LAT)
 
 
-def spread(candidates: DataFrame, group: str, most: int, pool: int = 200) -> DataFrame:
+def spread(candidates: DataFrame, group: str, most: int) -> DataFrame:
     """Up to ``most`` of each group's candidates (node, score, lon, lat), best first, none within 250 m (700 m where more than
     four are wanted) of one taken before; ties go to smaller nodes.
 
-    A fold over an array of the ``pool`` best of a group, so a group's row has a fixed size.
+    ``most`` rounds over all candidates: each takes the best of a group that is
+    far enough from all taken so far. A round is one aggregation with map-side
+    combine, and what it keeps is one row a group with at most ``most`` places,
+    so a group may have any number of candidates.
     """
     near = 250.0 if most <= 4 else 700.0
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "node"))
-    best = candidates.withColumn("r", rank).where(F.col("r") <= pool)
-    item = F.struct("r", "node", "lon", "lat")
-    lists = best.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    none = F.filter(F.col("all"), lambda x: F.lit(False))
-
-    def take(chosen: Column, x: Column) -> Column:
-        free = ~F.exists(chosen, lambda c: rough_metres(c["lon"], c["lat"], x["lon"], x["lat"]) < near)
-        return F.when((F.size(chosen) < most) & free, F.concat(chosen, F.array(x))).otherwise(chosen)
-
-    return lists.select(group, F.posexplode(F.aggregate("all", none, take)).alias("pos", "c")).select(group, (F.col("pos") + 1).alias("pos"), "c.node", "c.lon", "c.lat")
+    kind = dict(candidates.dtypes)
+    all_ = stored(candidates.select(group, "node", F.col("score").cast("double").alias("score"), "lon", "lat"), "spread-all")
+    taken = all_.select(group).distinct().withColumn("chosen", F.expr(f"CAST(array() AS array<struct<pos:int,node:{kind['node']},lon:{kind['lon']},lat:{kind['lat']}>>)"))
+    for pos in range(1, most + 1):
+        free = ~F.exists("chosen", lambda c: rough_metres(c["lon"], c["lat"], F.col("lon"), F.col("lat")) < near)
+        best = F.min(F.struct((-F.col("score")).alias("s"), "node", "lon", "lat")).alias("b")
+        found = all_.join(taken, group).where(free).groupBy(group).agg(best)
+        item = F.array(F.struct(F.lit(pos).alias("pos"), F.col("b.node").alias("node"), F.col("b.lon").alias("lon"), F.col("b.lat").alias("lat")))
+        after = taken.join(found, group, "left").select(group, F.when(F.col("b").isNotNull(), F.concat("chosen", item)).otherwise(F.col("chosen")).alias("chosen"), F.col("b").isNotNull().alias("new"))
+        after = stored(after, "spread-taken")
+        taken = after.drop("new")
+        if after.where("new").isEmpty():
+            break
+    return taken.select(group, F.explode("chosen").alias("c")).select(group, "c.pos", "c.node", "c.lon", "c.lat")
 
 
 def mission_id(network: Column, start: Column, budget: Column, segments: Column) -> Column:
