@@ -123,3 +123,15 @@ def test_every_word_outside_hidden_elements_is_kept():
         want = Words()
         want.feed(page)
         assert [w for w in html.render(page).split() if w != "*"] == want.words, page
+
+
+def test_wide_cells_cost_no_more_than_their_text():
+    rows = "".join(f"<tr><td>left {i}</td><td>right {i}</td></tr>" for i in range(2000))
+    page = f"<table><tr><td>{'x' * 100_000}</td></tr>{rows}</table>"
+    text = html.render(page)
+    assert len(text) < 2 * len(page) and "left 7  right 7" in text and "x" * 100_000 in text
+    steps = "<table>" + "".join(f"<tr><td rowspan=65534>cell {i}</td></tr>" for i in range(1500)) + "</table>"
+    text = html.render(steps)
+    assert len(text) < 30 * len(steps) and all(f"cell {i}" in text for i in (0, 700, 1499))
+    small = html.render("<table><tr><td>a</td><td>b</td></tr><tr><td>long cell</td><td>c</td></tr></table>")
+    assert small.splitlines() == ["a          b", "long cell  c"]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from trailspan.llm import pieces
 
@@ -52,3 +53,47 @@ def test_rows(spark):
     assert back[1] == "the heat of tion" and back[3] == ""
     assert pieces.with_pieces(docs.limit(0), ["doc_id", "text"]).count() == 0
     assert np.array(by[1].pieces).max() < 32000
+
+
+def test_clashing_names_raise_before_any_job(spark):
+    docs = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, N_PIECES int")
+    with pytest.raises(ValueError):
+        pieces.with_pieces(docs, ["doc_id", "text", "N_PIECES"])
+    assert pieces.with_pieces(docs, ["doc_id", "text"]).count() == 1
+    with pytest.raises(ValueError):
+        pieces.decoded(docs, ["text"])
+
+
+def test_parts_of_a_long_word_change_nothing(monkeypatch):
+    m, _ = pieces.model(pieces.model_path())
+    rng = random.Random(11)
+    text = pieces.SPACE + "".join(rng.choice(["th", "er", "é", "the", "tion", "x", "😀", "1", "qz"]) for _ in range(3000))
+    whole, _ = m._segment(text)
+    monkeypatch.setattr(pieces, "PART", 50)
+    assert m.segment(text) == whole
+
+
+def test_ids_of_a_unigram_model_are_those_of_its_own_encoder(tmp_path):
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    rng = random.Random(1)
+    add = lambda piece, score, kind: proto.pieces.add(piece=piece, score=score, type=kind)
+    kinds = pb.ModelProto.SentencePiece
+    add("<unk>", 0.0, kinds.UNKNOWN)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0.0, kinds.BYTE)
+    some = {pieces.SPACE, *"abcdefgh", *(pieces.SPACE + "".join(rng.choices("abcdefgh", k=rng.randrange(1, 5))) for _ in range(80)), *("".join(rng.choices("abcdefgh", k=rng.randrange(2, 6))) for _ in range(300))}
+    for p in sorted(some):
+        add(p, -rng.uniform(2, 12), kinds.NORMAL)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback, proto.trainer_spec.unk_id = pb.TrainerSpec.UNIGRAM, True, 0
+    proto.trainer_spec.bos_id = proto.trainer_spec.eos_id = proto.trainer_spec.pad_id = -1
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path = str(tmp_path / "u.model")
+    open(path, "wb").write(proto.SerializeToString())
+    own, m = SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    for _ in range(400):
+        text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 14))) for _ in range(rng.randrange(1, 9)))
+        got = [i for c in m.chunks(text) for i in m.encode_chunk(c)]
+        assert got == own.encode(text), text

@@ -126,3 +126,13 @@ def test_long_texts_of_digits_and_hits_take_linear_time():
     begun = time.time()
     good, _ = pii.find_spans(None, [text])[0]
     assert time.time() - begun < 10 and sum(k == 0 for k, _, _ in good) == 20_000
+
+
+def test_stretches_of_like_size_share_memory_with_nobody_longer():
+    import numpy as np
+
+    sizes = np.array([20_000, *([60] * 700), 300, 300, 5])
+    groups = pii.alike(sizes, 256, 1 << 14)
+    assert sorted(i for g in groups for i in g.tolist()) == list(range(len(sizes)))
+    assert all(len(g) == 1 or len(g) * sizes[g].max() <= 1 << 14 for g in groups) and max(map(len, groups)) <= 256
+    assert [g.tolist() for g in groups if 0 in g] == [[0]]

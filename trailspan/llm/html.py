@@ -372,6 +372,10 @@ def _span(cell: Node, name: str, most: int) -> int:
     return most if name == "rowspan" and int(value) == 0 else max(1, min(most, int(value)))
 
 
+#: Fixed values of the layout of tables.
+WIDER, ROOM = 8, 20_000
+
+
 def _table(node: Node, out: Layout) -> None:
     rows: list[list[Node]] = []
     todo: list = list(reversed(node.children))
@@ -410,10 +414,14 @@ def _table(node: Node, out: Layout) -> None:
         for c, texts in g.items():
             widths[c] = max([widths.get(c, 0), *map(width, texts)])
     shown = [c for c in columns if widths[c]]
+    aligned = _worth_aligning(grid, shown, widths)
     for g in grid:
         for i in range(max((len(x) for x in g.values()), default=0)):
             last = max((c for c, x in g.items() if len(x) > i), default=-1)
-            parts = [(g[c][i] if c in g and len(g[c]) > i else "", widths[c]) for c in shown if c <= last]
+            if aligned:
+                parts = [(g[c][i] if c in g and len(g[c]) > i else "", widths[c]) for c in shown if c <= last]
+            else:
+                parts = [(x[i], 0) for _, x in sorted(g.items()) if len(x) > i]
             text = "  ".join(p + " " * (w - width(p)) for p, w in parts).rstrip()
             if text:
                 out.line()
@@ -421,6 +429,22 @@ def _table(node: Node, out: Layout) -> None:
                 out.lines.append(text)
 
 
+def _worth_aligning(grid: list[dict[int, list[str]]], shown: list[int], widths: dict[int, int]) -> bool:
+    """Layout rule: a table's columns are aligned while that makes no more than WIDER times the characters of its cells, and ROOM
+    besides. Else, as with one very long cell beside many short ones, the cells of a row follow each other with the usual gap.
+    No text is lost either way."""
+    upto, total = {}, 0
+    for c in shown:
+        total += widths[c] + 2
+        upto[c] = total
+    filled = written = 0
+    for g in grid:
+        lines = max((len(x) for x in g.values()), default=0)
+        written += sum(len(t) for x in g.values() for t in x)
+        filled += lines * max((upto.get(c, 0) for c, x in g.items() if x), default=0)
+    return filled <= WIDER * written + ROOM
+
+
 def rendered(pages: DataFrame, columns: list[str], html: str = "html") -> DataFrame:
     """``columns`` of ``pages`` (``html`` among them) with the visible text as ``visible``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailspan.llm.chunks import ChunkCoder
-from trailspan.llm.common import for_texts, gathered, slices, table, texts_of
+from trailspan.llm.common import for_texts, gathered, own_names, slices, table, texts_of
 
 SPACE = "▁"
 #: Chunks between which every segmentation has a border, as no piece has a space after another character.
@@ -31,6 +31,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Characters of a text without spaces that are segmented in one pass, and somewhat more where no cut is free.
+PART = 1 << 17
+
+
 class PieceModel:
     """Pieces of a model file with the score of each.
 
@@ -65,25 +69,50 @@ class PieceModel:
         for p, i in self.pieces.items():
             self.automaton.add_word(p, (i, len(p), self.score[i]))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.pieces), default=1)
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text whose spaces are ``SPACE``; of equal ones, that with the longest last pieces.
 
-        The automaton names, at each position, every piece that ends there by
-        its output links, so one pass from left to right relaxes all edges.
+        A text without spaces may be very long, and a pass over it holds three
+        lists of its length. So it is taken in parts: what is best up to a place
+        that no piece reaches over does not depend on what follows, and such a
+        place is looked for behind every PART characters.
         """
+        if len(text) <= PART:
+            return self._segment(text)[0]
+        out: list[int] = []
+        at, score = 0, 0.0
+        while at < len(text):
+            stop = self._free_cut(text, min(at + PART, len(text)))
+            ids, score = self._segment(text[at:stop], score)
+            out += ids
+            at = stop
+        return out
+
+    def _free_cut(self, text: str, near: int) -> int:
+        """The first place from ``near`` on that no piece reaches over; the end if there is none."""
+        for cut in range(near, len(text)):
+            low = max(0, cut - self.longest + 1)
+            if all(end - length + 1 >= cut - low or end + 1 <= cut - low for end, (_, length, _) in self.automaton.iter(text[low : cut + self.longest - 1])):
+                return cut
+        return len(text)
+
+    def _segment(self, text: str, score: float = 0.0) -> tuple[list[int], float]:
+        """(ids, score) of one pass from left to right: the automaton names, at each position, every piece that ends there by its
+        output links, which relaxes all edges. ``score`` is that of what came before, so that sums round alike in parts."""
         n = len(text)
         best = [-1e300] * (n + 1)
-        best[0] = 0.0
+        best[0] = score
         back: list[tuple[int, ...]] = [()] * (n + 1)
         size = [0] * (n + 1)
         odd = [] if self.single.issuperset(text) else [i for i, c in enumerate(text) if c not in self.single or c == "\x00"]
         k = 0
-        for end, (piece, length, score) in self.automaton.iter(text):
+        for end, (piece, length, gain) in self.automaton.iter(text):
             while k < len(odd) and odd[k] <= end:
                 self._fall_back(text, odd[k], best, back, size)
                 k += 1
-            s = best[end + 1 - length] + score
+            s = best[end + 1 - length] + gain
             if s > best[end + 1] or (s == best[end + 1] and length > size[end + 1]):
                 best[end + 1], back[end + 1], size[end + 1] = s, (piece,), length
         while k < len(odd):
@@ -94,7 +123,7 @@ class PieceModel:
         while at:
             out += reversed(back[at])
             at -= size[at]
-        return out[::-1]
+        return out[::-1], best[n]
 
     def _fall_back(self, text: str, i: int, best: list, back: list, size: list) -> None:
         raw = text[i].encode("utf-8", "surrogatepass")
@@ -142,8 +171,12 @@ def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, ar
     ids as little-endian unsigned 32-bit integers), round_trip (decoding gives the text again) and, with ``arrays``, pieces.
 
     A null or empty text has no piece and decodes to the empty text. Every row
-    is encoded by itself, however long, and repeated rows alike.
+    is encoded by itself, however long, and repeated rows alike; an empty table
+    gives no rows; columns that are not asked for are ignored, and one that is
+    asked for under the name of a result raises a ValueError.
     """
+    names = ["n_pieces", "n_bytes", "pieces_crc32", "round_trip", *(["pieces"] if arrays else [])]
+    own_names(columns, *names)
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +198,15 @@ def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, ar
                     found.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, *names])
 
-    names = ["n_pieces", "n_bytes", "pieces_crc32", "round_trip", *(["pieces"] if arrays else [])]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.BooleanType(), *([T.ArrayType(T.IntegerType())] if arrays else [])]
     some = for_texts(docs).select(*columns)
     return some.mapInArrow(run, T.StructType([*some.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 
 def decoded(encoded: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
-    """``columns`` of ``encoded`` (pieces among them) with the decoded text as ``text``; null pieces decode to null."""
+    """``columns`` of ``encoded`` (pieces among them) with the decoded text as ``text``; null pieces decode to null, an
+    empty table gives no rows, and a column that is asked for under the name ``text`` raises a ValueError."""
+    own_names(columns, "text")
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

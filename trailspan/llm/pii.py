@@ -355,6 +355,22 @@ def viterbi(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> list[np.ndar
     return out
 
 
+#: Characters, filled up, of the stretches that are decoded together.
+PADDED = 1 << 17
+
+
+def alike(sizes: np.ndarray, most: int = 256, room: int = PADDED) -> list[np.ndarray]:
+    """Positions of ``sizes`` in groups of like size: ``most`` in one at most, and no more of them than take ``room`` together when all
+    are filled up to the longest; what is longer than that is a group of its own."""
+    order = np.argsort(sizes, kind="stable")
+    cuts, start = [], 0
+    for i, size in enumerate(sizes[order].tolist()):
+        if i > start and (i - start == most or (i - start + 1) * size > room):
+            cuts.append(i)
+            start = i
+    return np.split(order, cuts)
+
+
 def decode(model: BiLstmCrf, texts: list[str]) -> list[list[Span]]:
     """Spans of the model. Scores of overlapping windows are averaged, the middle of a window counting most, and each
     connected stretch of windows is decoded as one sequence, so that a span over a window's rim is found whole."""
@@ -373,7 +389,7 @@ def decode(model: BiLstmCrf, texts: list[str]) -> list[list[Span]]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     sizes = at[last] + WIDTH - at[first]
-    for some in np.array_split(np.argsort(sizes, kind="stable"), max(1, len(sizes) // 256)):
+    for some in alike(sizes):
         longest = int(sizes[some].max())
         place = np.full(len(sizes), -1)
         place[some] = np.arange(len(some))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspan.llm.chunks import ChunkCoder, EncodeMany
-from trailspan.llm.common import for_texts, gathered, ranges, sampled, slices, table
+from trailspan.llm.common import fitted, for_texts, gathered, ranges, sampled, slices, table
 from trailspan.shared import shared_folder
 
 MAGIC = b"TSTOKEN1"
@@ -136,11 +136,13 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, dictionary_size: int = 64 << 10, sample: int = 1000, shard_docs: int = 20_000, level: int = 3) -> dict:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, dictionary_size: int = 64 << 10, sample: int = 1000, sample_bytes: int = 16 << 20, shard_docs: int = 20_000, level: int = 3) -> dict:
     """Write every text's ids to shards of ascending doc_id below ``folder``; return the manifest.
 
-    The dictionary is trained on the ids of the ``sample`` texts of the smallest
-    hash: a bounded, documented sample. Texts are range-partitioned by doc_id,
+    The dictionary is trained, in one task of an executor, on the ids of the
+    ``sample`` texts of the smallest hash, as far as they hold ``sample_bytes``
+    together: a bounded, documented sample; only the dictionary reaches the
+    driver. Texts are range-partitioned by doc_id,
     about ``shard_docs`` to a shard, and each task tokenises, compresses and
     writes its shard as a stream; the sampling of the ranges reads texts, but
     tokenises none. A shard appears under its name only when it is whole, so a
@@ -151,13 +153,16 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     """
     path = path or tokenizer_path()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    picked = [r.text for r in sampled(texts, sample, "doc_id", "text").select("_h", "text").distinct().orderBy("_h", "text").collect()]
-    ids, counts = encode(path, pa.array(picked, pa.string()), end_id, added=True)
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     kind = np.uint16 if width == 2 else np.uint32
-    raw = train_dictionary([x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if picked else [], dictionary_size)
+
+    def trained(rows: list[dict]) -> bytes:
+        ids, counts = encode(path, pa.array([r["text"] for r in rows], pa.string()), end_id, added=True)
+        return train_dictionary([x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if rows else [], dictionary_size)
+
+    raw = fitted(sampled(texts, sample, "doc_id", "text").select("_h", "text").distinct().orderBy("_h", "text"), trained, most=sample_bytes)
     digest = hashlib.sha256(raw).digest()
     folder = qualified(docs.sparkSession, folder)
     fs, root = pafs.FileSystem.from_uri(folder)
