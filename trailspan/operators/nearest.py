@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspan.functions import geometry
+from trailspan.operators.network import straight_pieces
 from trailspan.operators.routing_areas import BANDS
 from trailspan.shared import stored
 
@@ -22,31 +24,25 @@ def _beyond(v: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.abs(v - low), F.abs(v - high))
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str = "point_id", place: str = "place_id", share: int = 16) -> DataFrame:
-    """(key, place, distance): the nearest place (place, x, y) of each point (key, x, y), however far; ties go to the smaller place.
-
-    Places stand in cells whose bounds are known, in levels from one cell to
-    cells of about ``share`` places. Every point starts at the top; on each
-    level a cell stays if its least distance is no more than the least of all
-    cells' greatest ones, so the nearest place is never lost and only a few cells
-    are left. Points of any distance take the same number of joins. Places at
-    one spot count as the one of the smallest number; points and places without
-    coordinates take no part; without places there are no rows.
-    """
-    spots = stored(places.where("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).agg(F.min(place).alias(place)), "nearest-spots")
-    box = spots.agg(F.count("*").alias("n"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1")).first()
+def _descended(points: DataFrame, items: DataFrame, key: str, share: int) -> DataFrame:
+    """(key, x, y, and the columns of ``items``): for each point the items that may be its nearest ones. Items have a box (lx, ly, hx,
+    hy) and stand in cells by its middle, in levels from one cell to cells of about ``share`` items. Every point starts at the top;
+    on each level a cell stays if its least distance is no more than the least of all cells' greatest ones, so the nearest item is
+    never lost and only a few cells are left. Points of any distance take the same number of joins."""
+    mx, my = (F.col("lx") + F.col("hx")) / 2, (F.col("ly") + F.col("hy")) / 2
+    box = items.agg(F.count("*").alias("n"), F.min(mx).alias("x0"), F.min(my).alias("y0"), F.max(mx).alias("x1"), F.max(my).alias("y1")).first()
     here = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     if not box.n:
-        return here.limit(0).join(spots.select(place).limit(0)).select(key, place, F.lit(0.0).alias("distance"))
+        return here.join(items.limit(0), F.lit(True)).limit(0)
     levels = max(1, math.ceil(math.log(max(1, box.n / share)) / math.log(FAN * FAN)))
     width = max(box.x1 - box.x0, box.y1 - box.y0, 1e-9) * (1 + 1e-9)
     cell = lambda v, low, k: F.floor((v - low) / (width / FAN**k)).cast("long")
-    placed = spots.select("*", *(c for k in range(levels + 1) for c in (cell(F.col("px"), box.x0, k).alias(f"cx{k}"), cell(F.col("py"), box.y0, k).alias(f"cy{k}"))))
+    placed = items.select("*", *(c for k in range(levels + 1) for c in (cell(mx, box.x0, k).alias(f"cx{k}"), cell(my, box.y0, k).alias(f"cy{k}"))))
     placed = stored(placed, "nearest-cells")
     now = here.withColumn("cx0", F.lit(0).cast("long")).withColumn("cy0", F.lit(0).cast("long"))
     for k in range(1, levels + 1):
         up, own = [f"cx{k - 1}", f"cy{k - 1}"], [f"cx{k}", f"cy{k}"]
-        cells = placed.groupBy(*up, *own).agg(F.min("px").alias("ax"), F.min("py").alias("ay"), F.max("px").alias("bx"), F.max("py").alias("by"))
+        cells = placed.groupBy(*up, *own).agg(F.min("lx").alias("ax"), F.min("ly").alias("ay"), F.max("hx").alias("bx"), F.max("hy").alias("by"))
         tried = now.join(cells, up)
         near = F.hypot(_outside(F.col("x"), F.col("ax"), F.col("bx")), _outside(F.col("y"), F.col("ay"), F.col("by")))
         far = F.hypot(_beyond(F.col("x"), F.col("ax"), F.col("bx")), _beyond(F.col("y"), F.col("ay"), F.col("by")))
@@ -54,9 +50,29 @@ def nearest(points: DataFrame, places: DataFrame, key: str = "point_id", place:
         tried = tried.withColumn("near", near).withColumn("far", far).withColumn("best", best).where(F.col("near") <= F.col("best") * (1 + 1e-12))
         now = stored(tried.select(key, "x", "y", *own), "nearest-tried")
     last = [f"cx{levels}", f"cy{levels}"]
-    met = now.join(placed.select(place, "px", "py", *last), last).withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
-    found = met.groupBy(key).agg(F.min(F.struct("distance", place)).alias("b"))
-    return found.select(key, f"b.{place}", "b.distance")
+    return now.join(placed.select(*items.columns, *last), last).drop(*last)
+
+
+def nearest(points: DataFrame, places: DataFrame, key: str = "point_id", place: str = "place_id", share: int = 16) -> DataFrame:
+    """(key, place, distance): the nearest place (place, x, y) of each point (key, x, y), however far; ties go to the smaller place.
+
+    Places at one spot count as the one of the smallest number; points and
+    places without coordinates take no part; without places there are no rows.
+    """
+    spots = places.where("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").cast("double").alias("lx"), F.col("y").cast("double").alias("ly")).agg(F.min(place).alias(place))
+    spots = stored(spots.withColumn("hx", F.col("lx")).withColumn("hy", F.col("ly")), "nearest-spots")
+    met = _descended(points, spots, key, share).withColumn("distance", F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")))
+    return met.groupBy(key).agg(F.min(F.struct("distance", place)).alias("b")).select(key, f"b.{place}", "b.distance")
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, key: str = "point_id", share: int = 16) -> DataFrame:
+    """(key, line_id, distance): the nearest line (line_id, line) of each point (key, x, y), however far; ties go to the smaller line."""
+    side = lambda f, k: f(F.col(f"a.{k}"), F.col(f"b.{k}"))
+    pieces = straight_pieces(lines, False).select("line_id", "a", "b", side(F.least, "x").alias("lx"), side(F.least, "y").alias("ly"), side(F.greatest, "x").alias("hx"), side(F.greatest, "y").alias("hy"))
+    met = _descended(points, stored(pieces, "nearest-pieces"), key, share)
+    n = geometry.nearest_on_segment(geometry.point(F.col("x"), F.col("y")), F.col("a"), F.col("b"))
+    met = met.withColumn("distance", F.hypot(F.col("x") - n["x"], F.col("y") - n["y"]))
+    return met.groupBy(key).agg(F.min(F.struct("distance", "line_id")).alias("b")).select(key, "b.line_id", "b.distance")
 
 
 def snapped_starts(points: DataFrame, nodes: DataFrame, areas: DataFrame) -> DataFrame:

@@ -174,3 +174,66 @@ def stitched(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "d
         added = links if added is None else added.unionByName(links)
         edges = stored(edges.unionByName(links.select(src, dst)), "stitch-edges")
     return edges, added if added is not None else edges.sparkSession.createDataFrame([], f"{src} long, {dst} long, distance double, pass int")
+
+
+def piece_links(pieces: DataFrame, least: float = 0.2, most: float = 25.0) -> DataFrame:
+    """One proposed link for each component of ``pieces`` (piece_id, u, v, line) that lies near a strictly larger one, by nodes: from
+    the node of it that is nearest to a piece of such a component, straight to the foot on that piece, between ``least`` and
+    ``most`` metres. (component, node, x, y, piece_id, at, foot_x, foot_y, distance); ties go to smaller nodes, then pieces.
+
+    A line begins at its u and ends at its v. Pieces stand in the cells of the
+    link's length that they pass, nodes look into nine.
+    """
+    held = stored(pieces.select("piece_id", "u", "v", "line"), "link-pieces")
+    parts = stored(connected_components(held, "u", "v"), "link-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    end = lambda k, i: held.select(F.col(k).alias("node"), F.element_at("line", i).alias("p"))
+    at = end("u", 1).unionByName(end("v", -1)).groupBy("node").agg(F.min("p").alias("p")).join(parts, "node").join(sizes, "component")
+    around = F.explode(F.array(*(F.struct((F.floor(F.col("p.x") / most) + i).alias("cx"), (F.floor(F.col("p.y") / most) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    here = at.withColumn("c", around).select("node", "p", "component", "size", "c.cx", "c.cy")
+    straight = straight_pieces(held.select(F.col("piece_id").alias("line_id"), "line"))
+    placed = straight.join(held.select(F.col("piece_id").alias("line_id"), F.col("u").alias("node")), "line_id").join(parts.withColumnRenamed("component", "to_component"), "node").join(sizes.select(F.col("component").alias("to_component"), F.col("size").alias("to_size")), "to_component").drop("node")
+    dealt = placed.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), most))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
+    foot = geometry.nearest_on_segment(F.col("p"), F.col("a"), F.col("b"))
+    near = here.join(dealt.withColumnRenamed("size", "length"), ["cx", "cy"]).where("to_component <> component AND to_size > size").withColumn("foot", foot)
+    near = near.withColumn("distance", F.hypot(F.col("p.x") - F.col("foot.x"), F.col("p.y") - F.col("foot.y"))).where((F.col("distance") >= least) & (F.col("distance") <= most))
+    along = F.col("at") + F.hypot(F.col("foot.x") - F.col("a.x"), F.col("foot.y") - F.col("a.y"))
+    best = near.groupBy("component").agg(F.min(F.struct("distance", "node", F.col("line_id").alias("piece_id"), along.alias("at"), "p", "foot")).alias("b"))
+    return best.select("component", "b.node", F.col("b.p.x").alias("x"), F.col("b.p.y").alias("y"), "b.piece_id", F.round("b.at", 3).alias("at"), F.col("b.foot.x").alias("foot_x"), F.col("b.foot.y").alias("foot_y"), "b.distance")
+
+
+def stitched_pieces(pieces: DataFrame, passes: int = 6, least: float = 0.2, most: float = 25.0, rim: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(pieces, links): ``pieces`` (piece_id string, u, v, line) with links between them, pass after pass until none is left, a pass
+    joins nothing, or ``passes`` are used up.
+
+    A piece that a link reaches away from its ends is cut at the foot point, and
+    its parts are called piece_id/0, piece_id/1 and so on; within ``rim`` of an
+    end the link goes to the node there. links: (pass, node, to_node, piece_id,
+    at, distance, line); new nodes have negative numbers. Links are no pieces;
+    for what hangs together add their ends as edges.
+    """
+    now = pieces.select(F.col("piece_id").cast("string").alias("piece_id"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "line")
+    # a link is also a piece while passes go on, so that components grow
+    kept, links = stored(now, "stitch-pieces"), None
+    for k in range(passes):
+        all_ = kept if links is None else kept.unionByName(links.select(F.concat(F.lit("link "), F.col("node").cast("string"), F.lit(" "), F.col("to_node").cast("string")).alias("piece_id"), F.col("node").alias("u"), F.col("to_node").alias("v"), "line"))
+        found = piece_links(all_, least, most).where(~F.startswith("piece_id", F.lit("link ")))
+        ends = kept.select("piece_id", F.col("u").alias("pu"), F.col("v").alias("pv"), geometry.length(F.col("line")).alias("total"))
+        to = F.when(F.col("at") <= rim, F.col("pu")).when(F.col("at") >= F.col("total") - rim, F.col("pv")).otherwise(-1 - F.abs(F.xxhash64("piece_id", "at") % F.lit(1 << 62)))
+        line = F.array(geometry.point(F.col("x"), F.col("y")), geometry.point(F.col("foot_x"), F.col("foot_y")))
+        new = found.join(ends, "piece_id").withColumn("to_node", to).select(F.lit(k).alias("pass"), "node", "to_node", "piece_id", "at", "distance", line.alias("line"))
+        new = stored(new, "stitch-new")
+        if new.isEmpty():
+            break
+        cuts = new.where("to_node < 0").select("piece_id", F.struct("at", F.col("to_node").alias("n")).alias("c")).distinct().groupBy("piece_id").agg(F.array_sort(F.collect_list("c")).alias("cuts"))
+        cut = kept.join(cuts, "piece_id").withColumn("total", geometry.length(F.col("line")))
+        stops = F.concat(F.array(F.struct(F.lit(0.0).alias("at"), F.col("u").alias("n"))), F.col("cuts"), F.array(F.struct(F.col("total").alias("at"), F.col("v").alias("n"))))
+        count = F.size("stops")
+        spans = F.zip_with(F.slice("stops", F.lit(1), count - 1), F.slice("stops", F.lit(2), count - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        parts = cut.withColumn("stops", stops).select("piece_id", "line", F.posexplode(spans).alias("part", "s"))
+        parts = parts.select(F.concat_ws("/", "piece_id", F.col("part").cast("string")).alias("piece_id"), F.col("s.a.n").alias("u"), F.col("s.b.n").alias("v"), substring(F.col("line"), F.col("s.a.at"), F.col("s.b.at")).alias("line"))
+        kept = stored(kept.join(cuts.select("piece_id"), "piece_id", "left_anti").unionByName(parts), "stitch-pieces")
+        links = new if links is None else stored(links.unionByName(new), "stitch-links")
+    if links is None:
+        links = kept.sparkSession.createDataFrame([], "pass int, node long, to_node long, piece_id string, at double, distance double, line array<struct<x:double,y:double>>")
+    return kept, links

@@ -79,6 +79,17 @@ def points_in(points: DataFrame, edges: DataFrame, cell: float = 100.0, key: str
     return sure.unionByName(turns.where(F.col("middle") != (F.col("n") % 2 == 1)).select(key, "poly_id"))
 
 
+def points_near(points: DataFrame, edges: DataFrame, reach: float, key: str = "point_id") -> DataFrame:
+    """(key, poly_id, distance): polygons that hold a point, at distance 0, or whose rim is within ``reach`` of it. Edges stand in the
+    cells of that size that they pass, points look into nine. An edge without length is a place of its own."""
+    inside = points_in(points, edges.where("a <> b"), max(reach, 50.0), key).withColumn("distance", F.lit(0.0))
+    around = F.explode(F.array(*(F.struct((F.floor(F.col("x") / reach) + i).alias("cx"), (F.floor(F.col("y") / reach) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    here = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumn("c", around).select(key, "x", "y", "c.cx", "c.cy")
+    n = geometry.nearest_on_segment(geometry.point(F.col("x"), F.col("y")), F.col("a"), F.col("b"))
+    beside = here.join(rim_edges(edges, reach), ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - n["x"], F.col("y") - n["y"])).where(F.col("distance") <= reach)
+    return inside.unionByName(beside.select(key, "poly_id", "distance")).groupBy(key, "poly_id").agg(F.min("distance").alias("distance"))
+
+
 def rim_crossings(lines: DataFrame, edges: DataFrame, cell: float = 100.0) -> DataFrame:
     """(line_id, poly_id): lines (line_id, line) that cross or touch a polygon's rim."""
     own = lines.select(F.struct(F.lit("line").alias("kind"), F.col("line_id").cast("string").alias("id")).alias("line_id"), "line")
