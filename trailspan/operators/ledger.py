@@ -90,7 +90,7 @@ def progress(segments: DataFrame, completions: DataFrame, holds: DataFrame) -> D
     return shown.join(done, "segment_id", "left").join(held, "segment_id", "left").select("segment_id", kind.alias("kind"), d.alias("done"), (F.coalesce("h", F.lit(False)) & ~d).alias("held"))
 
 
-def others_holds(holds: DataFrame, person: str | None = None, walk: str | None = None) -> DataFrame:
+def others_holds(holds: DataFrame, person: str | int | None = None, walk: str | int | None = None) -> DataFrame:
     """Live holds but those of one person or walk, whose own never stand in their way."""
     out = holds
     if person is not None:
@@ -98,6 +98,17 @@ def others_holds(holds: DataFrame, person: str | None = None, walk: str | None =
     return out.where(~F.col("walk").eqNullSafe(F.lit(walk))) if walk is not None else out
 
 
+def snapshot(segments: DataFrame, completions: DataFrame, holds: DataFrame, person: str | int | None, damping: float) -> DataFrame:
+    """(segment_id, done, reserved, worth) of every segment as a request of ``person`` sees the town: finished by anyone, held by
+    someone else, and what is left of its prize: nothing once finished, ``damping`` of it while others hold it, else all. A
+    person's own holds damp nothing; a null person has none."""
+    done = completions.select("segment_id", F.lit(True).alias("d")).distinct()
+    held = others_holds(holds, person).select("segment_id", F.lit(True).alias("h")).distinct()
+    seen = segments.select("segment_id").distinct().join(done, "segment_id", "left").join(held, "segment_id", "left")
+    d, h = F.coalesce("d", F.lit(False)), F.coalesce("h", F.lit(False))
+    return seen.select("segment_id", d.alias("done"), h.alias("reserved"), F.when(d, 0.0).when(h, damping).otherwise(1.0).alias("worth"))
+
+
 def people_walks(people: DataFrame, walks: DataFrame) -> DataFrame:
     """(person, completed_walks): everybody, 0 for those without a completed walk."""
     return people.join(walks.where("status = 'COMPLETED'").groupBy("person").agg(F.count("*").alias("n")), "person", "left").select("person", F.coalesce("n", F.lit(0)).alias("completed_walks"))
