@@ -126,6 +126,26 @@ def test_credits_count_once_and_only_from_the_share_needed(spark):
     assert abs(direct["new_required"] - 410.0 / MILE) < 1e-12 and direct["corridor_completion"] == 1
 
 
+def test_sweep_of_contexts_targets_and_weights(spark):
+    members, done, _ = made(spark, 8, 6)
+    places = spark.createDataFrame(lattice(8, 6)[1], "node long, x double, y double")
+    facts = cluster_search.in_contexts(members, {"empty": done.limit(0), "some": done, "all": members.select("segment_id")}, places)
+    kinds = {"usual": missions.ROUTE_WEIGHTS, "homes": {**missions.ROUTE_WEIGHTS, "households": 5.0}}
+    rows = cluster_search.sweep(facts, spark.createDataFrame([(0,), (14,), (None,), (777,)], "start long"), [0.5, 1.5], kinds, seeds=2, most=2)
+    got = {(r.start, r.target, r.context, r.weighting): r for r in rows.collect()}
+    assert len(got) == 3 * 2 * 3 * 2
+    assert not any(r.available for k, r in got.items() if k[0] == 777 or k[2] == "all")
+    assert all(got[s, 1.5, c, "usual"].available for s in (0, 14) for c in ("empty", "some"))
+    one = cluster_search.best_of_clusters(cluster_search.cluster_routes(facts.where("context = 'some'").drop("context"), spark.createDataFrame([(14, 1.5)], "start long, target double"), 2, 2)).toPandas()
+    assert abs(one["score"].iloc[0] - got[14, 1.5, "some", "usual"].score) < 1e-9 and abs(one["length"].iloc[0] - got[14, 1.5, "some", "usual"].length) < 1e-6
+    for r in got.values():
+        assert not r.available or (r.length <= r.target * MILE * 1.08 + 1e-6 and r.new_miles + r.repeated_miles <= r.length / MILE + 1e-3)
+    total = {(r.context, r.weighting, r.target): r for r in cluster_search.sweep_summary(rows).collect()}
+    assert total["some", "usual", 1.5].starts == 3 and total["some", "usual", 1.5].available == 2 and total["all", "homes", 0.5].available == 0
+    changes = cluster_search.weights_compared(rows, "usual", "homes").collect()
+    assert len(changes) == sum(r.available and got[k[0], k[1], k[2], "homes"].available for k, r in got.items() if k[3] == "usual")
+
+
 def test_nothing_open_gives_no_walk(spark):
     members, _, _ = made(spark, 4, 4)
     places = spark.createDataFrame(lattice(4, 4)[1], "node long, x double, y double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -117,28 +117,28 @@ class RouteScore:
         out["loop_shape"] = len(passes) / len(segs) if segs else 0.0
         return out
 
-    def of(self, segs: list[int], closing: int, target: float) -> float:
-        return sum(ROUTE_WEIGHTS[k] * v for k, v in self.components(segs, closing, target).items())
+    def of(self, segs: list[int], closing: int, target: float, weights: Mapping[str, float] = ROUTE_WEIGHTS) -> float:
+        return sum(weights.get(k, 0.0) * v for k, v in self.components(segs, closing, target).items())
 
 
 class ScoredPlanner(Planner):
     """A planner whose local search goes by the route's score; a walk of nothing is worth less than any other."""
 
-    def __init__(self, paths: Paths, wanted: pd.DataFrame, start: int, budget: float, score: RouteScore, target: float):
+    def __init__(self, paths: Paths, wanted: pd.DataFrame, start: int, budget: float, score: RouteScore, target: float, weights: Mapping[str, float] = ROUTE_WEIGHTS):
         super().__init__(paths, wanted, start, budget)
-        self.score, self.target = score, target
+        self.score, self.target, self.weights = score, target, weights
 
     def value(self, legs: list[Leg]) -> tuple[float, float, frozenset[int]]:
         segs, closing = self.walk(legs)
-        worth = self.score.of(segs, closing, self.target) if segs else -1e18
+        worth = self.score.of(segs, closing, self.target, self.weights) if segs else -1e18
         return worth, sum(self.size[s] for s in segs), frozenset(s for s in set(segs) if s in self.wanted)
 
 
-def searched(paths: Paths, wanted: pd.DataFrame, start: int, target: float, score: RouteScore, seeds: int, plain: bool) -> tuple[float, int, list[int], int] | None:
+def searched(paths: Paths, wanted: pd.DataFrame, start: int, target: float, score: RouteScore, seeds: int, plain: bool, weights: Mapping[str, float] = ROUTE_WEIGHTS) -> tuple[float, int, list[int], int] | None:
     """(score, seed, segments, closing) of the best seed; None where no walk fits. ``plain`` walks are first improved as search.routes
     improves them, so that none of those scores more."""
     budget = target * MILE * (1 + TOLERANCE)
-    planner = ScoredPlanner(paths, wanted, start, budget, score, target)
+    planner = ScoredPlanner(paths, wanted, start, budget, score, target, weights)
     found = []
     for seed in range(seeds):
         rng = np.random.default_rng(seed)
@@ -222,65 +222,119 @@ def in_reach(facts: DataFrame, asked: DataFrame) -> DataFrame:
     return facts.join(end("u"), "u").join(end("v"), ["start", "v"])
 
 
-def cluster_routes(facts: DataFrame, starts: DataFrame, seeds: int = SEEDS, most: int = MOST_CLUSTERS) -> DataFrame:
-    """Steps (start, target, cluster, seed, score, length, pos, seg, closing) of one closed walk for each start (start, target in
-    miles) and each of its ``most`` best clusters, and one for all clusters together (EVERYWHERE); see with_facts.
-
-    A cluster is worth what the round trip to it leaves of the budget, by the
-    distance to it, its homes and that ground itself; those whose nearest end is
-    farther than half the budget are left out. Walks come home within the target
-    and TOLERANCE more. Starts without open segments in reach, or that are no
-    node, have no rows. Every (start, target, cluster) is a task group of its
-    own, with the segments in reach of the start.
+def cluster_routes(facts: DataFrame, starts: DataFrame, seeds: int = SEEDS, most: int = MOST_CLUSTERS, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """Steps (start, target, context, weighting, cluster, seed, score, length, pos, seg, closing) of one closed walk for each start
+    (start, target in miles), each set of ``weights`` by its name, and each of the ``most`` best clusters, and one for all clusters
+    together (EVERYWHERE); see with_facts.
+
+    ``facts`` may have a column ``context`` (see in_contexts): then there is a
+    walk for each context too. A cluster is worth what the round trip to it
+    leaves of the budget, by the distance to it, its homes and that ground
+    itself; those whose nearest end is farther than half the budget are left
+    out. Walks come home within the target and TOLERANCE more. Starts without
+    open segments in reach, or that are no node, have no rows. Every (start,
+    context, cluster) is a task group of its own: the segments in reach of the
+    start's largest target, and the ways found on them, serve all its targets and
+    weights.
     """
+    kinds = {k: dict(v) for k, v in (weights or {"": ROUTE_WEIGHTS}).items()}
+    facts = facts if "context" in facts.columns else facts.withColumn("context", F.lit(""))
     asked = stored(starts.select(F.col("start").cast("long").alias("start"), F.col("target").cast("double").alias("target")).where("start IS NOT NULL AND target > 0").distinct(), "cluster-asked")
     near = stored(in_reach(facts, asked), "cluster-near")
 
     def entries(mine: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(mine) and len(parts):
-            paths, parts = _frames(parts)
-            dist, _ = paths.of(int(mine["start"].iloc[0]))
-            ends = pd.concat([parts[["cluster", k]].rename(columns={k: "node"}) for k in "uv"]).dropna()
-            ends["access"] = ends["node"].map(dist)
-            least = ends.dropna().groupby("cluster")["access"].min()
-            rows = [(r.start, r.target, int(c), float(d)) for r in mine.itertuples() for c, d in least.items()]
-        return pd.DataFrame(rows, columns=["start", "target", "cluster", "access"])
-
-    reach = asked.groupBy("start").cogroup(near.select("start", "u", "v", "seg", "length", "cluster").groupBy("start")).applyInPandas(entries, "start long, target double, cluster long, access double")
-    sizes = near.where("open").select("cluster", "cluster_length", "cluster_homes").distinct()
+            start = int(mine["start"].iloc[0])
+            for context, some in parts.groupby("context"):
+                paths, some = _frames(some)
+                dist, _ = paths.of(start)
+                ends = pd.concat([some[["cluster", k]].rename(columns={k: "node"}) for k in "uv"]).dropna()
+                ends["access"] = ends["node"].map(dist)
+                least = ends.dropna().groupby("cluster")["access"].min()
+                rows += [(start, t, context, int(c), float(d)) for t in mine["target"] for c, d in least.items()]
+        return pd.DataFrame(rows, columns=["start", "target", "context", "cluster", "access"])
+
+    reach = asked.groupBy("start").cogroup(near.select("start", "context", "u", "v", "seg", "length", "cluster").groupBy("start")).applyInPandas(entries, "start long, target double, context string, cluster long, access double")
+    sizes = near.where("open").select("context", "cluster", "cluster_length", "cluster_homes").distinct()
     budget = F.col("target") * MILE * (1 + TOLERANCE)
     usable = F.least("cluster_length", F.greatest(F.lit(0.0), budget - 2 * F.col("access")))
     worth = usable / F.greatest(F.col("access") + budget * 0.25, F.lit(1.0)) * 1000 + F.col("cluster_homes") * 0.4 + usable * 0.01
-    ranked = reach.join(sizes, "cluster").where((F.col("access") <= budget / 2) & (usable > 0)).withColumn("worth", worth)
-    rank = F.row_number().over(Window.partitionBy("start", "target").orderBy(F.desc("worth"), "cluster"))
-    best = stored(ranked.withColumn("r", rank).where(F.col("r") <= most).select("start", "target", "cluster"), "cluster-picked")
-    picked = stored(best.unionByName(best.select("start", "target").distinct().withColumn("cluster", F.lit(EVERYWHERE).cast("long"))), "cluster-all")
-    mine = picked.select(*(F.col(c).alias(f"p_{c}") for c in picked.columns))
-    given = near.select(F.col("start").alias("p_start"), *FACTS, F.col("cluster").alias("own")).join(mine, "p_start")
-    schema = "start long, target double, cluster long, seed int, score double, length double, pos int, seg long, closing boolean"
+    ranked = reach.join(sizes, ["context", "cluster"]).where((F.col("access") <= budget / 2) & (usable > 0)).withColumn("worth", worth)
+    rank = F.row_number().over(Window.partitionBy("start", "target", "context").orderBy(F.desc("worth"), "cluster"))
+    best = stored(ranked.withColumn("r", rank).where(F.col("r") <= most).select("start", "target", "context", "cluster"), "cluster-picked")
+    picked = stored(best.unionByName(best.select("start", "target", "context").distinct().withColumn("cluster", F.lit(EVERYWHERE).cast("long"))), "cluster-all")
+    key = ["start", "context", "cluster"]
+    mine = picked.select(*(F.col(c).alias(f"p_{c}") for c in key)).distinct()
+    given = near.select(F.col("start").alias("p_start"), F.col("context").alias("p_context"), *FACTS, F.col("cluster").alias("own")).join(mine, ["p_start", "p_context"])
+    schema = "start long, target double, context string, weighting string, cluster long, seed int, score double, length double, pos int, seg long, closing boolean"
 
     def run(mine: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in schema.split(", ")]
-        if not len(mine) or not len(parts):
-            return pd.DataFrame(columns=names)
-        start, target, cluster = int(mine["start"].iloc[0]), float(mine["target"].iloc[0]), int(mine["cluster"].iloc[0])
-        paths, parts = _frames(parts)
-        wanted = parts[parts["open"] & ((parts["own"] == cluster) | (cluster == EVERYWHERE))].assign(prize=lambda w: w["length"])
-        found = searched(paths, wanted, start, target, RouteScore(parts, start), seeds, cluster == EVERYWHERE)
-        if found is None:
-            return pd.DataFrame(columns=names)
-        score, seed, segs, closing = found
-        length = float(sum(dict(zip(parts["seg"].tolist(), parts["length"].tolist()))[s] for s in segs))
-        return pd.DataFrame({"start": start, "target": target, "cluster": cluster, "seed": seed, "score": score, "length": length, "pos": np.arange(len(segs), dtype=np.int32), "seg": np.array(segs, np.int64), "closing": np.arange(len(segs)) >= len(segs) - closing})
-
-    key = ["start", "target", "cluster"]
+        frames = [pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])]
+        if len(mine) and len(parts):
+            start, context, cluster = int(mine["start"].iloc[0]), mine["context"].iloc[0], int(mine["cluster"].iloc[0])
+            paths, parts = _frames(parts)
+            wanted = parts[parts["open"] & ((parts["own"] == cluster) | (cluster == EVERYWHERE))].assign(prize=lambda w: w["length"])
+            score, size = RouteScore(parts, start), dict(zip(parts["seg"].tolist(), parts["length"].tolist()))
+            for target in sorted(mine["target"].tolist(), reverse=True):
+                for name, kind in kinds.items():
+                    found = searched(paths, wanted, start, target, score, seeds, cluster == EVERYWHERE, kind)
+                    if found:
+                        worth, seed, segs, closing = found
+                        made = {"start": start, "target": target, "context": context, "weighting": name, "cluster": cluster, "seed": seed, "score": worth, "length": float(sum(size[s] for s in segs))}
+                        frames.append(pd.DataFrame({**made, "pos": np.arange(len(segs), dtype=np.int32), "seg": np.array(segs, np.int64), "closing": np.arange(len(segs)) >= len(segs) - closing}))
+        return pd.concat(frames[1:] or frames)
+
     return picked.groupBy(*key).cogroup(given.groupBy(*(f"p_{k}" for k in key))).applyInPandas(run, schema)
 
 
 def best_of_clusters(steps: DataFrame) -> DataFrame:
-    """The steps of the best walk of each start and target, by score; ties go to the smaller cluster."""
-    heads = steps.groupBy("start", "target", "cluster").agg(F.first("score").alias("s"))
-    first = Window.partitionBy("start", "target").orderBy(F.desc("s"), "cluster")
-    best = heads.withColumn("r", F.row_number().over(first)).where("r = 1").select("start", "target", "cluster")
-    return steps.join(best, ["start", "target", "cluster"])
+    """The steps of the best walk of each start, target, context and weighting, by score; ties go to the smaller cluster."""
+    key = ["start", "target", "context", "weighting"]
+    heads = steps.groupBy(*key, "cluster").agg(F.first("score").alias("s"))
+    first = Window.partitionBy(*key).orderBy(F.desc("s"), "cluster")
+    best = heads.withColumn("r", F.row_number().over(first)).where("r = 1").select(*key, "cluster")
+    return steps.join(best, [*key, "cluster"])
+
+
+def in_contexts(members: DataFrame, done: Mapping[str, DataFrame], nodes: DataFrame, credits: DataFrame | None = None) -> DataFrame:
+    """with_facts for each of a few states of the town, by name: what is finished (segment_id) in each."""
+    out = None
+    for name, some in done.items():
+        facts = with_facts(members, some, nodes, credits).withColumn("context", F.lit(name))
+        out = facts if out is None else out.unionByName(facts)
+    if out is None:
+        raise ValueError("no contexts")
+    return out
+
+
+def sweep(facts: DataFrame, starts: DataFrame, targets: list[float], weights: Mapping[str, Mapping[str, float]] | None = None, seeds: int = SEEDS, most: int = MOST_CLUSTERS) -> DataFrame:
+    """One row for every start, target, context and weighting: available, cluster, score, length, new_miles and repeated_miles of the
+    best walk, which are null where there is none. All are searched in one job."""
+    contexts = facts.select("context").distinct() if "context" in facts.columns else facts.sparkSession.createDataFrame([("",)], "context string")
+    places = starts.select(F.col("start").cast("long").alias("start")).where("start IS NOT NULL").distinct()
+    asked = places.select("start", F.explode(F.array(*(F.lit(float(t)) for t in targets))).alias("target"))
+    steps = stored(best_of_clusters(cluster_routes(facts, asked, seeds, most, weights)), "sweep-steps")
+    facts = facts if "context" in facts.columns else facts.withColumn("context", F.lit(""))
+    key = ["start", "target", "context", "weighting"]
+    again = F.row_number().over(Window.partitionBy(*key, "seg").orderBy("pos")) > 1
+    walked = steps.join(facts.select("context", "seg", F.col("length").alias("size"), "open"), ["context", "seg"]).withColumn("again", again)
+    miles = lambda c: F.round(F.sum(F.when(c, F.col("size")).otherwise(0.0)) / MILE, 4)
+    per = walked.groupBy(*key).agg(F.first("cluster").alias("cluster"), F.first("score").alias("score"), F.first("length").alias("length"), miles(F.col("open") & ~F.col("again")).alias("new_miles"), miles(F.col("again")).alias("repeated_miles"))
+    names = F.explode(F.array(*map(F.lit, weights or {"": None})))
+    every = asked.withColumn("weighting", names).join(F.broadcast(contexts), F.lit(True))  # a few contexts, by name
+    return every.join(per, key, "left").select(*key, F.col("cluster").isNotNull().alias("available"), "cluster", "score", "length", "new_miles", "repeated_miles")
+
+
+def sweep_summary(rows: DataFrame) -> DataFrame:
+    """(context, weighting, target): starts, available, and means over the available walks; see sweep."""
+    mean = lambda c: F.round(F.avg(c), 3).alias(f"mean_{c}")
+    return rows.groupBy("context", "weighting", "target").agg(F.count("*").alias("starts"), F.count_if("available").alias("available"), *map(mean, ("score", "new_miles", "repeated_miles")))
+
+
+def weights_compared(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """(start, target, context) and the differences new less old in new, repeated and all miles, of walks that both weightings have."""
+    key = ["start", "target", "context"]
+    some = lambda w, tag: rows.where((F.col("weighting") == w) & F.col("available")).select(*key, *(F.col(c).alias(f"{c}_{tag}") for c in ("new_miles", "repeated_miles", "length")))
+    both = some(old, "old").join(some(new, "new"), key)
+    return both.select(*key, *(F.round(F.col(f"{c}_new") - F.col(f"{c}_old"), 4).alias(f"{c}_change") for c in ("new_miles", "repeated_miles", "length")))
