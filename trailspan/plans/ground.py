@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailspan.functions import geometry
-from trailspan.operators import cluster_search, graph, merging, nearest, routing_areas, whatif
+from trailspan.operators import cluster_search, graph, ledger, merging, nearest, network, routing_areas, sites, whatif
 from trailspan.operators.membership import MILE
+from trailspan.operators.missions import ROUTE_WEIGHTS
 from trailspan.plans.registry import load, query
+from trailspan.streaming import people
 
 #: Nodes, and segments to the right and up, as SQL.
 GROUND_SQL = """
@@ -134,3 +136,76 @@ def link_scenarios(spark, sf_dir):
 def links_needed(spark, sf_dir):
     """Which components each link joins in each scenario, what lies beside it, and whether it is needed."""
     return whatif.joined_by(*link_tables(spark, sf_dir))
+
+
+@query()
+def budget_sweep(spark, sf_dir):
+    """Two states of the town, two sets of weights and the five walks on offer, for the part of the first supplier of each nation."""
+    nodes, segments = ground(spark, sf_dir)
+    done = lambda c: segments.where(c).select("segment_id")
+    facts = cluster_search.in_contexts(segments, {"early": done("p_size > 45"), "late": done("p_size > 15")}, nodes)
+    starts = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg((F.min("s_suppkey") * 20).alias("start")).select("start")
+    kinds = {"usual": ROUTE_WEIGHTS, "homes": {**ROUTE_WEIGHTS, "households": 2.0}}
+    rows = cluster_search.sweep(facts, starts, [b for _, b in routing_areas.BANDS[:3]], kinds, seeds=2, most=3)
+    return cluster_search.sweep_summary(rows)
+
+
+@query(f"""
+WITH {GROUND_SQL}, pt AS (SELECT c_custkey AS point_id, (c_custkey * 97) % 20000 - 5000 + 0.25 AS px, (c_custkey * 61) % 15000 - 3000 + 0.75 AS py FROM customer),
+piece AS (SELECT e.seg, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM edge e JOIN node a ON a.node = u JOIN node b ON b.node = v WHERE e.p_size % 6 = 1),
+gap AS (SELECT point_id, seg, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx ** 2 + dy ** 2))) AS t, px, py, ax, ay, dx, dy FROM pt, piece)
+SELECT point_id, seg AS line_id, round(sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2), 6) AS distance FROM gap
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2), seg) = 1
+""")
+def nearest_ways(spark, sf_dir):
+    """Every customer's nearest segment of a thin network, however far."""
+    _, segments = ground(spark, sf_dir)
+    key = F.col("c_custkey")
+    points = load(spark, sf_dir, "customer").select(key.alias("point_id"), (key * 97 % 20000 - 5000 + 0.25).alias("x"), (key * 61 % 15000 - 3000 + 0.75).alias("y"))
+    lines = segments.where("p_size % 6 = 1").select(F.col("segment_id").alias("line_id"), "line")
+    return nearest.nearest_line(points, lines).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def site_profiles(spark, sf_dir):
+    """Customers as homes on the ground of their nations' sites, against the network of parts."""
+    _, segments = ground(spark, sf_dir)
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    homes = load(spark, sf_dir, "customer").select(key.alias("home_id"), F.concat(F.lit("site "), nation.cast("string")).alias("site"), (nation % 5 * 2000 + key * 53 % 700).cast("double").alias("x"), (F.floor(nation / 5) * 1500 + key * 71 % 600).cast("double").alias("y"))
+    lines = segments.select(F.col("segment_id").alias("line_id"), "line", F.when(F.col("p_size") % 4 == 0, "TRAIL").otherwise("STREET").alias("segment_type"), "role", F.when(F.col("p_size") % 11 == 0, "PRIVATE").otherwise("PUBLIC").alias("access_type"), (F.col("p_size") % 6 < 4).alias("walkable"), "display_name")
+    return sites.site_profiles(homes, lines, ["site 7"])
+
+
+@query()
+def stitched_ways(spark, sf_dir):
+    """Segments shortened by what their parts say, so that gaps of metres are left, stitched again: links and pieces."""
+    _, segments = ground(spark, sf_dir)
+    cut = (F.col("p_size") % 9 + 1) * 3.0
+    shorter = network.substring(F.col("line"), F.lit(0.0), geometry.length(F.col("line")) - cut)
+    pieces = segments.select(F.col("segment_id").cast("string").alias("piece_id"), F.col("u"), F.when(F.col("p_size") % 3 == 0, F.col("segment_id") + 1_000_000_000).otherwise(F.col("v")).alias("v"), F.when(F.col("p_size") % 3 == 0, shorter).otherwise(F.col("line")).alias("line"))
+    made, links = network.stitched_pieces(pieces, passes=3)
+    return links.select("pass", "node", "to_node", "piece_id", "at", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+SELECT l_orderkey * 10 + l_linenumber AS segment_id, bool_or(l_quantity > 40) AS done, bool_or(o_custkey <> 7 AND l_tax > 0.05) AS reserved,
+    CASE WHEN bool_or(l_quantity > 40) THEN 0.0 WHEN bool_or(o_custkey <> 7 AND l_tax > 0.05) THEN 0.15 ELSE 1.0 END AS worth
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, l_linenumber
+""")
+def request_snapshot(spark, sf_dir):
+    """The lines of all orders as customer 7 sees them: done, held by other customers, and what is left of their worth."""
+    lines = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("segment_id"), "l_orderkey", "l_quantity", "l_tax")
+    holds = lines.where("l_tax > 0.05").join(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person")), "l_orderkey").select("segment_id", "person")
+    return ledger.snapshot(lines, lines.where("l_quantity > 40"), holds, 7, 0.15)
+
+
+@query()
+def guarded_walks(spark, sf_dir):
+    """Events as commands of their users, folded with guards: how many of each kind ended how."""
+    e = load(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    turn = F.pmod(F.col("event_id"), F.lit(7))
+    kind = F.when(turn < 2, "register").when(turn < 4, "preview").when(turn == 4, "start").when(turn == 5, "complete").otherwise("discard")
+    token = F.concat(F.lit("t"), user)
+    rows = e.select(F.concat(user, F.lit("@example.org")).alias("email"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(turn > 1, user).alias("walk"), token.alias("token"), F.when(turn < 2, token).alias("new_token"))
+    return people.folded(rows).groupBy("kind", "outcome", "reason").agg(F.count("*").alias("n"))

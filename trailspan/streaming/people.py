@@ -105,7 +105,11 @@ def _frame(name: str, rows: list[tuple]) -> pd.DataFrame:
 
 
 def folded(rows: DataFrame) -> DataFrame:
-    """Outcomes (OUT) of all commands of a table, each person's in order of time and number; walks that are open at the end stay so."""
+    """Outcomes (OUT) of all commands of a table, each person's in order of time and number; walks that are open at the end stay so.
+
+    One person's commands are one group in memory, since each depends on what the
+    one before left; ``walked`` takes them batch by batch.
+    """
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _frame(key[0], _rows(Person(), frame))
