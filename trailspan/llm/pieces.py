@@ -31,6 +31,8 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Bytes of text that a task encodes at once: ids, chunks and places of a run take some 50 times that.
+RUN_BYTES = 1 << 20
 #: Characters of a text without spaces that are segmented in one pass, and somewhat more where no cut is free.
 PART = 1 << 17
 
@@ -162,7 +164,7 @@ def model(path: str) -> tuple[PieceModel, ChunkCoder]:
     """The model of a file and its memory of chunks, kept by the worker for its later tasks."""
     if path not in _MODELS:
         m = PieceModel(path)
-        _MODELS[path] = (m, ChunkCoder(m.encode_many, m.chunks, ODD if m.chunked else "", bare=False, limit=200_000))
+        _MODELS[path] = (m, ChunkCoder(m.encode_many, m.chunks, ODD if m.chunked else "", bare=False, limit=120_000))
     return _MODELS[path]
 
 
@@ -183,8 +185,8 @@ def with_pieces(docs: DataFrame, columns: list[str], path: str | None = None, ar
         m, coder = model(path)
         is_byte = np.zeros(len(m.text), bool)
         is_byte[list(m.bytes.values())] = True
-        for batch in gathered(batches, "text", 4 << 20):
-            for part in slices(batch, "text", 4 << 20):
+        for batch in gathered(batches, "text", RUN_BYTES):
+            for part in slices(batch, "text", RUN_BYTES):
                 texts = texts_of(part)
                 ids, counts = coder.encode(pa.array(texts, pa.string()))
                 ends = np.cumsum(counts)
