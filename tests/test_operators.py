@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from trailspan.functions import geometry
-from trailspan.operators import checks, coverage, events, graph, joins, network, rules, search
+from trailspan.operators import checks, coverage, events, graph, joins, layer_rules, network, rules, search
 
 
 def lines(spark, *shapes):
@@ -205,3 +205,27 @@ def test_node_sequence_and_line(spark):
     got = {r.r: r for r in frame.select("r", coverage.node_sequence(F.transform("steps", lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v")))).alias("n"), coverage.walked_line(F.col("steps")).alias("l")).collect()}
     assert got[1].n == [1, 2, 3, 2] and got[2].n == [1, 2] and got[3].n is None
     assert [(p.x, p.y) for p in got[1].l] == [(0, 0), (1, 0), (2, 0.5), (1, 1), (2, 0.5), (1, 0)]
+
+
+def test_positions_of_large_groups_equal_sorted_values(spark):
+    """A group beyond WHOLE_GROUP with long tails and ties, one of a single value, a small one, and a null key; nulls do not count."""
+    g = F.when(F.col("id") < 90_000, "wide").when(F.col("id") < 120_000, "same").when(F.col("id") < 120_007, "few")
+    v = F.when(g == "wide", F.floor(F.pow(F.lit(10.0), F.rand(5) * 9))).when(g == "same", 7.0).otherwise(F.col("id") % 1000)
+    table = spark.range(150_000).select(g.alias("g"), F.when(F.col("id") % 11 != 3, v).cast("decimal(20,2)").alias("v"))
+    rows = table.where("v IS NOT NULL").toPandas()
+    assert rows["g"].value_counts()["wide"] > coverage.WHOLE_GROUP
+    shares = {"first": 0.0, "median": 0.5, "p90": 0.9, "p9999": 0.9999, "top": 1.0}
+    got = {r.g: r for r in coverage.at_index(table, ["g"], "v", shares).collect()}
+    for key, some in rows.fillna({"g": "-"}).groupby("g"):
+        ordered, r = sorted(some["v"]), got.pop(None if key == "-" else key)
+        assert r.n == len(ordered)
+        assert [r[k] for k in shares] == [ordered[min(int(s * len(ordered)), len(ordered) - 1)] for s in shares.values()]
+    assert not got
+    assert coverage.at_index(table.limit(0), ["g"], "v", shares).collect() == []
+
+
+def test_links_are_numbered_over_ranges(spark):
+    links = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"))
+    rows = layer_rules.as_features(links, ["x"]).collect()
+    assert {r.x: r.link_id for r in rows} == {i: f"CONN-{i + 1:05d}" for i in range(5000)}
+    assert layer_rules.as_features(links.limit(0), [F.desc("x")]).collect() == []

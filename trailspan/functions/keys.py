@@ -23,8 +23,8 @@ def assigned(key: Column, n: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
-def stable_ids(frame: DataFrame, order: list[Column], prefix: str = "SEG", name: str = "stable_id") -> DataFrame:
-    """``prefix-000001`` and so on in the given order, which must be total.
+def numbered(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``name``: 1, 2, 3 ... in the given order, which must be total.
 
     Ranges are cut first and written once, so each task numbers its own rows and
     only the counts of the ranges, one row each, are summed up in one place.
@@ -33,7 +33,12 @@ def stable_ids(frame: DataFrame, order: list[Column], prefix: str = "SEG", name:
     local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = parts.groupBy("_part").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.format_string(prefix + "-%06d", F.col("_before") + F.col("_n"))).drop("_part", "_n", "_before")
+    return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+
+
+def stable_ids(frame: DataFrame, order: list[Column], prefix: str = "SEG", name: str = "stable_id") -> DataFrame:
+    """``prefix-000001`` and so on in the given order, which must be total."""
+    return numbered(frame, order, name).withColumn(name, F.format_string(prefix + "-%06d", F.col(name)))
 
 
 def keep_first(frame: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,17 +44,52 @@ def credited(credits: DataFrame, target: str, fraction: str, share: float, done:
     return got.join(done.select(F.col(done_key).alias(target)).distinct(), target, "left_anti")
 
 
-def at_index(frame: DataFrame, group: list[str], value: str, shares: Mapping[str, float]) -> DataFrame:
-    """Value at position floor(share * n), from 0, of each group in ascending order: an index, never interpolated.
+#: Groups of so many rows are ordered as a whole; in larger ones only what lies within NEAR of a share, on both sides.
+WHOLE_GROUP, NEAR, ACCURACY = 20_000, 0.0005, 10_000
+
 
-    Equal values are counted first, with map-side combine; what a window adds up
-    is one row for each value of a group, never its rows.
+def at_positions(frame: DataFrame, group: list[str], value: str, positions: Mapping[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """(group, n, one column a position, _most): the value at a position from 0 of each group in ascending order, and the largest.
+
+    A position is (its share of n, to within two places; the place itself, from n). Values are numbers; nulls do not count,
+    and a group of nulls only has no row. A sketch of each group, which tasks combine before the shuffle, gives two values
+    that enclose each place for certain: its error is n / ACCURACY, and NEAR is five times that. What lies below them is
+    counted, and only equal values between them, counted as one, are ordered.
     """
-    per = frame.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group)
-    summed = per.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    at = lambda s: F.min(F.when(F.col("_upto") > F.least(F.floor(F.lit(s) * F.col("_n")), F.col("_n") - 1), F.col(value)))
-    return summed.groupBy(*group).agg(F.max("_n").alias("n"), *(at(s).alias(k) for k, s in shares.items()))
+    at = F.col(value).cast("double")
+    some = frame.where(F.col(value).isNotNull())
+    # least and greatest where a bound would leave the group
+    cuts = {k: (share - NEAR, share + NEAR) for k, (share, _) in positions.items()}
+    sketch = lambda q: F.percentile_approx(at, F.lit(q), F.lit(ACCURACY))
+    low = {k: sketch(a) if a > 0 else F.min(at) for k, (a, _) in cuts.items()}
+    high = {k: sketch(b) if b < 1 else F.max(at) for k, (_, b) in cuts.items()}
+    ends = some.groupBy(*group).agg(
+        F.count("*").alias("_n"), F.min(at).alias("_least"), F.max(at).alias("_greatest"), F.max(value).alias("_most"),
+        *(c.alias(f"_low_{k}") for k, c in low.items()), *(c.alias(f"_high_{k}") for k, c in high.items()),
+    )
+    whole = F.col("_n") <= WHOLE_GROUP
+    bounds = F.array(*(
+        F.struct(F.lit(k).alias("k"), place(F.col("_n")).cast("long").alias("place"), F.when(whole, F.col("_least")).otherwise(F.col(f"_low_{k}")).alias("low"), F.when(whole, F.col("_greatest")).otherwise(F.col(f"_high_{k}")).alias("high"))
+        for k, (_, place) in positions.items()
+    ))
+    ends = ends.select(*group, "_n", "_most", bounds.alias("_bounds"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in group] or [F.lit(True)]
+    joined = some.select(*group, value).alias("p").join(ends.alias("e"), reduce(and_, same)).select(*(F.col(f"p.{c}").alias(c) for c in group), F.col(f"p.{value}").alias(value), "_bounds")
+    # one pass: a row below a bound is only counted, one above it is not kept at all
+    dealt = joined.select(*group, value, F.explode(F.filter("_bounds", lambda b: at <= b["high"])).alias("_b"))
+    near = F.when(at >= F.col("_b.low"), F.col(value))
+    counted = dealt.select(*group, F.col("_b.k").alias("_k"), F.col("_b.place").alias("_place"), near.alias("_v")).groupBy(*group, "_k", "_place", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group, "_k").orderBy(F.col("_v").asc_nulls_first()))
+    found = counted.withColumn("_upto", upto).where((F.col("_upto") > F.col("_place")) & F.col("_v").isNotNull())
+    values = found.groupBy(*group).agg(*(F.min(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in positions))
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"e.{c}")) for c in group] or [F.lit(True)]
+    return values.alias("v").join(ends.alias("e"), reduce(and_, same)).select(*(F.col(f"v.{c}").alias(c) for c in group), F.col("_n").alias("n"), *positions, "_most")
+
+
+def at_index(frame: DataFrame, group: list[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """Value at position floor(share * n), from 0 and n - 1 at most, of each group in ascending order: an index, never interpolated."""
+    place = lambda s: lambda n: F.least(F.floor(F.lit(s) * n), n - 1)
+    return at_positions(frame, group, value, {k: (s, place(s)) for k, s in shares.items()}).drop("_most")
 
 
 def covered_share(obligation: DataFrame, key: str, weight: str, done: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspan.functions.keys import numbered
 from trailspan.operators.membership import miles
 from trailspan.operators.rules import first_match, reasons
 
@@ -191,7 +192,6 @@ def probe_verdict(features: Column, metres: Column) -> Column:
 
 
 def as_features(links: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Derived links with running ids (CONN-00001 ...) in the given order; few, as each is a join that people look at."""
-    from pyspark.sql import Window
-
-    return links.withColumn("link_id", F.format_string("CONN-%05d", F.row_number().over(Window.orderBy(*order))))
+    """Derived links with running ids (CONN-00001 ...) in the given total order, numbered range by range."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    return numbered(links, columns, "link_id").withColumn("link_id", F.format_string("CONN-%05d", F.col("link_id")))

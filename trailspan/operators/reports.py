@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspan.functions.keys import numbered
+from trailspan.operators.coverage import at_positions
 from trailspan.operators.membership import MILE, miles
 
 
@@ -51,10 +53,8 @@ def means(frame: DataFrame, group: Sequence[str], columns: Sequence[str], places
 def timing_summary(frame: DataFrame, group: Sequence[str], ms: str) -> DataFrame:
     """median, p90 and most of a group's distinct timings, by index: n // 2, and the whole part of 0.9 * (n - 1)."""
     once = frame.where(F.col(ms).isNotNull()).select(*group, ms).distinct()
-    w = Window.partitionBy(*group)
-    ranked = once.withColumn("_i", F.row_number().over(w.orderBy(ms)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(ms)))
-    return ranked.groupBy(*group).agg(F.max("_n").alias("n"), at(F.floor(F.col("_n") / 2)).alias("median"), at(F.floor(0.9 * (F.col("_n") - 1))).alias("p90"), F.max(ms).alias("most"))
+    positions = {"median": (0.5, lambda n: F.floor(n / 2)), "p90": (0.9, lambda n: F.floor(0.9 * (n - 1)))}
+    return at_positions(once, list(group), ms, positions).withColumnRenamed("_most", "most").select(*group, "n", "median", "p90", "most")
 
 
 def marked(name: Column, markers: Sequence[str]) -> Column:
@@ -70,7 +70,7 @@ def crossings(links: DataFrame, markers: Sequence[str]) -> DataFrame:
     touches and bridges; to be read with those that touch first, then by what they win back."""
     a, b = marked(F.col("a_name"), markers), marked(F.col("b_name"), markers)
     out = links.withColumn("touches", a | b).withColumn("bridges", (a | b) & ~F.col("a_component").eqNullSafe(F.col("b_component")))
-    return out.where("touches OR bridges").withColumn("place", F.row_number().over(Window.orderBy(F.desc("bridges"), F.desc("recovered"), "link")))
+    return numbered(out.where("touches OR bridges"), [F.desc("bridges"), F.desc("recovered"), F.col("link")], "place")
 
 
 def context_roads(segments: DataFrame, classes: Sequence[str]) -> DataFrame:
