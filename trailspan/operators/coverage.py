@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspan.shared import stored
+
 
 def traversals(steps: DataFrame, route: str, pos: str, seg: str) -> DataFrame:
     """``pass_no`` of each step: 1 the first time that the route takes the segment."""
@@ -104,16 +106,31 @@ def covered_share(obligation: DataFrame, key: str, weight: str, done: DataFrame)
 
 
 def slate(candidates: DataFrame, group: str, key: str, score_col: str, items: str, size: int, least_share: float, most_overlap: float) -> DataFrame:
-    """Greedy choice in each group: best score first, at least ``least_share`` of the best, sharing with none chosen before more
-    than ``most_overlap`` of the smaller set. A fold over the sorted candidates of a group, in Column expressions."""
+    """Greedy choice in each group: best score first, of ties the smaller key, at least ``least_share`` of the best, sharing with
+    none chosen before more than ``most_overlap`` of the smaller set; (group, rank, key, score). Candidates without a group, score
+    or items are not chosen; keys are unique in a group.
+
+    ``size`` rounds: each takes the best candidate that is left in every group, an aggregation with map-side combine, and drops
+    those that share too much with it. Items stay in one written table with a row a candidate and never meet in one row.
+    """
     best = F.max(score_col).over(Window.partitionBy(group))
-    fit = candidates.withColumn("_best", best).where(F.col(score_col) >= F.col("_best") * least_share)
-    listed = fit.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col(score_col)).alias("s"), F.col(key).alias("k"), F.col(items).alias("i")))).alias("c"))
-    kind = "array<struct<s:double,k:bigint,i:array<bigint>>>"
-    shares = lambda a, b: F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
-    step = lambda acc, x: F.when((F.size(acc) < size) & ~F.exists(acc, lambda y: shares(y["i"], x["i"]) > most_overlap), F.concat(acc, F.array(x))).otherwise(acc)
-    chosen = F.aggregate(F.col("c").cast(kind), F.array().cast(kind), step)
-    return listed.select(group, F.posexplode(chosen).alias("rank", "_x")).select(group, (F.col("rank") + 1).alias("rank"), F.col("_x.k").alias(key), (-F.col("_x.s")).alias(score_col))
+    fit = candidates.where(F.col(group).isNotNull() & F.col(score_col).isNotNull() & (F.size(F.coalesce(items, F.array())) > 0)).withColumn("_best", best).where(F.col(score_col) >= F.col("_best") * least_share)
+    held = stored(fit.select(group, key, F.col(score_col).cast("double").alias(score_col), F.array_distinct(items).alias("_i")), "slate-held")
+    left, chosen = held, None
+    for rank in range(1, size + 1):
+        top = left.groupBy(group).agg(F.min(F.struct((-F.col(score_col)).alias("s"), F.col(key).alias("k"))).alias("b"))
+        new = stored(top.select(group, F.lit(rank).alias("rank"), F.col("b.k").alias(key), (-F.col("b.s")).alias(score_col)), "slate-new")
+        if new.isEmpty():
+            break
+        chosen = new if chosen is None else chosen.unionByName(new)
+        if rank < size:
+            # those chosen again, with their items, one row a group
+            taken = new.select(group, key).join(held, [group, key]).select(group, F.col(key).alias("_k"), F.col("_i").alias("_t"))
+            shared = F.size(F.array_intersect("_i", "_t")) / F.least(F.size("_i"), F.size("_t"))
+            left = stored(left.join(taken, group).where((F.col(key) != F.col("_k")) & (shared <= most_overlap)).drop("_k", "_t"), "slate-left")
+    if chosen is None:
+        return held.select(group, F.lit(0).alias("rank"), key, score_col).limit(0)
+    return chosen
 
 
 def node_sequence(steps: Column) -> Column:

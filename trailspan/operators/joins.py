@@ -57,10 +57,23 @@ def resolved(refs: DataFrame, ref: str, targets: DataFrame, target: str) -> Data
     return refs.join(known, ref, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+#: A block of groups that share an item; two blocks meet in one task.
+BLOCK = 1_000
+
+
 def overlap(frame: DataFrame, group: str, item: str) -> DataFrame:
-    """Overlap coefficient of every two groups that share an item: shared / size of the smaller set."""
+    """Overlap coefficient of every two groups that share an item: shared / size of the smaller set. Nulls are no group and no item.
+
+    The groups of an item are dealt to blocks of about BLOCK by their hash, and pairs of blocks are the keys of the join: an item
+    that most groups have is no single key.
+    """
     sets = frame.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g IS NOT NULL AND i IS NOT NULL").distinct()
     sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
-    both = sets.alias("p").join(sets.alias("q"), (F.col("p.i") == F.col("q.i")) & (F.col("p.g") < F.col("q.g"))).groupBy(F.col("p.g").alias("a"), F.col("q.g").alias("b")).agg(F.count("*").alias("shared"))
+    blocks = sets.groupBy("i").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    dealt = sets.join(blocks, "i").withColumn("_at", F.pmod(F.xxhash64("g"), F.col("_n")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    p = dealt.select("i", F.col("g").alias("a"), F.col("_at").alias("_p"), every.alias("_q"))
+    q = dealt.select("i", F.col("g").alias("b"), every.alias("_p"), F.col("_at").alias("_q"))
+    both = p.join(q, ["i", "_p", "_q"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     x, y = sizes.select(F.col("g").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("g").alias("b"), F.col("size").alias("size_b"))
     return both.join(x, "a").join(y, "b").withColumn("overlap", F.col("shared") / F.least("size_a", "size_b"))

@@ -118,20 +118,32 @@ def noded(lines: DataFrame, cell: float = 50.0, rim: float = 0.05) -> DataFrame:
 
 
 def _snap_blob(blob: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """Greedy in order: each point not yet taken takes all free points within the tolerance, and their mean becomes the node."""
+    """Greedy in order: each point not yet taken takes all free points within the tolerance, and their mean becomes the node. A
+    point looks only into its own cell of that size and the eight around it."""
     blob = blob.sort_values("ordinal", ignore_index=True)
-    x, y = blob["x"].to_numpy(), blob["y"].to_numpy()
+    x, y, ordinal = blob["x"].to_numpy(), blob["y"].to_numpy(), blob["ordinal"].to_numpy()
+    at = np.floor(np.stack([x, y], 1) / tolerance).astype(np.int64)
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, (cx, cy) in enumerate(at.tolist()):
+        cells.setdefault((cx, cy), []).append(i)
     node = np.full(len(blob), -1, np.int64)
     nx, ny = x.copy(), y.copy()
     moved = np.zeros(len(blob))
-    for i in range(len(blob)):
-        if node[i] < 0:
-            d = np.hypot(x - x[i], y - y[i])
-            mine = (node < 0) & (d <= tolerance)
-            node[mine] = blob["ordinal"][i]
-            nx[mine], ny[mine] = x[mine].mean(), y[mine].mean()
-            moved[mine] = d[mine]
-    return pd.DataFrame({"ordinal": blob["ordinal"], "node_id": node, "node_x": nx, "node_y": ny, "moved": moved})
+    for i, (cx, cy) in enumerate(at.tolist()):
+        if node[i] >= 0:
+            continue
+        near = []
+        for key in ((cx + dx, cy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+            if key in cells:  # points once taken are looked at no more
+                cells[key] = [j for j in cells[key] if node[j] < 0]
+                near += cells[key]
+        mine = np.sort(np.array(near))
+        d = np.hypot(x[mine] - x[i], y[mine] - y[i])
+        mine, d = mine[d <= tolerance], d[d <= tolerance]
+        node[mine] = ordinal[i]
+        nx[mine], ny[mine] = x[mine].mean(), y[mine].mean()
+        moved[mine] = d
+    return pd.DataFrame({"ordinal": ordinal, "node_id": node, "node_x": nx, "node_y": ny, "moved": moved})
 
 
 def snapped(points: DataFrame, tolerance: float = 1.0) -> DataFrame:

@@ -252,7 +252,21 @@ def state_assess(spark, sf_dir):
     return u.groupBy(first_match(states, "ROUTE_AVAILABLE").alias("state")).agg(F.count("*").alias("users"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT l_suppkey AS k, list(DISTINCT l_partkey) AS items, sum(l_quantity)::DOUBLE AS score FROM lineitem GROUP BY 1),
+c AS (SELECT s_nationkey AS g, k, items, score, max(score) OVER (PARTITION BY s_nationkey) AS top FROM l JOIN supplier ON s_suppkey = k),
+f AS (SELECT g, k, items, score FROM c WHERE score >= 0.7 * top),
+r AS (
+    SELECT g, 0 AS rank, NULL::BIGINT AS k, NULL::DOUBLE AS score, []::BIGINT[] AS keys, []::BIGINT[][] AS sets FROM (SELECT DISTINCT g FROM f)
+    UNION ALL
+    SELECT g, rank + 1, b.k, b.score, list_append(keys, b.k), list_append(sets, b.items) FROM (
+        SELECT r.g, any_value(r.rank) AS rank, any_value(r.keys) AS keys, any_value(r.sets) AS sets, arg_min(struct_pack(k := f.k::BIGINT, score := f.score, items := f.items::BIGINT[]), struct_pack(s := -f.score, k := f.k)) AS b
+        FROM r JOIN f ON f.g = r.g WHERE r.rank < 5 AND NOT list_contains(r.keys, f.k)
+        AND len(list_filter(r.sets, lambda y: len(list_intersect(y, f.items)) / least(len(y), len(f.items)) > 0.35)) = 0 GROUP BY r.g
+    )
+)
+SELECT g AS s_nationkey, rank, k AS s_suppkey, score FROM r WHERE rank > 0
+""")
 def slate_greedy(spark, sf_dir):
     """Up to five suppliers of each nation by score, that share few parts with those before."""
     lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_partkey").alias("parts"), F.sum("l_quantity").alias("score"))

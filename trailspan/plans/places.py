@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailspan.functions import geometry
@@ -15,9 +16,12 @@ SELECT label, (SELECT count(*) FROM p q WHERE q.label IS NOT DISTINCT FROM s.lab
 """)
 def polyline_metrics(spark, sf_dir):
     """Length and signed area of each label's line through its points."""
-    points = load(spark, sf_dir, "embeddings").select("label", F.struct("vec_id", geometry.point(F.col("embedding")[0], F.col("embedding")[1]).alias("p")).alias("v"))
-    lines = points.groupBy("label").agg(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["p"]).alias("line"))
-    return lines.select("label", F.size("line").cast("long").alias("points"), F.round(geometry.length(F.col("line")), 4).alias("length"), F.round(geometry.signed_area(F.col("line")), 4).alias("area"))
+    points = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    nx, ny = F.lead("x").over(w), F.lead("y").over(w)
+    # one pass over each line in order; no line is an array
+    parts = points.select("label", F.hypot(nx - F.col("x"), ny - F.col("y")).alias("d"), (F.col("x") * ny - nx * F.col("y")).alias("c"))
+    return parts.groupBy("label").agg(F.count("*").alias("points"), F.round(F.sum("d"), 4).alias("length"), F.round(F.sum("c") / 2, 4).alias("area"))
 
 
 RING = [(5.5, 905.5), (40.5, 905.5), (40.5, 1500.5), (25.5, 1200.25), (5.5, 1500.5), (5.5, 905.5)]
