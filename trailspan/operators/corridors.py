@@ -52,10 +52,17 @@ def obligations(ways: DataFrame) -> DataFrame:
 
 
 def _samples(ways: DataFrame) -> DataFrame:
-    """(segment_id, k, n, p): n + 1 even points of each way; n is its length over 5, at least 4."""
-    n = F.greatest(F.lit(4), F.floor(geometry.length(F.col("line")) / 5)).cast("int")
-    at = ways.where(F.size("line") > 1).select("segment_id", "line", n.alias("n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    return at.select("segment_id", "k", "n", geometry.point_at(F.col("line"), F.col("k") / F.col("n")).alias("p"))
+    """(segment_id, k, n, p): n + 1 even points of each way; n is its length over 5, at least 4. Each straight piece gives the points
+    that lie on it, so a way is walked once however many it has. Ways without length have none."""
+    line = Window.partitionBy("line_id")
+    n = F.greatest(F.lit(4), F.floor(F.col("total") / 5)).cast("int")
+    pieces = straight_pieces(ways.select(F.col("segment_id").alias("line_id"), "line")).withColumn("total", F.sum("size").over(line)).withColumn("end", F.lead("at").over(line.orderBy("k")))
+    first = lambda at: F.ceil(at * F.col("n") / F.col("total")).cast("int")
+    last = F.when(F.col("end").isNull(), F.col("n")).otherwise(first(F.col("end")) - 1)
+    dealt = pieces.withColumn("n", n).withColumn("lo", first(F.col("at"))).withColumn("hi", last).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("k") * F.col("total") / F.col("n") - F.col("at")) / F.col("size")))
+    p = geometry.point(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * t, F.col("a.y") + (F.col("b.y") - F.col("a.y")) * t)
+    return dealt.select(F.col("line_id").alias("segment_id"), "k", "n", p.alias("p"))
 
 
 def _met(ways: DataFrame, others: DataFrame) -> DataFrame:

@@ -64,6 +64,28 @@ def associated(homes: DataFrame, lines: DataFrame, cap: float = CAP_M, secondary
     return out.select("home_id", F.col("b.line_id").alias("main"), F.coalesce(F.transform("o", lambda x: x["line_id"]), F.array().cast("array<bigint>")).alias("others"), F.col("b.distance").alias("distance"), F.when(F.col("b").isNull(), "BEYOND_CAP").alias("reason"))
 
 
+# An attachment by name is sure within SURE_M, one without is likely within LIKELY_M.
+SURE_M, LIKELY_M = 40.0, 25.0
+
+
+def confidence(distance: Column, same_name: Column) -> Column:
+    """HIGH, MEDIUM or LOW trust in one attachment; a null match is none."""
+    same = F.coalesce(same_name, F.lit(False))
+    return F.when(same & (distance <= SURE_M), "HIGH").when(same | (distance <= LIKELY_M), "MEDIUM").otherwise("LOW")
+
+
+def association_stats(links: DataFrame, lines: DataFrame) -> DataFrame:
+    """(stat, n) of links (home_id, main, distance, same_name) as ``associated`` gives them: confidence_*, role_* by the lines'
+    role (line_id, role), associated and unassociated. Each line's role is met once; one pass over the links."""
+    own = links.join(lines.select(F.col("line_id").alias("main"), "role"), "main", "left")
+    got = F.col("main").isNotNull()
+    stats = F.array(
+        F.when(got, F.concat(F.lit("confidence_"), F.lower(confidence(F.col("distance"), F.col("same_name"))))),
+        F.when(got, F.concat(F.lit("role_"), F.lower(F.coalesce("role", F.lit("none"))))), F.when(got, "associated").otherwise("unassociated"),
+    )
+    return own.select(F.explode(stats).alias("stat")).where("stat IS NOT NULL").groupBy("stat").agg(F.count("*").alias("n"))
+
+
 def site_disposition(units: Column, beyond: Column, network_m: Column, area_m2: Column) -> Column:
     """struct(disposition, hold): accept, hold the units beyond the cap, or hold all until there is a network."""
     share = beyond / units

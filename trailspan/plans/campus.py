@@ -8,10 +8,11 @@ from trailspan.functions import geometry
 from trailspan.operators import corridors
 from trailspan.plans.registry import load, query
 from trailspan.plans.stand_ins import SEG, segments
+from trailspan.shared import stored
 
 WAYS = """
 w AS (
-    SELECT p_partkey AS id, (p_partkey % 50) * 61.7 AS x0, floor(p_partkey / 50) * 30.4 + p_size % 7 AS y0, p_size * 4.3 + 20 AS s, p_size % 5 AS up, p_type, p_name,
+    SELECT p_partkey AS id, (p_partkey % 50) * 61.7 AS x0, floor(p_partkey / 50) * 30.4 + p_size % 7 AS y0, p_size * 4.31 + 20.07 AS s, p_size % 5 AS up, p_type, p_name,
         CASE WHEN p_size % 3 <> 0 THEN p_brand END AS corridor, CASE WHEN p_size % 4 = 1 THEN 'ALTERNATIVE' ELSE 'CANONICAL' END AS given FROM part),
 way AS (SELECT *, x0 + s AS x1, y0 + up AS y1, sqrt(s * s + up * up) AS len, greatest(4, floor(sqrt(s * s + up * up) / 5))::BIGINT AS n FROM w),
 sample AS (SELECT id, n, k, x0 + s * k / n AS px, y0 + up * k / n AS py FROM (SELECT *, unnest(range(n + 1)) AS k FROM way))"""
@@ -29,7 +30,7 @@ credit AS (SELECT alternative, canonical, round(share, 4) AS fraction FROM met W
 
 def _ways(spark, sf_dir):
     """(ways, duties): ways beside each other, where the duty of those with a corridor is given."""
-    x, y, size, up = F.col("p_partkey") % 50 * 61.7, F.floor(F.col("p_partkey") / 50) * 30.4 + F.col("p_size") % 7, F.col("p_size") * 4.3 + 20, F.col("p_size") % 5
+    x, y, size, up = F.col("p_partkey") % 50 * 61.7, F.floor(F.col("p_partkey") / 50) * 30.4 + F.col("p_size") % 7, F.col("p_size") * 4.31 + 20.07, F.col("p_size") % 5
     line = F.array(geometry.point(x, y), geometry.point(x + size, y + up))
     ways = load(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("segment_id"), line.alias("line"), F.hypot(size, up.cast("double")).alias("length_m"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("corridor"),
@@ -37,7 +38,8 @@ def _ways(spark, sf_dir):
     )
     named = ways.where("corridor IS NOT NULL")
     duties = named.select("segment_id", "corridor", F.col("given").alias("obligation"))
-    return ways, duties.unionByName(corridors.unnamed_duties(ways.where("corridor IS NULL"), named.where("given = 'CANONICAL'")))
+    unnamed = corridors.unnamed_duties(ways.where("corridor IS NULL"), named.where("given = 'CANONICAL'"))
+    return ways, stored(duties.unionByName(unnamed), "duties")  # read more than once
 
 
 @query(f"WITH {DUTIES} SELECT id AS segment_id, corridor, obligation FROM duty")

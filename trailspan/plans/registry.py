@@ -26,4 +26,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from trailspan.plans import campus, events, graphs, ground, homes, layers, network, places, rules, segments, summaries, walks  # noqa: E402, F401
+from trailspan.plans import campus, events, graphs, ground, homes, layers, network, places, rules, segments, summaries, validation, walks  # noqa: E402, F401
