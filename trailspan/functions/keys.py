@@ -18,6 +18,14 @@ def fingerprint(values: Column, prefix: str = "cs", digits: int = 12) -> Column:
     return F.concat(F.lit(prefix + "-"), F.size(values).cast("string"), F.lit("-"), F.substring(F.sha2(text, 256), 1, digits))
 
 
+def held_fingerprint(values: Column, digits: int = 12) -> Column:
+    """``n-hash`` of a set of integers held, ``0`` for none or null: two different sets never share a name for being held."""
+    some = F.array_distinct(values)
+    text = F.concat_ws("", F.transform(F.array_sort(some), lambda v: F.concat(v.cast("string"), F.lit(","))))
+    name = F.concat(F.size(some).cast("string"), F.lit("-"), F.substring(F.sha2(text, 256), 1, digits))
+    return F.when(F.size(F.coalesce(values, F.array())) > 0, name).otherwise("0")
+
+
 def assigned(key: Column, n: int) -> Column:
     """A fixed one of ``n`` places for a key: the first 8 hex digits of its sha256, modulo n."""
     return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(n))

@@ -131,3 +131,27 @@ def either_side(left: Column, right: Column) -> Column:
     """struct(name, boundary): the left name, else the right one, and whether the two differ."""
     a, b = F.nullif(F.trim(left), F.lit("")), F.nullif(F.trim(right), F.lit(""))
     return F.struct(F.coalesce(a, b).alias("name"), F.coalesce(a != b, F.lit(False)).alias("boundary"))
+
+
+# Fixed values of a frame: how far it is pulled back, and the least height in degrees.
+PULL_BACK, LEAST_SPAN = 0.75, 0.010
+
+
+def bounds(frame: DataFrame, group: list[str], lon: str, lat: str, name: str) -> DataFrame:
+    """(group, ``name``): struct(west, south, east, north) of finite points; a group without any has a null."""
+    fine = F.col(lon).isNotNull() & F.col(lat).isNotNull() & (F.abs(lon) < float("inf")) & (F.abs(lat) < float("inf")) & ~F.isnan(lon) & ~F.isnan(lat)
+    x, y = F.when(fine, F.col(lon)), F.when(fine, F.col(lat))
+    box = F.struct(F.min(x).alias("west"), F.min(y).alias("south"), F.max(x).alias("east"), F.max(y).alias("north"))
+    return frame.groupBy(*group).agg(F.when(F.count(x) > 0, box).alias(name))
+
+
+def progress_frame(covered: Column, whole: Column) -> Column:
+    """The box to show: what is covered, pulled back, no smaller than LEAST_SPAN degrees, and within the whole. The whole where
+    nothing is covered or nothing would be left; null without a whole."""
+    tall, wide = F.greatest(covered["north"] - covered["south"], F.lit(1e-9)), F.greatest(covered["east"] - covered["west"], F.lit(1e-9))
+    extra = F.greatest(LEAST_SPAN - tall * (1 + 2 * PULL_BACK), F.lit(0.0)) / 2
+    up, side = tall * PULL_BACK + extra, wide * PULL_BACK + extra / F.cos(F.radians(covered["north"]))
+    west, east = F.greatest(covered["west"] - side, whole["west"]), F.least(covered["east"] + side, whole["east"])
+    south, north = F.greatest(covered["south"] - up, whole["south"]), F.least(covered["north"] + up, whole["north"])
+    box = F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    return F.when(whole.isNull(), F.lit(None)).when(covered.isNotNull() & (east > west) & (north > south), box).otherwise(whole)

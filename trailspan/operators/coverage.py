@@ -24,6 +24,13 @@ def runs(steps: DataFrame, route: str, pos: str, value: str) -> DataFrame:
     return steps.withColumn("run_id", F.sum(new.cast("int")).over(order))
 
 
+def rising_runs(steps: DataFrame, route: str, pos: str, condition: Column, name: str = "runs") -> DataFrame:
+    """(route, ``name``): how often the condition begins to hold along each route; a null condition does not hold."""
+    holds = steps.select(route, pos, F.coalesce(condition, F.lit(False)).alias("_on"))
+    before = F.coalesce(F.lag("_on").over(Window.partitionBy(route).orderBy(pos)), F.lit(False))
+    return holds.withColumn("_up", F.col("_on") & ~before).groupBy(route).agg(F.count_if("_up").alias(name))
+
+
 def filled(frame: DataFrame, group: list[str], order: list[Column], amount: str, target: float) -> DataFrame:
     """Rows in order while what came before is below the target."""
     before = F.coalesce(F.sum(amount).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -148,3 +155,19 @@ def walked_line(steps: Column) -> Column:
     nodes = node_sequence(F.transform(steps, lambda s: F.struct(s["u"].alias("u"), s["v"].alias("v"))))
     turned = F.transform(steps, lambda s, i: F.when(F.try_element_at(nodes, (i + 1).cast("int")) == s["u"], s["line"]).otherwise(F.reverse(s["line"])))
     return F.concat(F.slice(F.get(turned, F.lit(0)), 1, 1), F.flatten(F.transform(turned, lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))))))
+
+
+def joined_line(parts: Column, tolerance: float = 1e-7) -> Column:
+    """One line from an array of lines in walking order, by their ends alone: a part whose last point, and not its first, is where
+    the line stands is turned, and a point that is there already is not repeated. Empty parts are passed over; no parts give an
+    empty line."""
+    far = lambda a, b: (F.abs(a["x"] - b["x"]) > tolerance) | (F.abs(a["y"] - b["y"]) > tolerance)
+
+    def step(line: Column, part: Column) -> Column:
+        end, first, last = F.try_element_at(line, F.lit(-1)), F.get(part, F.lit(0)), F.try_element_at(part, F.lit(-1))
+        turned = F.when(F.coalesce(far(end, first) & ~far(end, last), F.lit(False)), F.reverse(part)).otherwise(part)
+        same = F.coalesce(end == F.get(turned, F.lit(0)), F.lit(False))
+        return F.concat(line, F.when(same, F.slice(turned, F.lit(2), F.greatest(F.size(turned) - 1, F.lit(0)))).otherwise(turned))
+
+    some = F.filter(parts, lambda p: F.coalesce(F.size(p) > 0, F.lit(False)))
+    return F.aggregate(some, F.array().cast("array<struct<x:double,y:double>>"), step)

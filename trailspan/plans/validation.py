@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailspan.operators import gates, places, validation
+from trailspan.functions import shapes
+from trailspan.operators import coverage, gates, places, validation
 from trailspan.operators.membership import resolved_credits
 from trailspan.plans.ground import GROUND_SQL, ground
 from trailspan.plans.registry import load, query
@@ -121,3 +122,31 @@ def owned_walks(spark, sf_dir):
     """Each walk asked for by its owner and by another."""
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("walk"), F.col("o_custkey").alias("person"))
     return gates.owned(rows, rows.unionByName(rows.withColumn("person", F.col("person") + 1)), "walk", "person")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS route, l_linenumber AS pos, max(l_discount) >= 0.05 AS c FROM lineitem GROUP BY ALL), e AS (SELECT route, c AND NOT coalesce(lag(c) OVER (PARTITION BY route ORDER BY pos), false) AS up FROM s)
+SELECT route, count_if(up) AS runs FROM e GROUP BY 1
+""")
+def connector_runs(spark, sf_dir):
+    """How often each order's lines begin to be connectors."""
+    steps = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("pos")).agg(F.max("l_discount").alias("d"))
+    return coverage.rising_runs(steps, "route", "pos", F.col("d") >= 0.05)
+
+
+@query("""
+WITH p AS (SELECT c_nationkey, c_acctbal / 100000 AS lon, (c_custkey % 997) / 10000.0 + 37 AS lat, c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AS done FROM customer),
+b AS (SELECT c_nationkey, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n, min(lon) FILTER (done) AS cw, min(lat) FILTER (done) AS cs, max(lon) FILTER (done) AS ce, max(lat) FILTER (done) AS cn FROM p GROUP BY 1),
+x AS (SELECT *, greatest(cn - cs, 1e-9) AS tall, greatest(ce - cw, 1e-9) AS wide, greatest(0.010 - 2.5 * greatest(cn - cs, 1e-9), 0) / 2 AS extra FROM b),
+f AS (SELECT *, greatest(cw - 0.75 * wide - extra / cos(radians(cn)), w) AS fw, least(ce + 0.75 * wide + extra / cos(radians(cn)), e) AS fe, greatest(cs - 0.75 * tall - extra, s) AS fs, least(cn + 0.75 * tall + extra, n) AS fn FROM x)
+SELECT c_nationkey, round(CASE WHEN fe > fw AND fn > fs AND cw IS NOT NULL THEN fw ELSE w END, 7) AS west, round(CASE WHEN fe > fw AND fn > fs AND cw IS NOT NULL THEN fs ELSE s END, 7) AS south,
+    round(CASE WHEN fe > fw AND fn > fs AND cw IS NOT NULL THEN fe ELSE e END, 7) AS east, round(CASE WHEN fe > fw AND fn > fs AND cw IS NOT NULL THEN fn ELSE n END, 7) AS north FROM f
+""")
+def progress_frames(spark, sf_dir):
+    """The box to show of each nation's customers, of whom some are covered."""
+    lat = (F.col("c_custkey") % 997) / 10000.0 + 37
+    points = load(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_acctbal") / 100000).alias("lon"), lat.alias("lat"), ((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000)).alias("done"))
+    whole = shapes.bounds(points, ["c_nationkey"], "lon", "lat", "whole")
+    covered = shapes.bounds(points.where("done"), ["c_nationkey"], "lon", "lat", "covered")
+    box = whole.join(covered, "c_nationkey", "left").select("c_nationkey", shapes.progress_frame(F.col("covered"), F.col("whole")).alias("f"))
+    return box.select("c_nationkey", *(F.round(f"f.{c}", 7).alias(c) for c in ("west", "south", "east", "north")))

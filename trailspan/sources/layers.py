@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailspan.functions.geometry import Lambert, point
+from trailspan.shared import stored
 
 
 def read_features(spark: SparkSession, path: str, properties: T.StructType, projection: Lambert | None = None) -> DataFrame:
@@ -37,6 +38,30 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
     return spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "DROPMALFORMED").csv(path)
 
 
+def split_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of delimited text with a header: ragged rows and rows with bad numbers are kept whole as (line). The text is
+    parsed once and stored, so both sides, and their counts, are of the same rows."""
+    with_line = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    parsed = spark.read.schema(with_line).option("sep", sep).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    held = stored(parsed, "delimited")
+    return held.where("_line IS NULL").drop("_line"), held.where("_line IS NOT NULL").select(F.col("_line").alias("line"))
+
+
+def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest rows of all layers and dates that ``write_snapshot`` left in a folder."""
+    schema = "layer string, snapshot_date string, feature_count long, field_names array<string>, facts map<string,string>"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/_manifest")
+
+
+def source_manifest(manifests: DataFrame, registry: DataFrame, date: str) -> DataFrame:
+    """(layer, snapshot_date, feature_count, status, note) of one date for every registered source (layer, blocked, note): ``fetched``
+    with its count, ``blocked`` with its note, or ``missing``; a layer that nobody registered is ``unregistered``."""
+    here = manifests.where(F.col("snapshot_date") == date).select("layer", "feature_count")
+    both = registry.select("layer", "blocked", "note").withColumn("_known", F.lit(True)).join(here, "layer", "full")
+    status = F.when(F.col("_known").isNull(), "unregistered").when(F.col("feature_count").isNotNull(), "fetched").when(F.coalesce("blocked", F.lit(False)), "blocked").otherwise("missing")
+    return both.select("layer", F.lit(date).alias("snapshot_date"), "feature_count", status.alias("status"), F.when(status == "blocked", F.col("note")).alias("note"))
+
+
 def write_ndjson(frame: DataFrame, path: str) -> None:
     """One JSON object a line."""
     frame.write.mode("overwrite").json(path)
