@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailspan.functions import keys, shapes
-from trailspan.operators import coverage
+from trailspan.operators import coverage, reports, rules
 from trailspan.sources import layers
 
 
@@ -52,3 +52,16 @@ def test_rejected_rows_are_kept_and_all_sources_are_accounted_for(spark, tmp_pat
     registry = spark.createDataFrame([("roads", False, None), ("parcels", True, "host not reached"), ("paths", None, None)], "layer string, blocked boolean, note string")
     got = {r.layer: (r.feature_count, r.status, r.note) for r in layers.source_manifest(held, registry, "2024-01-01").collect()}
     assert got == {"roads": (2, "fetched", None), "odd": (2, "unregistered", None), "parcels": (None, "blocked", "host not reached"), "paths": (None, "missing", None)}
+
+
+def test_crossings_are_reviewed_where_they_bridge_or_touch(spark):
+    kind = "segment_id int, u int, v int, a int, b int, miles_a double, miles_b double, reasons array<string>"
+    rows = [(1, 1, 2, 0, 1, 5.0, 2.0, ["Steps into a road", "narrow", None]), (2, 3, 4, 0, 0, 5.0, 5.0, []), (3, 9, 4, 0, None, 5.0, None, None), (4, 4, 4, None, 1, 1.0, 1.0, ["CROSSING"])]
+    got = reports.crossings_to_review(spark.createDataFrame(rows, kind), spark.createDataFrame([(9,), (9,), (None,)], "node int"))
+    assert sorted(map(tuple, got.collect())) == [(1, True, False, 2.0, ["Steps into a road"]), (3, False, True, 0.0, [])]
+
+
+def test_buckets_list_their_smallest_ids_once(spark):
+    frame = spark.createDataFrame([(i % 7, i % 2 == 0) for i in range(50)] + [(None, True)], "k int, even boolean")
+    got = {r.bucket: r.ids for r in rules.bucket_ids(frame, [("even", F.col("even"))], F.col("k"), 3).collect()}
+    assert got == {"even": [0, 1, 2]}

@@ -79,8 +79,8 @@ def corroborated(segments: DataFrame, private: DataFrame, key: str) -> DataFrame
 
 def overridden(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """Roles replaced by ``rules`` (normalized_name, new_role, new_access, why), with the role before as ``from_role``, null where
-    no rule applies. Rules are a small table of people's decisions and one a name."""
-    hit = segments.join(F.broadcast(rules), "normalized_name", "left")
+    no rule applies. Rules are one a name; how they are joined is left to their size."""
+    hit = segments.join(rules, "normalized_name", "left")
     on = F.col("new_role").isNotNull()
     note = F.concat(F.lit("override "), F.coalesce("role", F.lit("none")), F.lit(" -> "), F.col("new_role"), F.lit(": "), F.coalesce("why", F.lit("")))
     return hit.withColumns({

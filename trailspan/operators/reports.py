@@ -111,3 +111,24 @@ def absorption(paths: DataFrame, absorbed: DataFrame, key: str) -> DataFrame:
     """(kind, paths, absorbed, kept) of paths (kind) and those that a street took in."""
     hit = paths.join(absorbed.select(key, F.lit(1).alias("_a")).distinct(), key, "left")
     return hit.groupBy("kind").agg(F.count("*").alias("paths"), F.count("_a").alias("absorbed"), F.count_if(F.col("_a").isNull()).alias("kept"))
+
+
+# What a reason must hold to say something about a crossing.
+TELLING = ("cross", "steps into", "m gap", "insufficient signal")
+
+
+def telling_reasons(reasons: Column) -> Column:
+    """Of an array of reasons those that speak of crossing, in any case of letters; null is none."""
+    found = lambda r: F.lower(r).rlike("|".join(TELLING))
+    return F.filter(F.coalesce(reasons, F.array().cast("array<string>")), lambda r: F.coalesce(found(r), F.lit(False)))
+
+
+def crossings_to_review(links: DataFrame, touched: DataFrame) -> DataFrame:
+    """Of rejected links (segment_id, u, v, a, b, miles_a, miles_b, reasons), a and b the components of their ends, those that join two
+    components or have an end among ``touched`` (node): with bridges, touches, the miles on the smaller side if they bridge (else
+    0), and the reasons that speak of crossing. An end in no component bridges nothing."""
+    node = touched.select("node").distinct().withColumn("_hit", F.lit(True))
+    at = lambda d, end: d.join(node.withColumnsRenamed({"node": end, "_hit": f"_{end}"}), end, "left")
+    bridges, touches = F.coalesce(F.col("a") != F.col("b"), F.lit(False)), F.col("_u").isNotNull() | F.col("_v").isNotNull()
+    rows = at(at(links, "u"), "v").withColumns({"bridges": bridges, "touches": touches}).where("bridges OR touches")
+    return rows.select("segment_id", "bridges", "touches", F.round(F.when(F.col("bridges"), F.least("miles_a", "miles_b")).otherwise(0.0), 3).alias("smaller_miles"), telling_reasons(F.col("reasons")).alias("reasons"))

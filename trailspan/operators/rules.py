@@ -69,3 +69,11 @@ def bucket_report(frame: DataFrame, rules: Sequence[tuple[str, Column]], name: C
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "_name"))
     best = per.withColumn("r", rank).where(F.col("r") <= top).groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "_name"))), lambda x: x["_name"]), ",").alias("top_names"))
     return per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("weight")).join(best, "bucket")
+
+
+def bucket_ids(frame: DataFrame, rules: Sequence[tuple[str, Column]], key: Column, most: int = 400) -> DataFrame:
+    """(bucket, ids): the ``most`` smallest distinct keys of each bucket in order, for people to look at. Nulls are no key. Only rows
+    that can be among them are shuffled, as the limit is applied in each task first."""
+    placed = frame.select(first_match(rules).alias("bucket"), key.alias("_k")).where("bucket IS NOT NULL AND _k IS NOT NULL").distinct()
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("_k"))
+    return placed.withColumn("_r", rank).where(F.col("_r") <= most).groupBy("bucket").agg(F.array_sort(F.collect_list("_k")).alias("ids"))

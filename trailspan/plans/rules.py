@@ -64,6 +64,17 @@ def first_match_buckets(spark, sf_dir):
     return rules.bucket_report(load(spark, sf_dir, "lineitem"), [(n, F.expr(c)) for n, c in BUCKETS], F.col("l_suppkey"), F.col("l_quantity"), 10)
 
 
+@query(f"""
+WITH c AS (SELECT DISTINCT CASE {" ".join(f"WHEN {c} THEN '{n}'" for n, c in BUCKETS)} END AS bucket, l_orderkey AS k FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k) AS r FROM c WHERE bucket IS NOT NULL)
+SELECT bucket, string_agg(k::VARCHAR, ',' ORDER BY k) AS ids FROM r WHERE r <= 400 GROUP BY bucket
+""")
+def bucket_ids(spark, sf_dir):
+    """The first 400 orders of each bucket."""
+    ids = rules.bucket_ids(load(spark, sf_dir, "lineitem"), [(n, F.expr(c)) for n, c in BUCKETS], F.col("l_orderkey"))
+    return ids.select("bucket", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 PREFIXES = [("STANDARD", "CORE"), ("STAN", "OTHER"), ("ECONOMY", "TRAIL"), ("PROMO", "TRAIL"), ("LARGE", "CAMPUS"), ("L", "LAST")]
 
 

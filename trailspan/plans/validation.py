@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailspan.functions import shapes
-from trailspan.operators import coverage, gates, places, validation
+from trailspan.operators import coverage, gates, places, reports, validation
 from trailspan.operators.membership import resolved_credits
 from trailspan.plans.ground import GROUND_SQL, ground
 from trailspan.plans.registry import load, query
@@ -150,3 +150,21 @@ def progress_frames(spark, sf_dir):
     covered = shapes.bounds(points.where("done"), ["c_nationkey"], "lon", "lat", "covered")
     box = whole.join(covered, "c_nationkey", "left").select("c_nationkey", shapes.progress_frame(F.col("covered"), F.col("whole")).alias("f"))
     return box.select("c_nationkey", *(F.round(f"f.{c}", 7).alias(c) for c in ("west", "south", "east", "north")))
+
+
+@query("""
+WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_suppkey AS u, l_partkey AS v, nullif(l_suppkey % 5, 4) AS a, l_partkey % 5 AS b, l_quantity AS ma, l_tax * 100 AS mb, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+t AS (SELECT *, coalesce(a <> b, false) AS bridges, u IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 8000) OR v IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 8000) AS touches FROM k)
+SELECT segment_id, bridges, touches, round(CASE WHEN bridges THEN least(ma, mb) ELSE 0 END, 3) AS smaller_miles,
+    concat_ws(';', CASE WHEN f = 'R' THEN 'Crosses a roadway' END, CASE WHEN s = 'O' THEN '4 m gap' END) AS reasons FROM t WHERE bridges OR touches
+""")
+def crossings_to_review(spark, sf_dir):
+    """Links between suppliers and parts that join components or touch a marked node."""
+    reasons = F.filter(F.array(F.when(F.col("l_returnflag") == "R", "Crosses a roadway"), F.lit("short"), F.when(F.col("l_linestatus") == "O", "4 m gap")), lambda r: r.isNotNull())
+    links = load(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("segment_id"), F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.expr("nullif(l_suppkey % 5, 4)").alias("a"),
+        (F.col("l_partkey") % 5).alias("b"), F.col("l_quantity").alias("miles_a"), (F.col("l_tax") * 100).alias("miles_b"), reasons.alias("reasons"),
+    )
+    marked = load(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_suppkey").alias("node"))
+    found = reports.crossings_to_review(links, marked)
+    return found.withColumn("reasons", F.concat_ws(";", "reasons"))
