@@ -48,8 +48,10 @@ def score(components: Mapping[str, Column], weights: Mapping[str, float]) -> tup
 
 
 def credited(credits: DataFrame, target: str, fraction: str, share: float, done: DataFrame, done_key: str) -> DataFrame:
-    """Targets whose credits add up to the share and that are not done themselves."""
-    got = credits.groupBy(target).agg(F.sum(fraction).alias("credit")).where(F.col("credit") >= share)
+    """Targets whose credits add up to the share and that are not done themselves. Credits are summed as decimals, to twelve
+    places in the end, so what adds up to the share does so in whatever order rows come."""
+    total = F.round(F.sum(F.col(fraction).try_cast("decimal(38,15)")), 12).cast("double")
+    got = credits.groupBy(target).agg(total.alias("credit")).where(F.col("credit") >= share)
     return got.join(done.select(F.col(done_key).alias(target)).distinct(), target, "left_anti")
 
 
