@@ -52,9 +52,9 @@ def _holders(vocabulary: DataFrame, anchors: DataFrame) -> DataFrame:
     return vocabulary.withColumn("_gram", F.explode(runs)).join(keyed, "_gram").where(F.contains("word", F.col("anchor"))).select("word", "anchor").distinct()
 
 
-def leaked(texts: DataFrame, text: str, secrets: DataFrame, secret: str, few: int = 100_000) -> DataFrame:
-    """Pairs (text row, secret) where the text holds the secret whole, in any case of letters, wherever it begins. A secret listed
-    twice is found once.
+def leaked(texts: DataFrame, text: str, secrets: DataFrame, secret: str, few: int = 100_000, any_case: bool = True) -> DataFrame:
+    """Pairs (text row, secret) where the text holds the secret whole, in any case of letters or, without ``any_case``, as it is
+    written, wherever it begins. A secret listed twice is found once.
 
     A secret of three words or more is sought by its second word and those after
     it, but the last, up to three: a holder must have them as words of its own.
@@ -65,8 +65,9 @@ def leaked(texts: DataFrame, text: str, secrets: DataFrame, secret: str, few: in
     and verified. Up to ``few`` hashes are broadcast, more are shuffled. Null and
     blank secrets are found nowhere, nor is anything in null texts.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), "[ \\t-\\r]+"), lambda w: w != "")
-    known = secrets.distinct().where(F.trim(secret) != "").withColumn("_w", words(F.col(secret))).where(F.size("_w") > 0)
+    fold = F.lower if any_case else F.col
+    words = lambda c: F.filter(F.split(fold(c), "[ \\t-\\r]+"), lambda w: w != "")
+    known = secrets.distinct().where(F.trim(secret) != "").withColumn("_w", words(secret)).where(F.size("_w") > 0)
     run = F.least(F.lit(3), F.size("_w") - 2)
     long_ = known.where(F.size("_w") >= 3).select(*secrets.columns, run.alias("_n"), F.xxhash64(run, F.concat_ws(" ", F.slice("_w", F.lit(2), run))).alias("_gram"))
     rows = texts.withColumn("_row", F.xxhash64(text))
@@ -76,7 +77,7 @@ def leaked(texts: DataFrame, text: str, secrets: DataFrame, secret: str, few: in
         at = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.concat_ws(" ", F.slice(F.col("_w"), i, F.lit(n)))))
         return F.when(F.size("_w") >= n, at).otherwise(F.array().cast("array<bigint>"))
 
-    in_words = rows.select("_row", words(F.col(text)).alias("_w"))
+    in_words = rows.select("_row", words(text).alias("_w"))
     small = lambda d: F.broadcast(d) if d.count() <= few else d
     met = None
     if kinds:
@@ -93,4 +94,4 @@ def leaked(texts: DataFrame, text: str, secrets: DataFrame, secret: str, few: in
         met = short_met if met is None else met.unionByName(short_met)
     if met is None:
         met = rows.select("_row").join(known.select(*secrets.columns).limit(0))
-    return rows.join(met.distinct(), "_row").where(F.contains(F.lower(text), F.lower(secret))).drop("_row")
+    return rows.join(met.distinct(), "_row").where(F.contains(fold(text), fold(secret))).drop("_row")
