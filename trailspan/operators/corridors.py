@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailspan.functions import geometry
 from trailspan.operators.membership import MILE
-from trailspan.operators.network import passed_cells, straight_pieces
+from trailspan.operators.network import around_cells, passed_cells, straight_pieces
 from trailspan.shared import stored
 
 # How near and how much of a way runs beside what is there, and the least credit.
@@ -67,13 +67,13 @@ def _samples(ways: DataFrame) -> DataFrame:
 
 def _met(ways: DataFrame, others: DataFrame) -> DataFrame:
     """(segment_id, k, n, other): samples of ways within PARALLEL_M of other ways (segment_id, line). Straight pieces of the others
-    stand in the grid cells of that size that they pass, samples look into nine: an equi-join."""
+    stand in the grid cells of that size that they pass and those around them, samples in one: an equi-join, merged, as the size of
+    what was dealt to cells is not known beforehand and must not be broadcast."""
     pieces = straight_pieces(others.select(F.col("segment_id").alias("line_id"), "line"), measured=False)
-    dealt = pieces.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), PARALLEL_M))).select(F.col("line_id").alias("other"), "a", "b", "c.cx", "c.cy")
-    around = F.array(*(F.struct((F.floor(F.col("p.x") / PARALLEL_M) + i).alias("cx"), (F.floor(F.col("p.y") / PARALLEL_M) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    here = _samples(ways).withColumn("c", F.explode(around)).select("segment_id", "k", "n", "p", "c.cx", "c.cy")
+    dealt = pieces.withColumn("c", F.explode(around_cells(passed_cells(F.col("a"), F.col("b"), PARALLEL_M)))).select(F.col("line_id").alias("other"), "a", "b", "c.cx", "c.cy")
+    here = _samples(ways).withColumn("cx", F.floor(F.col("p.x") / PARALLEL_M)).withColumn("cy", F.floor(F.col("p.y") / PARALLEL_M))
     foot = geometry.nearest_on_segment(F.col("p"), F.col("a"), F.col("b"))
-    near = here.join(dealt, ["cx", "cy"]).withColumn("foot", foot).where(F.hypot(F.col("p.x") - F.col("foot.x"), F.col("p.y") - F.col("foot.y")) <= PARALLEL_M)
+    near = here.join(dealt.hint("merge"), ["cx", "cy"]).withColumn("foot", foot).where(F.hypot(F.col("p.x") - F.col("foot.x"), F.col("p.y") - F.col("foot.y")) <= PARALLEL_M)
     return near.select("segment_id", "k", "n", "other").distinct()
 
 
