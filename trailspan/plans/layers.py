@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailspan.functions import geometry
 from trailspan.operators import network, polygons
 from trailspan.plans.registry import load, query
+from trailspan.shared import stored
 
 #: Every nation is a polygon around a place of its own, with a corner for each of its customers, in the order of their keys.
 CORNER_SQL = """
@@ -85,7 +86,8 @@ def link_crossings(spark, sf_dir):
     links = load(spark, sf_dir, "customer").select(key.alias("line_id"), F.array(geometry.point(x, y), geometry.point(x + key % 401 - 200.5, y + key % 307 - 153.5)).alias("line"))
     at = lambda m, up: geometry.point(F.col("s_suppkey") * m % 5000 + 0.5, F.lit(up))
     supplier = load(spark, sf_dir, "supplier")
-    roads = supplier.select(F.col("s_suppkey").alias("line_id"), F.array(at(211, 0.0), at(373, 2500.0), at(499, 5000.0)).alias("line"))
-    kinds = supplier.select(F.col("s_suppkey").alias("other_id"), (F.col("s_nationkey") % 3 == 0).alias("limited"))
-    met = network.crossings(links, roads.withColumn("line_id", -1 - F.col("line_id"))).withColumn("other_id", -1 - F.col("other_id")).join(kinds, "other_id")
-    return met.groupBy("line_id").agg(F.count("*").alias("crossed"), F.count_if("limited").alias("crossed_limited"), F.min("at").alias("first_at"))
+    roads = supplier.select("s_suppkey", "s_nationkey", F.array(at(211, 0.0), at(373, 2500.0), at(499, 5000.0)).alias("line"))
+    # roads on one line are crossed together: one of them is met and counts for all
+    kinds = stored(roads.groupBy("line").agg((-1 - F.min("s_suppkey")).alias("other_id"), F.count("*").alias("n"), F.count_if(F.col("s_nationkey") % 3 == 0).alias("limited")), "roads")
+    met = network.crossings(links, kinds.select(F.col("other_id").alias("line_id"), "line")).join(kinds.drop("line"), "other_id")
+    return met.groupBy("line_id").agg(F.sum("n").alias("crossed"), F.sum("limited").alias("crossed_limited"), F.min("at").alias("first_at"))
