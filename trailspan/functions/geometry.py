@@ -45,10 +45,12 @@ def point_at(line: Column, share: Column | float) -> Column:
 
 
 def nearest_on_segment(p: Column, a: Column, b: Column) -> Column:
+    """Nearest point of a segment; along an axis its own coordinate is that of the point, unrounded."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     d2 = dx * dx + dy * dy
     t = F.when(d2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / d2))).otherwise(0.0)
-    return point(a["x"] + t * dx, a["y"] + t * dy)
+    within = lambda k: F.greatest(F.least(a[k], b[k]), F.least(F.greatest(a[k], b[k]), p[k]))
+    return point(F.when(dy == 0, within("x")).otherwise(a["x"] + t * dx), F.when(dx == 0, within("y")).otherwise(a["y"] + t * dy))
 
 
 def distance_to_line(p: Column, line: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailspan.functions import geometry
 from trailspan.functions.keys import composite_key
 from trailspan.operators.network import passed_cells, straight_pieces
+from trailspan.shared import stored
 
 # Tiers and sizes of the site rules.
 REACHABLE_SHARE, MOSTLY_SHARE, SMALL_ACRES, NO_NETWORK_M, ACRE_M2 = 0.10, 0.35, 6.0, 25.0, 4046.86
@@ -44,23 +45,29 @@ def associated(homes: DataFrame, lines: DataFrame, cap: float = CAP_M, secondary
     bonuses of an equal name and of an owed line, then least distance, a name
     match, the smaller id; the next ones are listed. A home without any has the
     reason BEYOND_CAP. Straight pieces stand in the grid cells of the cap's size that they pass,
-    homes look into nine, so this is an equi-join.
+    homes look into nine, so this is an equi-join. Homes of one place and name
+    are sought for once, and of lines that differ in their ids only, the first
+    that could be listed.
     """
-    pieces = straight_pieces(lines.select("line_id", "line"))
+    copies = F.row_number().over(Window.partitionBy("line", "name", "owed").orderBy("line_id"))
+    everyone, homes = homes.withColumn("_like", F.struct("x", "y", "name")), homes.select("x", "y", "name").distinct().withColumn("home_id", F.struct("x", "y", "name"))
+    lines = stored(lines.withColumn("_copy", copies).where(F.col("_copy") <= 1 + secondary).drop("_copy"), "home-lines")
+    pieces = straight_pieces(lines.select("line_id", "line"), False)
     dealt = pieces.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), cap))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
     around = F.array(*(F.struct((F.floor(F.col("x") / cap) + i).alias("cx"), (F.floor(F.col("y") / cap) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     here = homes.withColumn("c", F.explode(around)).select("home_id", "x", "y", "c.cx", "c.cy")
     p = geometry.point(F.col("x"), F.col("y"))
-    n = geometry.nearest_on_segment(p, F.col("a"), F.col("b"))
-    gap = F.hypot(F.col("x") - n["x"], F.col("y") - n["y"])
-    near = here.join(dealt, ["cx", "cy"]).withColumn("distance", gap).where(F.col("distance") <= cap).groupBy("home_id", "line_id").agg(F.min("distance").alias("distance"))
+    box = lambda k: F.col(k).between(F.least(f"a.{k}", f"b.{k}") - 1.001 * cap, F.greatest(f"a.{k}", f"b.{k}") + 1.001 * cap)
+    met = here.join(dealt.hint("merge"), ["cx", "cy"]).where(box("x") & box("y")).withColumn("n", geometry.nearest_on_segment(p, F.col("a"), F.col("b")))
+    dx, dy = F.col("x") - F.col("n.x"), F.col("y") - F.col("n.y")
+    near = met.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= cap).groupBy("home_id", "line_id").agg(F.min("distance").alias("distance"))
     facts = near.join(lines.select("line_id", F.col("name").alias("line_name"), "owed"), "line_id").join(homes.select("home_id", "name"), "home_id")
     same = F.coalesce(F.col("name") == F.col("line_name"), F.lit(False))
     score = F.col("distance") - F.when(same, NAME_M).otherwise(0.0) - F.when(F.col("owed"), OWED_M).otherwise(0.0)
     rank = F.row_number().over(Window.partitionBy("home_id").orderBy(score, "distance", ~same, "line_id"))
     ranked = facts.withColumn("r", rank).where(F.col("r") <= 1 + secondary)
     best = ranked.groupBy("home_id").agg(F.min(F.struct("r", "line_id", "distance")).alias("b"), F.array_sort(F.collect_list(F.when(F.col("r") > 1, F.struct("r", "line_id")))).alias("o"))
-    out = homes.select("home_id").join(best, "home_id", "left")
+    out = everyone.select("home_id", "_like").join(best.withColumnRenamed("home_id", "_like"), "_like", "left")
     return out.select("home_id", F.col("b.line_id").alias("main"), F.coalesce(F.transform("o", lambda x: x["line_id"]), F.array().cast("array<bigint>")).alias("others"), F.col("b.distance").alias("distance"), F.when(F.col("b").isNull(), "BEYOND_CAP").alias("reason"))
 
 
