@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import chain
 
 from pyspark.sql import Column
@@ -41,24 +41,36 @@ def tokens(raw: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda t: t != "")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(raw: Column, fixes: Mapping[str, str] = NAME_FIXES) -> Column:
     """struct(display, normalized): a direction is taken from the front or else the back, then a suffix from the back; the
     normal form is core, suffix, direction. Without any word both are null; a name that is only one word stays as it is."""
-    joined = F.array_join(tokens(raw), " ")
-    toks = F.split(F.coalesce(lookup(fixes, joined), joined), " ")
-    n = F.size(toks)
-    head, tail = lookup(DIRECTION, F.element_at(toks, 1)), lookup(DIRECTION, F.element_at(toks, -1))
-    at_head = (n > 1) & head.isNotNull()
-    at_tail = (n > 1) & ~at_head & tail.isNotNull()
-    direction = F.when(at_head, head).when(at_tail, tail)
-    rest = F.when(at_head, F.slice(toks, F.lit(2), n - 1)).when(at_tail, F.slice(toks, F.lit(1), n - 1)).otherwise(toks)
-    m = F.size(rest)
-    suffix = F.when(m > 1, lookup(SUFFIX, F.element_at(rest, -1)))
-    core = F.when(suffix.isNotNull(), F.slice(rest, F.lit(1), m - 1)).otherwise(rest)
-    normal = F.concat_ws(" ", F.array_join(core, " "), suffix, direction)
-    shown = F.concat_ws(" ", F.upper(direction), F.array_join(F.transform(core, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " "), F.initcap(suffix))
-    some = F.length(joined) > 0
-    return F.struct(F.when(some, shown).alias("display"), F.when(some, normal).alias("normalized"))
+
+    def ends(toks: Column) -> Column:
+        several = F.size(toks) > 1
+        return F.struct(toks.alias("toks"), F.when(several, lookup(DIRECTION, F.element_at(toks, 1))).alias("head"), F.when(several, lookup(DIRECTION, F.element_at(toks, -1))).alias("tail"))
+
+    def rest(e: Column) -> Column:
+        toks, n = e["toks"], F.size(e["toks"]) - 1
+        left = F.when(e["head"].isNotNull(), F.slice(toks, F.lit(2), n)).when(e["tail"].isNotNull(), F.slice(toks, F.lit(1), n)).otherwise(toks)
+        return F.struct(F.coalesce(e["head"], e["tail"]).alias("direction"), left.alias("left"))
+
+    def ending(r: Column) -> Column:
+        return F.struct(r["direction"].alias("direction"), r["left"].alias("left"), F.when(F.size(r["left"]) > 1, lookup(SUFFIX, F.element_at(r["left"], -1))).alias("suffix"))
+
+    def forms(r: Column) -> Column:
+        core = F.when(r["suffix"].isNotNull(), F.slice(r["left"], F.lit(1), F.size(r["left"]) - 1)).otherwise(r["left"])
+        normal = F.concat_ws(" ", F.array_join(core, " "), r["suffix"], r["direction"])
+        shown = F.concat_ws(" ", F.upper(r["direction"]), F.array_join(F.transform(core, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " "), F.initcap(r["suffix"]))
+        some = r["left"] != F.array(F.lit(""))
+        return F.struct(F.when(some, shown).alias("display"), F.when(some, normal).alias("normalized"))
+
+    toks = _once(F.array_join(tokens(raw), " "), lambda joined: F.split(F.coalesce(lookup(fixes, joined), joined), " "))
+    return _once(_once(_once(_once(toks, ends), rest), ending), forms)
 
 
 def compose(*parts: Column) -> Column:
