@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailspan.operators.joins import within_radius
 from trailspan.operators.membership import MILE, miles
 from trailspan.operators.rules import reasons
+from trailspan.shared import stored
 
 # Length that makes an area, gaps of digitising and of a missing link, and the walks on offer.
 AREA_MILES, ARTEFACT_M, MISSING_M = 0.25, 30.0, 150.0
@@ -36,7 +37,9 @@ def facts(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def separation(points: DataFrame, most: float = MISSING_M) -> DataFrame:
-    """(component, gap): the least distance from a component's points (component, x, y) to another's, where it is below ``most``."""
+    """(component, gap): the least distance from a component's points (component, x, y) to another's, where it is below ``most``.
+    Points of a component at one spot count once."""
+    points = stored(points.select("component", "x", "y").distinct(), "separate")
     other = points.select(F.col("component").alias("oc"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     near = within_radius(points, other, "x", "y", "ox", "oy", most).where("component <> oc")
     return near.groupBy("component").agg(F.min("distance").alias("gap"))
