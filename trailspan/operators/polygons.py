@@ -7,11 +7,13 @@ need nothing of their own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspan.functions import geometry
-from trailspan.operators.network import crossings, passed_cells
+from trailspan.operators.network import passed_cells, straight_pieces
 from trailspan.shared import stored
 
 
@@ -57,15 +59,28 @@ def polygon_cells(edges: DataFrame, cell: float) -> DataFrame:
     return both.select("poly_id", "cx", "cy", F.coalesce("middle", F.lit(False)).alias("middle"), F.coalesce("rim", F.lit(False)).alias("rim"))
 
 
+#: Edges of one polygon in a cell, on the average, beyond which cells are halved.
+CROWD = 8
+
+
+def _finer(edges: DataFrame, cell: float) -> int:
+    """By what power of two cells are to be narrower: the root of how far they are beyond CROWD, since the edges that a point meets
+    fall with the width while the rows of cells rise."""
+    seen = rim_edges(edges, cell).groupBy("poly_id", "cx", "cy").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 0.0
+    return 1 << max(0, math.floor(math.log2(max(1.0, seen / CROWD)) / 2))
+
+
 def points_in(points: DataFrame, edges: DataFrame, cell: float = 100.0, key: str = "point_id") -> DataFrame:
     """(key, poly_id): which polygons hold each point (key, x, y).
 
     A point in a cell that no rim passes is where the cell's middle is. In a rim
     cell the way from the middle to the point, first up or down and then
     sideways, changes sides at every edge that it crosses, and only edges in the
-    cell can cross it. Points on the rim itself may count either way; points
-    without a place are nowhere.
+    cell can cross it. Where many edges share a cell, cells are made smaller, as
+    a point then meets fewer. Points on the rim itself may count either way;
+    points without a place are nowhere.
     """
+    cell /= _finer(edges, cell)
     cells = stored(polygon_cells(edges, cell), "polygon-cells")
     at = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     near = stored(at.join(cells, ["cx", "cy"]), "polygon-near")
@@ -91,12 +106,27 @@ def points_near(points: DataFrame, edges: DataFrame, reach: float, key: str = "p
 
 
 def rim_crossings(lines: DataFrame, edges: DataFrame, cell: float = 100.0) -> DataFrame:
-    """(line_id, poly_id): lines (line_id, line) that cross or touch a polygon's rim."""
-    own = lines.select(F.struct(F.lit("line").alias("kind"), F.col("line_id").cast("string").alias("id")).alias("line_id"), "line")
-    rims = edges.select(F.struct(F.lit("rim").alias("kind"), F.col("poly_id").cast("string").alias("id")).alias("line_id"), F.array("a", "b").alias("line"))
-    hits = crossings(own, rims, cell, 0.0).select(F.col("line_id.id").alias("_line"), F.col("other_id.id").alias("_poly")).distinct()
-    ids = lambda frame, key, name: frame.select(key, F.col(key).cast("string").alias(name)).distinct()
-    return hits.join(ids(lines, "line_id", "_line"), "_line").join(ids(edges, "poly_id", "_poly"), "_poly").select("line_id", "poly_id")
+    """(line_id, poly_id): lines (line_id, line) that cross or touch a polygon's rim.
+
+    Pieces of lines and edges meet in the cells that both pass. One crossing is
+    enough, so lines are tried against every 64th edge first, then against every
+    eighth, and only those that have not met the rim by then against all.
+    """
+    rims = stored(rim_edges(edges.where("a <> b"), cell).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(64))), "rim-cells")
+    pieces = straight_pieces(lines.select("line_id", "line"), False).withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), cell)))
+    here = pieces.select("line_id", F.col("a").alias("p"), F.col("b").alias("q"), "c.cx", "c.cy")
+    left = stored(here.join(rims.select("poly_id", "cx", "cy").distinct().hint("merge"), ["cx", "cy"]), "rim-lines")
+    rx, ry = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
+    sx, sy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    qx, qy = F.col("a.x") - F.col("p.x"), F.col("a.y") - F.col("p.y")
+    cross = rx * sy - ry * sx
+    meets = (cross != 0) & F.try_divide(qx * sy - qy * sx, cross).between(0, 1) & F.try_divide(qx * ry - qy * rx, cross).between(0, 1)
+    found = None
+    for part in ("part = 0", "part % 8 = 0 AND part > 0", "part % 8 > 0"):
+        met = stored(left.join(rims.where(part).select("poly_id", "cx", "cy", "a", "b").hint("merge"), ["poly_id", "cx", "cy"]).where(meets).select("line_id", "poly_id").distinct(), "rim-met")
+        found = met if found is None else found.unionByName(met)
+        left = left.join(met, ["line_id", "poly_id"], "left_anti")
+    return found
 
 
 def lines_against(lines: DataFrame, edges: DataFrame, cell: float = 100.0) -> DataFrame:
