@@ -18,6 +18,10 @@ from trailspan.shared import discard, shared_folder, stored, stored_at
 LOCAL_EDGES, NEAR_BITS = 500_000, 16
 
 
+#: Nodes that are broadcast at most.
+FEW_NODES = 2_000_000
+
+
 def _least_together(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node that these edges join it with) of every node: the larger root of an edge takes the smaller one, then
     every node its root's, until no edge has two roots."""
@@ -167,16 +171,22 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
     names a column of ``sources``, one value a node: nodes farther than that from
     their source are left out and never searched from. A round follows one more
     edge, as many as the longest of the shortest paths has, unless
-    ``max_rounds`` says when to give up.
+    ``max_rounds`` says when to give up. While the nodes to search from are no
+    more than FEW_NODES they are broadcast, and only edges at them are shuffled.
     """
-    light = stored(both_ways(edges, src, dst, weight).groupBy("u", "v").agg(F.min(weight).alias("w")), "sssp-edges")
+    light = stored(both_ways(edges, src, dst, weight).select("u", "v", F.col(weight).alias("w")), "sssp-edges")
     kind = light.schema["w"].dataType
     cap = [F.col(within).alias("cap")] if within else []
     keep = ["cap"] if within else []
     best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(kind).alias("distance"), *cap).distinct(), "sssp-best")
     front = best
     for _ in itertools.count() if max_rounds is None else range(max_rounds):
-        offers = front.join(light, front["node"] == light["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(kind).alias("offer"), *keep)
+        at = front.select(F.col("node").alias("u")).distinct()
+        if at.count() <= FEW_NODES:
+            beside = light.join(F.broadcast(at), "u", "left_semi")
+        else:
+            beside = light
+        offers = front.join(beside, front["node"] == beside["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(kind).alias("offer"), *keep)
         if within:
             offers = offers.where("offer <= cap")
         offers = offers.groupBy("source", "node").agg(F.min("offer").alias("offer"), *(F.min(c).alias("far") for c in keep))
