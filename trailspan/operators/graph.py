@@ -167,7 +167,8 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
     dropped with their edges, and keeps the least offer of each node. Weights
     are not negative; of parallel edges the lightest counts. With weight 1 the
     distances are the levels of a breadth-first search. ``sources`` has one
-    column, node; each round's table is written to the shared folder. ``within``
+    column, node; each round writes what it bettered to the shared folder, and
+    the least of all rounds is taken at the end. ``within``
     names a column of ``sources``, one value a node: nodes farther than that from
     their source are left out and never searched from. A round follows one more
     edge, as many as the longest of the shortest paths has, unless
@@ -189,9 +190,11 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
         offers = front.join(beside, front["node"] == beside["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).cast(kind).alias("offer"), *keep)
         if within:
             offers = offers.where("offer <= cap")
-        offers = offers.groupBy("source", "node").agg(F.min("offer").alias("offer"), *(F.min(c).alias("far") for c in keep))
-        after = stored(best.join(offers, ["source", "node"], "full").select("source", "node", F.least("distance", "offer").alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).alias("new"), *(F.coalesce(c, "far").alias(c) for c in keep)), "sssp-best")
-        best, front = after.drop("new"), after.where("new").drop("new")
+        offers = offers.groupBy("source", "node").agg(F.min("offer").alias("offer"), *(F.min(c).alias(c) for c in keep))
+        known = best.select("source", "node", "distance")
+        worse = (offers["source"] == known["source"]) & (offers["node"] == known["node"]) & (known["distance"] <= offers["offer"])
+        front = stored(offers.join(known, worse, "left_anti").select("source", "node", F.col("offer").alias("distance"), *keep), "sssp-front")
         if front.isEmpty():
-            return best.drop(*keep)
+            return best.groupBy("source", "node").agg(F.min("distance").alias("distance"))
+        best = best.unionByName(front)
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
