@@ -37,7 +37,8 @@ def site_lines(sites: DataFrame, lines: DataFrame) -> DataFrame:
     edges = sites.select(F.col("site").alias("poly_id"), F.explode(geometry.segments(F.col("hull"))).alias("s")).select("poly_id", "s.a", "s.b")
     # a hull of one place has no edge, so the place stands for itself
     spots = sites.where("rim_m = 0").select(F.col("site").alias("poly_id"), F.element_at("hull", 1).alias("a"), F.element_at("hull", 1).alias("b"))
-    middle = lines.select("line_id", geometry.point_at(F.col("line"), 0.5).alias("p")).select("line_id", "p.x", "p.y")
+    # written, so that a midpoint is worked out once and not for each cell that it looks into
+    middle = stored(lines.select("line_id", geometry.point_at(F.col("line"), 0.5).alias("p")), "site-middles").select("line_id", "p.x", "p.y")
     near = points_near(middle, stored(edges.unionByName(spots).distinct(), "site-edges"), SLACK_M + THIN_M + CONTEXT_M, "line_id")
     placed = near.join(sites.select(F.col("site").alias("poly_id"), "slack"), "poly_id").where(F.col("distance") <= F.col("slack") + CONTEXT_M)
     return placed.select(F.col("poly_id").alias("site"), "line_id", (F.col("distance") <= F.col("slack")).alias("inside"))
