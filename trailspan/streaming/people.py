@@ -19,16 +19,16 @@ _SPAN = pd.Timedelta(hours=IDLE_H)
 
 class Person:
     """What is known of one person: the hash of the token in force, the open walk with its state and when it was last touched, and the
-    time and number of the last command."""
+    time and number of the last command. Times are Timestamps, or whole microseconds with a ``span`` of such."""
 
-    def __init__(self, token: str | None = None, walk: str | None = None, state: str | None = None, touched: pd.Timestamp | None = None, last: tuple[pd.Timestamp, int] | None = None):
-        self.token, self.walk, self.state, self.touched, self.last = token, walk, state, touched, last
+    def __init__(self, token: str | None = None, walk: str | None = None, state: str | None = None, touched: pd.Timestamp | None = None, last: tuple[pd.Timestamp, int] | None = None, span: pd.Timedelta | int = _SPAN):
+        self.token, self.walk, self.state, self.touched, self.last, self.span = token, walk, state, touched, last, span
 
     def given_up(self, now: pd.Timestamp) -> tuple | None:
         """The walk's end if it has been idle for too long by ``now``."""
-        if self.walk is None or now < self.touched + _SPAN:
+        if self.walk is None or now < self.touched + self.span:
             return None
-        row = (self.touched + _SPAN, None, "expire", self.walk, "EXPIRED", None)
+        row = (self.touched + self.span, None, "expire", self.walk, "EXPIRED", None)
         self.walk = self.state = None
         return row
 
@@ -107,14 +107,28 @@ def _frame(name: str, rows: list[tuple]) -> pd.DataFrame:
 def folded(rows: DataFrame) -> DataFrame:
     """Outcomes (OUT) of all commands of a table, each person's in order of time and number; walks that are open at the end stay so.
 
-    One person's commands are one group in memory, since each depends on what the
-    one before left; ``walked`` takes them batch by batch.
+    A task gets whole people, one after the other and in order, and keeps only
+    what is known of the one at hand: neither a person with many commands nor
+    many people with few cost more than their rows.
     """
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], _rows(Person(), frame))
-
-    return commands(rows).groupBy("person").applyInPandas(run, OUT)
+    kind = OUT.replace("at timestamp", "at long")
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, person = None, Person()
+        for batch in batches:
+            out: list[tuple] = []
+            some = batch.astype({c: object for c in ("walk", "token", "new_token")})
+            some = some.where(some.notna(), None)
+            for who, at, seq, what, walk, token, new in zip(*(some[c].tolist() for c in ("person", "at", "seq", "kind", "walk", "token", "new_token"))):
+                if who != name:
+                    name, person = who, Person(span=IDLE_H * 3_600_000_000)
+                out += [(who, *r) for r in person.apply(at, seq, what, walk, token, new)]
+            made = pd.DataFrame(out, columns=names, dtype=object)
+            yield made.assign(at=made["at"].astype("int64"), seq=pd.array(made["seq"].tolist(), "Int64"))  # a seq is never a double on its way
+
+    given = commands(rows).withColumn("at", F.unix_micros("at")).repartition("person").sortWithinPartitions("person", "at", "seq")
+    return given.mapInPandas(run, kind).withColumn("at", F.timestamp_micros("at"))
 
 
 class People(StatefulProcessor):
