@@ -102,9 +102,10 @@ def route_summary(steps: DataFrame, segments: DataFrame) -> DataFrame:
     """(route, steps, segments, miles, required, connectors) of steps (route, segment_id): each pass counts for the miles, each
     segment once for the rest."""
     s = steps.join(segments.select("segment_id", "length_m", (F.col("role") == "REQUIRED").alias("owed")), "segment_id")
-    distinct = lambda c: F.count_distinct(F.when(c, F.col("segment_id")))
     owed = F.coalesce("owed", F.lit(False))
-    return s.groupBy("route").agg(F.count("*").alias("steps"), F.count_distinct("segment_id").alias("segments"), F.round(F.sum("length_m") / MILE, 3).alias("miles"), distinct(owed).alias("required"), distinct(~owed).alias("connectors"))
+    # a segment of a route is one row first: it lies where the join left it, so nothing is counted apart and few rows are shuffled
+    per = s.groupBy("route", "segment_id").agg(F.count("*").alias("n"), F.sum("length_m").alias("m"), F.bool_or(owed).alias("required"), F.bool_or(~owed).alias("connector"))
+    return per.groupBy("route").agg(F.sum("n").alias("steps"), F.count("*").alias("segments"), F.round(F.sum("m") / MILE, 3).alias("miles"), F.count_if("required").alias("required"), F.count_if("connector").alias("connectors"))
 
 
 def absorption(paths: DataFrame, absorbed: DataFrame, key: str) -> DataFrame:

@@ -14,6 +14,9 @@ _PARTS = {
     "connector": "role = 'OPTIONAL_CONNECTOR'", "excluded": "role = 'EXCLUDED'", "main": "role = 'REQUIRED' AND number < 6",
 }
 
+#: Lines that one task sorts and counts together.
+TASK_ROWS = 500_000
+
 
 @query(f"WITH {SEG} SELECT count(*) AS segments, count_if(dataset = 'DERIVED') AS derived_segments, " + ", ".join(f"count_if({c}) AS {k}_segments, round(coalesce(sum(length_m) FILTER ({c}), 0) / 1609.344, 3) AS {k}_miles" for k, c in _PARTS.items()) + ", round(sum(length_m) FILTER (role = 'REQUIRED' AND number < 6) / sum(length_m) FILTER (role = 'REQUIRED'), 4) AS main_share FROM seg")
 def freeze_metrics(spark, sf_dir):
@@ -92,8 +95,10 @@ SELECT route, count(*) AS steps, count(DISTINCT segment_id) AS segments, round(s
 def route_summaries(spark, sf_dir):
     """Length and segments of each route."""
     seg = segments(spark, sf_dir)
-    k = seg.groupBy("segment_id").agg(F.min("length_m").alias("length_m"), F.min("role").alias("role"))
-    return reports.route_summary(seg.select((F.col("route") % 400).alias("route"), "segment_id"), k)
+    # dealt by their number: the memory of a task is that of TASK_ROWS lines, however many there are
+    tasks = seg.count() // TASK_ROWS + 1
+    k = seg.select("segment_id", "length_m", "role").repartition(tasks, "segment_id").groupBy("segment_id").agg(F.min("length_m").alias("length_m"), F.min("role").alias("role"))
+    return reports.route_summary(seg.select((F.col("route") % 400).alias("route"), "segment_id").repartition(tasks, "segment_id"), k)
 
 
 @query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 49) SELECT p_type AS kind, count(*) AS paths, count(l_partkey) AS absorbed, count_if(l_partkey IS NULL) AS kept FROM part LEFT JOIN a ON p_partkey = l_partkey GROUP BY 1""")
