@@ -289,8 +289,9 @@ def cluster_routes(facts: DataFrame, starts: DataFrame, seeds: int = SEEDS, most
 
 
 def best_of_clusters(steps: DataFrame) -> DataFrame:
-    """The steps of the best walk of each start, target, context and weighting, by score; ties go to the smaller cluster."""
-    key = ["start", "target", "context", "weighting"]
+    """The steps of the best walk of each start, target, context and weighting, by score; ties go to the smaller cluster. They are
+    read twice, so they are written first."""
+    key, steps = ["start", "target", "context", "weighting"], stored(steps, "cluster-steps")
     heads = steps.groupBy(*key, "cluster").agg(F.first("score").alias("s"))
     first = Window.partitionBy(*key).orderBy(F.desc("s"), "cluster")
     best = heads.withColumn("r", F.row_number().over(first)).where("r = 1").select(*key, "cluster")

@@ -146,7 +146,7 @@ def budget_sweep(spark, sf_dir):
     facts = cluster_search.in_contexts(segments, {"early": done("p_size > 45"), "late": done("p_size > 15")}, nodes)
     starts = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg((F.min("s_suppkey") * 20).alias("start")).select("start")
     kinds = {"usual": ROUTE_WEIGHTS, "homes": {**ROUTE_WEIGHTS, "households": 2.0}}
-    rows = cluster_search.sweep(facts, starts, [b for _, b in routing_areas.BANDS[:3]], kinds, seeds=2, most=3)
+    rows = cluster_search.sweep(facts, starts, [b for _, b in routing_areas.BANDS], kinds)
     return cluster_search.sweep_summary(rows)
 
 
