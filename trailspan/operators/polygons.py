@@ -78,22 +78,30 @@ def points_in(points: DataFrame, edges: DataFrame, cell: float = 100.0, key: str
     sideways, changes sides at every edge that it crosses, and only edges in the
     cell can cross it. Where many edges share a cell, cells are made smaller, as
     a point then meets fewer. Points on the rim itself may count either way;
-    points without a place are nowhere.
+    points without a place are nowhere. Both joins are by sorted rows: cells and
+    edges in them look small as files and are many times their number as rows,
+    more than a driver holds for a broadcast.
     """
+    edges = stored(edges.select("poly_id", "a", "b").repartition("a", "b"), "polygon-edges")
     cell /= _finer(edges, cell)
     cells = stored(polygon_cells(edges, cell), "polygon-cells")
     at = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    near = stored(at.join(cells, ["cx", "cy"]), "polygon-near")
+    near = stored(at.join(cells.hint("merge"), ["cx", "cy"]), "polygon-near")
     sure = near.where("NOT rim AND middle").select(key, "poly_id")
     mx, my = (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell
     between = lambda v, p, q: (v > F.least(p, q)) & (v <= F.greatest(p, q))
     upright = ((F.col("a.x") > mx) != (F.col("b.x") > mx)) & between(_y_at(mx), my, F.col("y"))
     level = ((F.col("a.y") > F.col("y")) != (F.col("b.y") > F.col("y"))) & between(_x_at(F.col("y")), mx, F.col("x"))
-    tried = near.where("rim").join(rim_edges(edges, cell), ["poly_id", "cx", "cy"])
+    tried = near.where("rim").join(rim_edges(edges, cell).hint("merge"), ["poly_id", "cx", "cy"])
     turns = tried.groupBy(key, "poly_id").agg(F.first("middle").alias("middle"), (F.count_if(upright) + F.count_if(level)).alias("n"))
     return sure.unionByName(turns.where(F.col("middle") != (F.col("n") % 2 == 1)).select(key, "poly_id"))
 
 
+def middles(lines: DataFrame) -> DataFrame:
+    """(line_id, x, y): the middle of each line (line_id, line), worked out once for all that read it."""
+    return lines.select("line_id", F.explode(F.array(geometry.point_at(F.col("line"), 0.5))).alias("p")).select("line_id", "p.x", "p.y")
+
+
 def points_near(points: DataFrame, edges: DataFrame, reach: float, key: str = "point_id") -> DataFrame:
     """(key, poly_id, distance): polygons that hold a point, at distance 0, or whose rim is within ``reach`` of it. Edges stand in the
     cells of that size that they pass, points look into nine. An edge without length is a place of its own."""
@@ -135,8 +143,7 @@ def lines_against(lines: DataFrame, edges: DataFrame, cell: float = 100.0) -> Da
     A line that meets no rim is inside where its middle is; one that meets it
     counts as lying on both sides, a touch too. Other pairs have no row.
     """
-    middle = lines.select("line_id", geometry.point_at(F.col("line"), 0.5).alias("p")).select("line_id", "p.x", "p.y")
-    inside = points_in(middle, edges, cell, "line_id").withColumn("in", F.lit(True))
+    inside = points_in(middles(lines), edges, cell, "line_id").withColumn("in", F.lit(True))
     over = rim_crossings(lines, edges, cell).withColumn("over", F.lit(True))
     both = inside.join(over, ["line_id", "poly_id"], "full")
     crosses = F.coalesce("over", F.lit(False))

@@ -45,7 +45,7 @@ def order_lines(spark, sf_dir):
 @query(f"WITH {CORNER_SQL}, {LINE_SQL} SELECT line_id AS point_id, poly_id FROM mid, edg GROUP BY line_id, poly_id, mx, my HAVING {INSIDE}")
 def points_in_polygons(spark, sf_dir):
     """Orders as points, nations as polygons with a corner for each customer."""
-    middle = order_lines(spark, sf_dir).select(F.col("line_id").alias("point_id"), geometry.point_at(F.col("line"), 0.5).alias("p")).select("point_id", "p.x", "p.y")
+    middle = polygons.middles(order_lines(spark, sf_dir)).withColumnRenamed("line_id", "point_id")
     return polygons.points_in(middle, nation_edges(spark, sf_dir))
 
 
