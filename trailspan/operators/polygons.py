@@ -133,7 +133,7 @@ def rim_crossings(lines: DataFrame, edges: DataFrame, cell: float = 100.0) -> Da
     for part in ("part = 0", "part % 8 = 0 AND part > 0", "part % 8 > 0"):
         met = stored(left.join(rims.where(part).select("poly_id", "cx", "cy", "a", "b").hint("merge"), ["poly_id", "cx", "cy"]).where(meets).select("line_id", "poly_id").distinct(), "rim-met")
         found = met if found is None else found.unionByName(met)
-        left = left.join(met, ["line_id", "poly_id"], "left_anti")
+        left = left.join(met.hint("merge"), ["line_id", "poly_id"], "left_anti")
     return found
 
 
