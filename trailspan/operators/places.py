@@ -38,37 +38,92 @@ def funnel(homes: DataFrame, kind: str, landmark: str, key: Column) -> DataFrame
     )
 
 
+#: Radii that are tried one after the other, as shares of the cap, and the lines in reach from which one is worth a trial.
+TRIALS, ENOUGH = (1 / 64, 1 / 16, 1 / 4), 16
+
+
+def _best_within(homes: DataFrame, pieces: DataFrame, radius: float, most: int, by: list[str]) -> DataFrame:
+    """(home_id, line_id, distance, score) of the ``most`` best pieces of lines within ``radius`` of each home, among those equal in
+    ``by``. Pieces stand in every cell from which they are in reach and a home in one, so its rows are dealt once: they are
+    joined, made one a line and ranked without being moved again."""
+    cell, parts = radius, int(homes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables that meet often are not brought together
+    three = lambda f: F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), f))
+    nine = lambda c: three(lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((c["cx"] + i).alias("cx"), (c["cy"] + j).alias("cy"))))
+    around = F.explode(F.array_distinct(F.flatten(F.transform(passed_cells(F.col("a"), F.col("b"), cell), nine)))).alias("c")
+    size = {k: (F.col(f"b.{k}") - F.col(f"a.{k}")).alias(f"d{k}") for k in "xy"}
+    ends = [f(f"a.{k}", f"b.{k}").alias(f"{k}{i}") for k in "xy" for i, f in ((0, F.least), (1, F.greatest))]
+    key = ["cx", "cy", *by]
+    dealt = pieces.select("line_id", F.col("name").alias("line_name"), *by, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), *size.values(), *ends, around).select("*", "c.cx", "c.cy").drop("c")
+    here = homes.select("home_id", "x", "y", F.col("name").alias("home_name"), *by, F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    box = lambda k: F.col(k).between(F.col(f"{k}0") - 1.001 * radius, F.col(f"{k}1") + 1.001 * radius)
+    met = here.repartition(parts, *key).join(dealt.repartition(parts, *key).hint("merge"), key).where(box("x") & box("y"))
+    # the steps of geometry.nearest_on_segment, each worked out once a row; the radius is asked for last, or all would stand in the join
+    met = met.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * F.col("dx") + (F.col("y") - F.col("ay")) * F.col("dy")) / (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))))
+    foot = lambda k, o: F.when(F.col(f"d{o}") == 0, F.greatest(F.col(f"{k}0"), F.least(F.col(f"{k}1"), F.col(k)))).otherwise(F.col(f"a{k}") + F.col("t") * F.col(f"d{k}"))
+    met = met.withColumn("gx", F.col("x") - foot("x", "y")).withColumn("gy", F.col("y") - foot("y", "x"))
+    same = F.coalesce(F.col("home_name") == F.col("line_name"), F.lit(False))
+    near = met.groupBy(*key, "home_id", "line_id").agg(F.min(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("distance"), F.first(same).alias("same")).where(F.col("distance") <= radius)
+    near = near.withColumn("score", F.col("distance") - F.when(F.col("same"), NAME_M).otherwise(0.0))
+    rank = F.row_number().over(Window.partitionBy(*key, "home_id").orderBy("score", "distance", ~F.col("same"), "line_id"))
+    return near.withColumn("r", rank).where(F.col("r") <= most).select("home_id", "line_id", "distance", "same", "score")
+
+
+def _best_of_kind(homes: DataFrame, pieces: DataFrame, cap: float, most: int) -> DataFrame:
+    """(home_id, r, line_id, distance) of each home's ``most`` best pieces of lines within ``cap``, where all are owed or none is.
+
+    Small radii come first. No line that a trial leaves out scores less than its radius, as those of the home's name are looked for
+    NAME_M farther: so a home whose last wanted line scores less is done, and only the others go on to the next radius.
+    """
+    facts = pieces.agg(
+        F.count("*").alias("n"), F.avg(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))).alias("size"),
+        *(f(F.col(f"a.{k}")).alias(f"{k}{i}") for k in "xy" for i, f in ((0, F.min), (1, F.max))),
+    ).first()
+    area = max(1.0, ((facts["x1"] or 0) - (facts["x0"] or 0) + (facts["size"] or 0)) * ((facts["y1"] or 0) - (facts["y0"] or 0)))
+    tried = [r for r in (cap * t for t in TRIALS) if facts["n"] / area * 2 * r * ((facts["size"] or 0) + 2 * r) >= ENOUGH]
+    out, left = None, homes
+    for radius in [*tried, cap]:
+        found = _best_within(left, pieces, radius, most, [])
+        if radius < cap:
+            found = found.unionByName(_best_within(left.where("name IS NOT NULL"), pieces, min(cap, radius + NAME_M), most, ["name"])).distinct()
+        rank = F.row_number().over(Window.partitionBy("home_id").orderBy("score", "distance", ~F.col("same"), "line_id"))
+        best = found.withColumn("r", rank).where(F.col("r") <= most)
+        if radius < cap:
+            best = stored(best, "home-best")
+            sure = best.where((F.col("r") == most) & (F.col("score") < radius - 1e-6)).select("home_id")
+            left = stored(left.join(sure.hint("merge"), "home_id", "left_anti"), "home-left")
+            best = best.join(sure.hint("merge"), "home_id", "left_semi")
+        best = best.select("home_id", "r", "line_id", "distance")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def associated(homes: DataFrame, lines: DataFrame, cap: float = CAP_M, secondary: int = 3) -> DataFrame:
     """(home_id, main, others, distance, reason) for homes (home_id, x, y, name) and lines (line_id, line, name, owed).
 
     Of the lines within the cap, the best is that of least distance less the
     bonuses of an equal name and of an owed line, then least distance, a name
     match, the smaller id; the next ones are listed. A home without any has the
-    reason BEYOND_CAP. Straight pieces stand in the grid cells of the cap's size that they pass,
-    homes look into nine, so this is an equi-join. Homes of one place and name
-    are sought for once, and of lines that differ in their ids only, the first
-    that could be listed.
+    reason BEYOND_CAP. Any owed line comes before any other, so the others are
+    looked for only by homes that have too few owed ones within the cap (see
+    _best_of_kind). Homes of one place and name are sought for once, and of lines
+    that differ in their ids only, the first that could be listed.
     """
+    most = 1 + secondary
+    if OWED_M <= cap + NAME_M:
+        raise ValueError("an owed line must come before all others")
     copies = F.row_number().over(Window.partitionBy("line", "name", "owed").orderBy("line_id"))
-    everyone, homes = homes.withColumn("_like", F.struct("x", "y", "name")), homes.select("x", "y", "name").distinct().withColumn("home_id", F.struct("x", "y", "name"))
-    lines = stored(lines.withColumn("_copy", copies).where(F.col("_copy") <= 1 + secondary).drop("_copy"), "home-lines")
-    pieces = straight_pieces(lines.select("line_id", "line"), False)
-    dealt = pieces.withColumn("c", F.explode(passed_cells(F.col("a"), F.col("b"), cap))).withColumn("cx", F.col("c.cx")).withColumn("cy", F.col("c.cy")).drop("c")
-    around = F.array(*(F.struct((F.floor(F.col("x") / cap) + i).alias("cx"), (F.floor(F.col("y") / cap) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    here = homes.withColumn("c", F.explode(around)).select("home_id", "x", "y", "c.cx", "c.cy")
-    p = geometry.point(F.col("x"), F.col("y"))
-    box = lambda k: F.col(k).between(F.least(f"a.{k}", f"b.{k}") - 1.001 * cap, F.greatest(f"a.{k}", f"b.{k}") + 1.001 * cap)
-    met = here.join(dealt.hint("merge"), ["cx", "cy"]).where(box("x") & box("y")).withColumn("n", geometry.nearest_on_segment(p, F.col("a"), F.col("b")))
-    dx, dy = F.col("x") - F.col("n.x"), F.col("y") - F.col("n.y")
-    near = met.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= cap).groupBy("home_id", "line_id").agg(F.min("distance").alias("distance"))
-    facts = near.join(lines.select("line_id", F.col("name").alias("line_name"), "owed"), "line_id").join(homes.select("home_id", "name"), "home_id")
-    same = F.coalesce(F.col("name") == F.col("line_name"), F.lit(False))
-    score = F.col("distance") - F.when(same, NAME_M).otherwise(0.0) - F.when(F.col("owed"), OWED_M).otherwise(0.0)
-    rank = F.row_number().over(Window.partitionBy("home_id").orderBy(score, "distance", ~same, "line_id"))
-    ranked = facts.withColumn("r", rank).where(F.col("r") <= 1 + secondary)
-    best = ranked.groupBy("home_id").agg(F.min(F.struct("r", "line_id", "distance")).alias("b"), F.array_sort(F.collect_list(F.when(F.col("r") > 1, F.struct("r", "line_id")))).alias("o"))
-    out = everyone.select("home_id", "_like").join(best.withColumnRenamed("home_id", "_like"), "_like", "left")
-    return out.select("home_id", F.col("b.line_id").alias("main"), F.coalesce(F.transform("o", lambda x: x["line_id"]), F.array().cast("array<bigint>")).alias("others"), F.col("b.distance").alias("distance"), F.when(F.col("b").isNull(), "BEYOND_CAP").alias("reason"))
+    everyone = homes.withColumn("_like", F.struct("x", "y", "name"))
+    homes = stored(homes.select("x", "y", "name").where("x IS NOT NULL AND y IS NOT NULL").distinct().withColumn("home_id", F.struct("x", "y", "name")), "homes")
+    lines = stored(lines.withColumn("_copy", copies).where(F.col("_copy") <= most).drop("_copy"), "home-lines")
+    pieces = stored(straight_pieces(lines.select("line_id", "line"), False).join(lines.select("line_id", "name", F.coalesce("owed", F.lit(False)).alias("owed")).hint("merge"), "line_id"), "home-pieces")
+    owed = stored(_best_of_kind(homes, pieces.where("owed"), cap, most), "home-owed")
+    full = owed.where(F.col("r") == most).select("home_id")
+    rest = stored(homes.join(full.hint("merge"), "home_id", "left_anti"), "home-rest")
+    other = _best_of_kind(rest, pieces.where("NOT owed"), cap, most).withColumn("r", F.col("r") + most)
+    best = owed.unionByName(other).groupBy("home_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("r", "line_id", "distance"))), 1, most).alias("b"))
+    out = everyone.select("home_id", "_like").join(best.withColumnRenamed("home_id", "_like").hint("merge"), "_like", "left")
+    first = F.get("b", F.lit(0))
+    return out.select("home_id", first["line_id"].alias("main"), F.coalesce(F.transform(F.slice("b", 2, most), lambda x: x["line_id"]), F.array().cast("array<bigint>")).alias("others"), first["distance"].alias("distance"), F.when(F.col("b").isNull(), "BEYOND_CAP").alias("reason"))
 
 
 # An attachment by name is sure within SURE_M, one without is likely within LIKELY_M.
