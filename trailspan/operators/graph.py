@@ -20,6 +20,8 @@ LOCAL_EDGES, NEAR_BITS = 500_000, 16
 
 #: Nodes that are broadcast at most.
 FEW_NODES = 2_000_000
+#: Sources whose distances stand beside each other in one row of a node, at most.
+FEW_SOURCES = 32
 
 
 def _least_together(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +176,15 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
     edge, as many as the longest of the shortest paths has, unless
     ``max_rounds`` says when to give up. While the nodes to search from are no
     more than FEW_NODES they are broadcast, and only edges at them are shuffled.
+    Where there are FEW_SOURCES at most and no bounds, a round meets each edge
+    once for all of them (see _from_few).
     """
     light = stored(both_ways(edges, src, dst, weight).select("u", "v", F.col(weight).alias("w")), "sssp-edges")
     kind = light.schema["w"].dataType
+    if not within:
+        few = [r.node for r in sources.select("node").distinct().limit(FEW_SOURCES + 1).collect()]
+        if 0 < len(few) <= FEW_SOURCES:
+            return _from_few(light, sources, sorted(n for n in few if n is not None), max_rounds)
     cap = [F.col(within).alias("cap")] if within else []
     keep = ["cap"] if within else []
     best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast(kind).alias("distance"), *cap).distinct(), "sssp-best")
@@ -198,3 +206,32 @@ def shortest_distances(edges: DataFrame, src: str, dst: str, weight: str, source
             return best.groupBy("source", "node").agg(F.min("distance").alias("distance"))
         best = best.unionByName(front)
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+
+
+def _from_few(light: DataFrame, sources: DataFrame, few: list, max_rounds: int | None) -> DataFrame:
+    """shortest_distances of a few sources: a row is a node with its distances from all of them, so that an edge is met once a round
+    and a node gets one offer from each task. A round goes on from the nodes of which it bettered any distance."""
+    spark, kind, told = light.sparkSession, light.schema["w"].dataType, Observation()
+    each = [f"d{i}" for i in range(len(few))]
+    marks = [F.when(F.col("node") == F.lit(n), F.lit(0).cast(kind)).alias(d) for n, d in zip(few, each)]
+    path = shared_folder(spark, "sssp-known")
+    now = sources.where("node IS NOT NULL").select("node").distinct().select("node", *marks, F.lit(True).alias("better"))
+    known, size = stored_at(now.observe(told, F.count_if("better").alias("n")), path), len(few)
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
+        front = known.where("better").drop("better")
+        beside = light.join(F.broadcast(front.select(F.col("node").alias("u"))), "u", "left_semi") if size <= FEW_NODES // 10 else light
+        offers = front.join(beside.hint("merge"), front["node"] == beside["u"]).groupBy(F.col("v").alias("node")).agg(*(F.min((F.col(d) + F.col("w")).cast(kind)).alias(f"o{d}") for d in each))
+        both = known.drop("better").join(offers.hint("merge"), "node", "full")
+        better = F.lit(False)
+        for d in each:
+            better |= F.coalesce(F.col(f"o{d}") < F.col(d), F.col(f"o{d}").isNotNull())
+        told, old = Observation(), path
+        path = shared_folder(spark, "sssp-known")
+        made = both.select("node", *(F.least(d, f"o{d}").alias(d) for d in each), better.alias("better"))
+        known = stored_at(made.observe(told, F.count_if("better").alias("n")), path)
+        size = told.get["n"]
+        discard(spark, old)
+        if not size:
+            rows = F.explode(F.array(*(F.struct(F.lit(n).alias("source"), F.col(d).alias("distance")) for n, d in zip(few, each))))
+            return known.select("node", rows.alias("r")).where("r.distance IS NOT NULL").select("r.source", "node", "r.distance")
+    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
