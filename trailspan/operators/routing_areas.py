@@ -38,11 +38,19 @@ def facts(members: DataFrame, components: DataFrame) -> DataFrame:
 
 def separation(points: DataFrame, most: float = MISSING_M) -> DataFrame:
     """(component, gap): the least distance from a component's points (component, x, y) to another's, where it is below ``most``.
-    Points of a component at one spot count once."""
-    points = stored(points.select("component", "x", "y").distinct(), "separate")
+    Points of a component at one spot count once. Small distances are tried first: what is found within one is the least, so only
+    components without another so near go on to the next, and no point meets all within ``most`` of it where some are nearer."""
+    points = stored(points.select("component", "x", "y").where("component IS NOT NULL").distinct(), "separate")
     other = points.select(F.col("component").alias("oc"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = within_radius(points, other, "x", "y", "ox", "oy", most).where("component <> oc")
-    return near.groupBy("component").agg(F.min("distance").alias("gap"))
+    out, left = None, points
+    for share in (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0):
+        near = within_radius(left, other.hint("merge"), "x", "y", "ox", "oy", most * share).where("component <> oc")
+        found = stored(near.groupBy("component").agg(F.min("distance").alias("gap")), "separate-found")
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found, "component", "left_anti")
+        if left.isEmpty():
+            break
+    return out
 
 
 def gap_cause(main: Column, gap: Column) -> Column:
